@@ -4,13 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callweave.llm import bpe
+from callweave.llm import bpe, cdc, crf, mixing, rules, simhash
 from callweave.llm.common import table
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each near-duplicate with the document of its group that stays."""
+    return simhash.duplicates(table(spark, sf_dir, "documents"))
+
+
+def op2_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that line labelling keeps, with their content share."""
+    return crf.keep(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture, laid out in shards."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that lose a repeated passage, and what stays of them."""
+    return cdc.changed(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, decoded again."""
     return bpe.encode(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op8_bpe": op8_bpe}
+def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the rule ensemble keeps, with their scores."""
+    docs = table(spark, sf_dir, "documents")
+    return rules.keep(docs, table(spark, sf_dir, "labels")).select("doc_id", "quality_score")
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_crf": op2_crf, "op5_mixing": op5_mixing, "op7_substring_dedup": op7_substring_dedup, "op8_bpe": op8_bpe, "op10_rules": op10_rules}
 ORACLE_SQL: dict[str, str] = {}
