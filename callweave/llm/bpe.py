@@ -117,6 +117,7 @@ class Codec:
         self.cache_words = cache_words
         self.judged = IntTable(20)
         self.forget()
+        self.recent: dict[bytes, int] = {}
         self.exact_words = self.guessed_words = 0
 
     def _build_pairs(self) -> None:
@@ -343,6 +344,17 @@ class Codec:
         ends = np.concatenate([[0], np.cumsum(count)])
         return flat, ends[of_text + words] - ends[of_text], count, words
 
+    def encode_pieces(self, text: str, cuts: np.ndarray) -> np.ndarray:
+        """Token counts of the few pre-tokens of one text between neighbouring cuts."""
+        pieces = [text[a:b].encode("utf-8", "surrogatepass") for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
+        memo = self.recent
+        if len(memo) > 100_000:
+            memo.clear()
+        for p in pieces:
+            if p not in memo:
+                memo[p] = len(self.merge(p))
+        return np.array([memo[p] for p in pieces], np.int64)
+
     def encode(self, text: str) -> np.ndarray:
         return self.encode_batch([text])[0]
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callweave.llm import bpe, cdc, crf, mixing, rules, simhash
+from callweave.llm import bpe, cdc, chat, crf, embed, htmlx, mixing, rules, simhash, tokencount
 from callweave.llm.common import table
 
 
@@ -18,11 +18,26 @@ def op2_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf.keep(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best branches of every conversation's reply tree, formatted."""
+    return chat.conversations(chat.threads(table(spark, sf_dir, "conversations")))
+
+
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page along its host's path."""
+    return htmlx.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixture, laid out in shards."""
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after its edits."""
+    return tokencount.recount(tokencount.with_edits(table(spark, sf_dir, "documents")))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that lose a repeated passage, and what stays of them."""
     return cdc.changed(table(spark, sf_dir, "documents"))
@@ -33,11 +48,17 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
 
 
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of vectors whose cosine reaches the threshold."""
+    pairs = embed.near_pairs(table(spark, sf_dir, "embeddings"))
+    return pairs.selectExpr("id_a AS vec_id_a", "id_b AS vec_id_b", "round(cosine, 5) AS cosine")
+
+
 def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that the rule ensemble keeps, with their scores."""
     docs = table(spark, sf_dir, "documents")
     return rules.keep(docs, table(spark, sf_dir, "labels")).select("doc_id", "quality_score")
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_crf": op2_crf, "op5_mixing": op5_mixing, "op7_substring_dedup": op7_substring_dedup, "op8_bpe": op8_bpe, "op10_rules": op10_rules}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_crf, op3_chat, op4_html, op5_mixing, op6_token_counts, op7_substring_dedup, op8_bpe, op9_embeddings, op10_rules)}
+ORACLE_SQL: dict[str, str] = {"op3_chat": chat.SQL, "op9_embeddings": embed.SQL}
