@@ -27,6 +27,7 @@ def local(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> Sp
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
     )
     for k, v in conf.items():
