@@ -158,31 +158,27 @@ def host_of(url: Column) -> Column:
 
 
 def votes(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``host``, ``path``, ``pages`` and ``score`` (their sum) of the containers with a positive score.
-
-    Each page casts one vote for each distinct path, of its best container there.
-    """
+    """``host``, ``path``, ``votes`` and ``score``: each page with a container of positive score votes
+    for the path of its best; ``score`` sums theirs."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         hosts, paths, scores = [], [], []
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            best: dict[str, float] = {}
-            for b in walk(page)[1]:
-                if (w := worth(b)) > 0:
-                    best[b[0]] = max(w, best.get(b[0], 0.0))
-            hosts += [host] * len(best)
-            paths += best
-            scores += best.values()
+            own = best_box(walk(page)[1])
+            if own:
+                hosts.append(host)
+                paths.append(own[0])
+                scores.append(worth(own))
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(scores, pa.float64())], names=["host", "path", "score"])
 
     src = pages.select(host_of(F.col(f"`{url_col}`")).alias("host"), F.col(f"`{html_col}`").alias("html")).where(F.col("html") != "")
     cast = map_arrow(src, run, "host string, path string, score double")
-    return cast.groupBy("host", "path").agg(F.count("*").alias("pages"), F.sum("score").alias("score"))
+    return cast.groupBy("host", "path").agg(F.count("*").alias("votes"), F.sum("score").alias("score"))
 
 
 def winners(voted: DataFrame) -> DataFrame:
-    """``host`` and ``path``: the path of greatest summed score; of equals the longer, then by name."""
-    order = Window.partitionBy("host").orderBy(F.desc(F.round("score", 3)), F.desc(F.length("path")), "path")
+    """``host`` and ``path``: most votes; of equals the greater score, the longer path, then by name."""
+    order = Window.partitionBy("host").orderBy(F.desc("votes"), F.desc(F.round("score", 3)), F.desc(F.length("path")), "path")
     return voted.withColumn("__n", F.row_number().over(order)).where("__n = 1").select("host", "path")
 
 
