@@ -85,7 +85,7 @@ class RowScorer:
                     out.append((clip, me.name, me.layer, m, e, 1000 * (time.perf_counter() - t), False))
                 yield pd.DataFrame(out, columns=[f.split()[0] for f in RESULT.replace("<string,double>", "").split(", ")])
 
-        rows = clips.select("clip_id", F.coalesce("agent", "mono"), "sample_rate")
+        rows = clips.select("clip_id", F.coalesce("agent", "mono").alias("samples"), "sample_rate")
         return rows.mapInPandas(run, RESULT)
 
 

@@ -103,7 +103,7 @@ def decode(recordings: DataFrame, rate: int = 16000, salted: bool = False, level
             yield pd.DataFrame([one(*r) for r in pdf.itertuples(index=False)], columns=[f.split()[0] for f in DECODED.split(", ")])
 
     m = F.col("metadata")
-    rows = recordings.select("source_path", "content", m["call_id"], m["channel_map"]["agent_channel"], m["channel_map"]["caller_channel"])
+    rows = recordings.select("source_path", "content", m["call_id"].alias("call"), m["channel_map"]["agent_channel"].alias("agent"), m["channel_map"]["caller_channel"].alias("caller"))
     return rows.mapInPandas(run, DECODED)
 
 

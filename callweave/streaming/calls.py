@@ -177,7 +177,8 @@ class Machine(StatefulProcessor):
             self.state.clear()
         else:
             self.state.update((json.dumps(asdict(call)),))
-        yield pd.DataFrame({"call_id": key[0], "kind": [k for k, _ in got], "t_s": [t for _, t in got]}, columns=["call_id", "kind", "t_s"])
+        if got:
+            yield pd.DataFrame({"call_id": [str(key[0])] * len(got), "kind": [k for k, _ in got], "t_s": [float(t) for _, t in got]})
 
     def close(self) -> None:
         pass
