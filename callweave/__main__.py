@@ -1,15 +1,16 @@
-"""``python -m callweave``: run, report, scorers, cache-clear."""
+"""``python -m callweave``: run, report, ingest, calibrate, simulate, scorers, cache-clear."""
 
 from __future__ import annotations
 
 import argparse
+import json
 import os
 import sys
 
 from callweave import config as conf
-from callweave import engine, session
+from callweave import engine, report, session
 from callweave.operators import ingest
-from callweave.sources import store
+from callweave.sources import recordings, store
 
 
 def main(args: list[str] | None = None) -> int:
@@ -22,6 +23,17 @@ def main(args: list[str] | None = None) -> int:
         c.add_argument("--strict", action="store_true", help="exit 1 when the run fails")
         c.add_argument("run_id" if name == "report" else "corpus")
     sub.add_parser("scorers")
+    c = sub.add_parser("ingest", help="list the recordings of a corpus")
+    c.add_argument("corpus")
+    c = sub.add_parser("calibrate", help="agreement of a run's judge with a CSV of labels")
+    c.add_argument("golden")
+    c.add_argument("run_id")
+    c.add_argument("--out", required=True)
+    c = sub.add_parser("simulate", help="two scripted agents; exit 1 when the candidate regresses")
+    c.add_argument("manifest", help="JSON")
+    c.add_argument("--candidate-latency", type=float, default=0.8)
+    c.add_argument("--baseline-latency", type=float, default=0.8)
+    c.add_argument("-k", type=int, default=3)
     c = sub.add_parser("cache-clear")
     c.add_argument("--out", required=True)
     c.add_argument("--scorer")
@@ -30,6 +42,18 @@ def main(args: list[str] | None = None) -> int:
         print("\n".join(sorted(engine.REGISTRY)))
         return 0
     spark = session.local()
+    if a.cmd == "ingest":
+        found = recordings.with_metadata(recordings.discover(spark, a.corpus), recordings.sidecars(spark, a.corpus))
+        recordings.decode(found).orderBy("source_path").select("source_path", "clip_id", "duration_s", "n_source_channels", "error").show(1000, False)
+        return 0
+    if a.cmd == "calibrate":
+        print(report.agreement(engine.calibrate(spark, a.golden, a.out, a.run_id)))
+        return 0
+    if a.cmd == "simulate":
+        with open(a.manifest) as f:
+            r = engine.simulate_versions(spark, json.load(f), {"candidate": a.candidate_latency, "baseline": a.baseline_latency}, conf.Config(), a.k)
+        r["deltas"].show(1000, False)
+        return int(not r["passed"])
     if a.cmd == "cache-clear":
         cache = store.cache_get(spark, a.out)
         if cache is None:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from callweave import report
 from callweave.config import Config
 from callweave.functions.gates import scorer_hash
-from callweave.operators import dynamics, ingest, metrics, timeline
+from callweave.operators import agreement, compare, dynamics, ingest, judge, metrics, simulate, timeline
 from callweave.operators import report as shown
 from callweave.session import ship
 from callweave.sources import recordings, store
@@ -200,3 +200,33 @@ def judge_run(spark: SparkSession, out: str, config: Config, run: str) -> dict:
     none = spark.createDataFrame([], "clip_id string, dimension string, score int")
     sections = {"Summary": summary.orderBy("metric"), "Regressions": regressions, "Findings": shown.findings(outcomes, none), "Worst calls": shown.offenders(outcomes, none), "Calls": shown.clip_detail(gated).drop("metrics").orderBy(F.desc("fails"), "clip_id").limit(500)}
     return {"run_id": run, "baseline": base, "failures": word["failures"], "warnings": word["warnings"], "passed": word["passed"], "html": report.page(f"Run {run}", sections), "text": report.console(summary, word["passed"])}
+
+
+def calibrate(spark: SparkSession, golden_csv: str, out: str, run: str, bar: float = agreement.BAR) -> DataFrame:
+    """Agreement of a stored run's judge scores with the labels of a CSV (``clip_id, dimension,
+    human_score``): a row for each dimension that has pairs."""
+    raw = spark.read.option("header", True).csv(golden_csv).withColumn("row_no", F.monotonically_increasing_id())
+    human = agreement.golden(raw, list(judge.DIMENSIONS) + ["overall"])
+    clips = store.load(spark, out, "clips", run).withColumn("seq", F.xxhash64("source_path"))
+    where = agreement.resolve(human.select(F.col("clip_id").alias("key")).distinct(), clips)
+    mine = metrics.flatten(store.load(spark, out, "results", run)).where("metric LIKE 'judge_%'")
+    scores = mine.groupBy("clip_id", F.expr("substr(metric, 7)").alias("dimension")).agg(F.bround(F.first("value")).cast("int").alias("judge"))
+    pairs = human.withColumnRenamed("clip_id", "key").join(where.select("key", "clip_id"), "key").join(scores, ["clip_id", "dimension"])
+    return agreement.calibration(pairs.select("dimension", "human", "judge"), bar)
+
+
+def simulate_versions(spark: SparkSession, manifest: list | dict, latency_s: dict[str, float], config: Config, k: int = 3, max_delta: dict[str, float] | None = None) -> dict:
+    """Scripted calls of a ``candidate`` and a ``baseline``, whose agents answer after ``latency_s``,
+    scored from their events and compared by scenario."""
+    suite = simulate.suite(simulate.scenario_table(spark, manifest), k)
+    ab = spark.createDataFrame(list(latency_s.items()), "version string, latency_s double")
+    every = suite.crossJoin(F.broadcast(ab)).withColumn("call_id", F.concat_ws("-", "call_id", "version"))
+    moves = simulate.script(every)
+    usable = simulate.validity(moves).where("valid").select("call_id")
+    events = simulate.events(moves.join(usable, "call_id")).withColumnRenamed("call_id", "clip_id")
+    lat = dynamics.latency_stats(dynamics.ttft(events)).select("clip_id", F.col("latency_p50_s").alias("value"), F.lit("latency_p50_s").alias("metric"))
+    long = lat.join(every.select(F.col("call_id").alias("clip_id"), "version", F.col("scenario_id").alias("scenario")), "clip_id").withColumn("error", F.lit(None).cast("string"))
+    mid = compare.medians(long)
+    delta = compare.deltas(mid, "candidate", "baseline", metrics.gate_table(spark, config.gates), metrics.delta_table(spark, max_delta or {}))
+    word = compare.passes(mid, delta, "candidate", "baseline").first()
+    return {"passed": word["passed"], "error": word["error"], "regressed": word["regressed"], "deltas": compare.ordered(delta)}

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from callweave.session import ship
+
 DIMENSIONS = ("naturalness", "fluency", "prosody", "clarity", "turn_taking", "responsiveness", "empathy", "task_success", "coherence")
 SCHEMA = "struct<" + ",".join(f"{d}:struct<reasoning:string,score:string>" for d in DIMENSIONS) + ",overall:string,notable_timestamps:array<string>,summary:string,unscoreable:string,unscoreable_reason:string,rubric_version:string>"
 
@@ -61,3 +67,42 @@ def domain(override: str, default: str) -> Column:
 
 def prompt(domain: Column, rubric: Column) -> Column:
     return F.format_string("Domain: %s\n\nRubric:\n%s\n\nAnswer with one JSON object.", domain, rubric)
+
+
+def cap(x: Column, rate: Column, seconds: float | None) -> Column:
+    """The first ``seconds`` of samples; all without a limit."""
+    return x if seconds is None else F.slice(x, F.lit(1), F.greatest(F.lit(1), F.floor(rate * seconds).cast("int")))
+
+
+def ask(prompts: DataFrame, client: Callable[[str, object], str], tries: int = 2, waits: tuple = (1.0, 2.0, 4.0)) -> DataFrame:
+    """``clip_id``, ``text`` and ``error`` of a judge's answers to ``prompts(clip_id, prompt, audio)``.
+
+    ``client`` is called in the workers with a prompt and the audio. An answer without an object is
+    asked for again with a nudge, up to ``tries`` times; connection errors are retried after the
+    waits. What fails in the end is a row with an error. Store the answers before using them twice.
+    """
+    ship(prompts.sparkSession)
+
+    def one(prompt: str, audio: object) -> tuple[str | None, str | None]:
+        text = None
+        for _ in range(tries):
+            for wait in (*waits, None):
+                try:
+                    text = client(prompt, audio)
+                    break
+                except (ConnectionError, TimeoutError) as e:
+                    if wait is None:
+                        return None, f"{type(e).__name__}: {e}"
+                    time.sleep(wait)
+                except Exception as e:
+                    return None, f"{type(e).__name__}: {e}"
+            if text and "{" in text and "}" in text:
+                break
+            prompt += "\nAnswer with one JSON object and nothing else."
+        return text, None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([(c, *one(p, a)) for c, p, a in pdf.itertuples(index=False)], columns=["clip_id", "text", "error"])
+
+    return prompts.select("clip_id", "prompt", "audio").mapInPandas(run, "clip_id string, text string, error string")

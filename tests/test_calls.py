@@ -252,3 +252,35 @@ def test_entry_and_oracle_keys(spark):
 
 def test_loudness_of_empty_frames():
     assert calls.loudness(pd.Series([b"", None])).tolist() == [0.0, 0.0]
+
+
+def test_asking_a_judge(spark):
+    df = spark.createDataFrame([("a", "p", b"good"), ("b", "p", b"slow"), ("c", "p", b"fail")], "clip_id string, prompt string, audio binary")
+
+    def client(prompt, audio, good=reply()):  # noqa: B008
+        if bytes(audio) == b"fail":
+            raise RuntimeError("no credit")
+        return good if bytes(audio) == b"good" or "nothing else" in prompt else "what?"
+
+    got = {r.clip_id: r for r in judge.parse(judge.ask(df, client).withColumnRenamed("error", "failed")).collect()}
+    assert got["a"].error is None and got["b"].error is None and got["c"].failed == "RuntimeError: no credit" and got["c"].error
+    assert spark.range(1).select(judge.cap(F.array(*[F.lit(i) for i in range(9)]), F.lit(4), 1.5).alias("x")).first().x == [0, 1, 2, 3, 4, 5]
+
+
+def test_simulated_regression(spark):
+    cfg = config.Config()
+    bad = engine.simulate_versions(spark, [{"id": "s1"}, {"id": "s2"}], {"candidate": 2.0, "baseline": 0.8}, cfg, k=2)
+    assert not bad["passed"] and bad["regressed"] == 2
+    good = engine.simulate_versions(spark, [{"id": "s1"}], {"candidate": 0.8, "baseline": 0.8}, cfg, k=2)
+    assert good["passed"] and good["error"] is None
+    lone = engine.simulate_versions(spark, [{"id": "s1"}], {"candidate": 0.8}, cfg, k=1)
+    assert lone["error"] and not lone["passed"]
+
+
+def test_calibration_of_a_run(spark, tmp_path):
+    out, csv = str(tmp_path / "o"), tmp_path / "g.csv"
+    csv.write_text("clip_id,dimension,human_score\n# note,clarity,3\ncall_a.wav,clarity,4\nbbb,clarity,2\nnope,clarity,2\n")
+    store.save(spark.createDataFrame([("aaa1", "/x/call_a.wav"), ("bbb2", "/x/call_b.wav")], "clip_id string, source_path string"), out, "clips", "r")
+    store.save(spark.createDataFrame([("aaa1", {"judge_clarity": 4.0}, None), ("bbb2", {"judge_clarity": 2.0}, None)], "clip_id string, metrics map<string,double>, error string"), out, "results", "r")
+    r = engine.calibrate(spark, str(csv), out, "r").collect()
+    assert [(x.dimension, x.n, x.kappa, x.recommend_gate) for x in r] == [("clarity", 2, 1.0, True)]
