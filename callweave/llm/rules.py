@@ -8,7 +8,6 @@ is a projection.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,35 +17,44 @@ from pyspark.sql import functions as F
 from callweave.llm.common import durable, only
 
 #: Labelled documents that the model is fitted on, at most.
-SAMPLE = 10_000
+SAMPLE = 20_000
 #: Words of the learned lexicon, at most, and how it is chosen.
-LEXICON, LEXICON_DOCS, LEXICON_ODDS = 64, 8, 30.0
-TREES, DEPTH, RATE, BINS, LEAST = 24, 3, 0.3, 48, 15
+LEXICON, LEXICON_DOCS, LEXICON_ODDS = 256, 5, 30.0
+TREES, DEPTH, RATE, BINS, LEAST = 24, 3, 0.3, 48, 6
 PENALTY = 0.002
 CUT = 0.5
 
 
 def statistics(text: Column, lexicon: list[str]) -> dict[str, Column]:
-    """The statistics of a text that rules compare, as column expressions."""
+    """The statistics of a text that rules compare, as column expressions.
+
+    Classes are of code points below 256, which the regular expressions test by a table, and words
+    are split and lowered once.
+    """
     chars = F.length(text)
-    words = F.regexp_count(text, F.lit(r"\S+"))
+    count = lambda p: F.regexp_count(text, F.lit(p)).cast("double")
     per = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0)).cast("double")
-    tokens = F.split(text, r"\s+")
-    lines = F.split(text, "\n")
-    out = {
-        "words": words.cast("double"),
-        "word_length": per(chars, words),
-        "upper": per(F.regexp_count(text, F.lit(r"\p{Lu}")), chars),
-        "symbols": per(F.regexp_count(text, F.lit(r"[^\p{L}\p{N}\s.,]")), chars),
-        "bars": per(F.regexp_count(text, F.lit(r" \| ")), words),
-        "digits": per(F.regexp_count(text, F.lit(r"[0-9]")), chars),
-        "stops": per(F.regexp_count(text, F.lit(r"[.!?]\s")), words),
-        "new_words": per(F.size(F.array_distinct(tokens)), words),
-        "new_lines": per(F.size(F.array_distinct(lines)), F.size(lines)),
-    }
-    if lexicon:
-        out["lexicon"] = F.regexp_count(F.lower(text), F.lit(r"\b(?:" + "|".join(map(re.escape, lexicon)) + r")\b")).cast("double")
-    return out
+    tokens = F.split(F.lower(text), r"[\s.,;:!?]+")
+    listed = F.array(*[F.lit(w) for w in lexicon]) if lexicon else F.array().cast("array<string>")
+    sizes = lambda t, d: F.struct(F.size(t).cast("double").alias("words"), F.size(d).cast("double").alias("distinct"), F.size(F.array_intersect(d, listed)).cast("double").alias("lexicon"))
+    words = F.transform(F.array(tokens), lambda t: F.transform(F.array(F.array_distinct(t)), lambda d: sizes(t, d))[0])[0]
+    lines = F.transform(F.array(F.split(text, "\n")), lambda t: per(F.size(F.array_distinct(t)), F.size(t)))[0]
+    return {"words": words, "upper": per(count("[A-Z\u00c0-\u00de]"), chars), "symbols": per(count(r"[\x21-\x2b\x2d\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]"), chars), "bars": count(r" \| "), "digits": per(count("[0-9]"), chars), "stops": count(r"[.!?]\s"), "new_lines": lines, "chars": chars.cast("double")}
+
+
+def derived(stats: str) -> dict[str, Column]:
+    """The numbers that rules name, from a struct of statistics."""
+    c = lambda k: F.col(f"{stats}.{k}")
+    per = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    words = c("words.words")
+    return {"words": words, "word_length": per(c("chars"), words), "upper": c("upper"), "symbols": c("symbols"), "bars": per(c("bars"), words), "digits": c("digits"), "stops": per(c("stops"), words), "new_words": per(c("words.distinct"), words), "new_lines": c("new_lines"), "lexicon": c("words.lexicon")}
+
+
+def measured(docs: DataFrame, text: Column, lexicon: list[str]) -> DataFrame:
+    """The rows with ``__stats``, null for a null or blank text. A generator keeps the optimizer from
+    evaluating the statistics again for each use."""
+    stats = F.struct(*[c.alias(k) for k, c in statistics(text, lexicon).items()])
+    return docs.withColumn("__stats", F.explode(F.array(F.when(text.rlike(r"\S"), stats))))
 
 
 Rule = tuple[tuple[str, str, float], ...]
@@ -62,12 +70,11 @@ class Model:
 
     def score(self, stats: str = "__stats") -> Column:
         """The log-odds of a good document, over a struct of its statistics."""
-        total = F.lit(float(self.bias))
+        total, value = F.lit(float(self.bias)), derived(stats)
         for rule, w in zip(self.rules, self.weights, strict=True):
             hit = None
             for name, op, at in rule:
-                c = F.col(f"{stats}.{name}")
-                one = c <= F.lit(at) if op == "<=" else c > F.lit(at)
+                one = value[name] <= F.lit(at) if op == "<=" else value[name] > F.lit(at)
                 hit = one if hit is None else hit & one
             total = total + F.when(hit, F.lit(float(w))).otherwise(F.lit(0.0))
         return total
@@ -165,8 +172,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     text = only(docs, id_col, text_col).toDF("id", "text").where(F.col("text").isNotNull())
     chosen = durable(text.join(F.broadcast(lab), "id"))
     lexicon = learn_lexicon(chosen)
-    stats = statistics(F.col("text"), lexicon)
-    rows = chosen.select("id", (F.col("quality") * (1 - F.col("toxic"))).alias("__y"), *[c.alias(k) for k, c in stats.items()]).orderBy("id", "__y").toPandas()
+    stats = derived("__stats")
+    marked = measured(chosen, F.col("text"), lexicon).where("__stats IS NOT NULL")
+    rows = marked.select("id", (F.col("quality") * (1 - F.col("toxic"))).alias("__y"), *[c.alias(k) for k, c in stats.items()]).orderBy("id", "__y").toPandas()
     y = (rows["__y"].to_numpy() > 0).astype(float)
     names = list(stats)
     x = rows[names].to_numpy(float)
@@ -188,10 +196,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     A null or blank text gets null. A column ``quality_score`` of the input is replaced.
     """
-    stats = F.struct(*[c.alias(k) for k, c in statistics(F.col(f"`{text_col}`"), model.lexicon).items()])
-    have = F.length(F.trim(F.col(f"`{text_col}`"))) > 0
-    # a generator keeps the optimizer from evaluating the statistics again for each use
-    base = docs.withColumn("__stats", F.explode(F.array(F.when(have, stats))))
+    base = measured(docs, F.col(f"`{text_col}`"), model.lexicon)
     p = 1 / (1 + F.exp(-model.score()))
     return base.withColumn("quality_score", F.when(F.col("__stats").isNotNull(), p)).drop("__stats")
 
