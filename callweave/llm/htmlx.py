@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from callweave.llm.common import map_arrow
+from callweave.llm.common import durable, map_arrow
 
 #: Comments, elements whose content is no text, and tags. A missing end runs to the end of the page.
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
@@ -30,6 +30,8 @@ ENDS_P = BREAKS - {"br", "td"}
 NAME = re.compile(r"[0-9]+")
 SPACES = re.compile(r"[ \t\r\f\v]+")
 BLANKS = re.compile(r"\s*\n\s*")
+#: Hosts with their paths are sent to all tasks up to this size; then pages need not move.
+BROADCAST_BYTES = 32 << 20
 #: A container at this depth takes part in no path.
 DEEPEST = 200
 
@@ -190,7 +192,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     without text, or without a container that scores, what text it has outside of scripts. Other
     columns are not read; repeated rows vote and return each; an empty table gives an empty result.
     """
-    best = winners(votes(pages, url_col, html_col)).withColumnRenamed("path", "__win")
+    best = durable(winners(votes(pages, url_col, html_col)).withColumnRenamed("path", "__win"))
+    size = best.agg(F.sum(F.length("host") + F.length("__win") + 64)).first()[0] or 0
+    if size <= BROADCAST_BYTES:  # else a join by host, whose large hosts the session's skew join splits
+        best = F.broadcast(best)
     src = pages.select(F.col(f"`{id_col}`").alias("__id"), host_of(F.col(f"`{url_col}`")).alias("host"), F.col(f"`{html_col}`").alias("__html"))
     joined = src.join(best, "host", "left").select("__id", "host", "__html", "__win")
 
