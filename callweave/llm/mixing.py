@@ -25,7 +25,7 @@ TEMPER = 0.8
 BLOCK = 64
 SHARD_BLOCKS = 64
 #: Rows of a source that one task puts in order, about.
-BUCKET = 4096
+BUCKET = 1024
 SEED = 17
 
 
@@ -139,3 +139,9 @@ def mix(docs: DataFrame, weights: dict | None = None, source_col: str = "source"
     chosen = ranked.withColumn("shard", F.get("__blocks", at)["__shard"])
     shuffled = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 1), "__h"), "__k", "__rank")
     return chosen.withColumn("shard_pos", F.row_number().over(shuffled) - 1).select(*docs.columns, "shard", "shard_pos")
+
+
+def laid_out(mixture: DataFrame) -> DataFrame:
+    """The mixture's rows by shard and in the shard's order. ``mix`` leaves each shard in one
+    partition, so this sorts and moves nothing."""
+    return mixture.sortWithinPartitions("shard", "shard_pos")
