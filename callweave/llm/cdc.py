@@ -47,13 +47,19 @@ def cuts(text: str, chunk: int = CHUNK) -> np.ndarray:
     return np.flatnonzero(end) + 1
 
 
+def keyed(docs: DataFrame, text_col: str) -> DataFrame:
+    """The rows with ``__tag``, 32 bits of a digest of the text: with the id it is a row's key."""
+    return docs.withColumn("__tag", F.shiftright(F.xxhash64(F.col(f"`{text_col}`")), 32).cast("int"))
+
+
 def chunks(docs: DataFrame, id_col: str, text_col: str, chunk: int) -> DataFrame:
-    """``id``, ``start``, ``size``, ``words`` and ``digest`` of each chunk, and ``again``: the text has
-    the chunk before."""
+    """``id``, ``place``, ``size``, ``words`` and ``digest`` of each chunk. A place is the tag of the
+    row's text above the chunk's start."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids = batch.column(0).to_numpy()
         every = batch.column(1).to_pylist()
+        tags = batch.column(2).to_numpy().astype(np.int64) << 32
         for a, b in slices(every):
             texts = every[a:b]
             size = np.array([len(t) for t in texts])
@@ -77,32 +83,30 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, chunk: int) -> DataFrame
             doc = np.searchsorted(stop, first, side="right")
             digest = xxhash.xxh3_64_intdigest
             digests = np.array([digest(joined[s:e].encode("utf-8", "surrogatepass")) for s, e in zip(first.tolist(), at.tolist(), strict=True)], np.uint64).view(np.int64)
-            _, fresh = np.unique((digests.view(np.uint64) ^ doc.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x9E3779B97F4A7C15), return_index=True)
-            again = np.ones(len(at), bool)
-            again[fresh] = False
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a + doc]), pa.array((first - begin[doc]).astype(np.int32)), pa.array((at - first).astype(np.int32)), pa.array(words), pa.array(digests), pa.array(again)], names=["id", "start", "size", "words", "digest", "again"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a + doc]), pa.array(tags[a + doc] | (first - begin[doc])), pa.array((at - first).astype(np.int32)), pa.array(words), pa.array(digests)], names=["id", "place", "size", "words", "digest"])
 
-    rows = only(docs, id_col, text_col).where(F.col(f"`{id_col}`").isNotNull() & (F.col(f"`{text_col}`") != ""))
-    return map_arrow(rows, run, "id long, start int, size int, words int, digest long, again boolean")
+    rows = keyed(only(docs, id_col, text_col), text_col).where(F.col(f"`{id_col}`").isNotNull() & (F.col(f"`{text_col}`") != ""))
+    return map_arrow(rows, run, "id long, place long, size int, words int, digest long")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, min_words: int = MIN_WORDS) -> DataFrame:
-    """The passages to cut: ``id``, their ``spans`` (start and length in characters) in order, and
-    ``first_ids``, the documents that keep a copy.
+    """The passages to cut: ``id`` and ``tag`` of a row, their ``spans`` (start and length in
+    characters) in order, and ``first_ids``, the documents that keep a copy.
 
     The first place of a chunk is that of least id, then least position. A run of neighbouring
     chunks that have an earlier place is a passage when it holds ``min_words`` words or more. Rows
-    with a null id or text or an empty text have none; ids are taken to be distinct, rows of one id
-    count as one text each.
+    with a null id or text or an empty text have none. Rows equal in id and text are one text, and
+    each loses the same; texts that share an id are told apart by their tags.
     """
     every = chunks(docs, id_col, text_col, chunk)
-    known = every.groupBy("digest", "size").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "size", "first")
-    later = every.join(known, ["digest", "size"]).where("again or id <> first")
-    rows = later.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "size", "words", "first"))).alias("found"))
+    known = every.groupBy("digest", "size").agg(F.min(F.struct("id", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "size", "first")
+    later = every.join(known, ["digest", "size"]).where("id <> first.id or place <> first.place")
+    found = F.array_sort(F.collect_set(F.struct(F.col("place").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("start"), "size", "words", F.col("first.id").alias("first"))))
+    rows = later.groupBy("id", F.shiftright("place", 32).cast("int").alias("tag")).agg(found.alias("found"))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids = batch.column(0).to_numpy()
-        lists = batch.column(1)
+        ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        lists = batch.column(2)
         flat = lists.flatten()
         start, size, words, first = (flat.field(k).to_numpy() for k in ("start", "size", "words", "first"))
         doc = np.repeat(np.arange(len(ids)), lists.value_lengths().to_numpy())
@@ -118,9 +122,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chu
             spans.append({"start": int(start[s]), "length": n})
             firsts.update(first[s:e].tolist())
         kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[list(out)] if out else ids[:0]), pa.array([v[0] for v in out.values()], kind), pa.array([sorted(v[1]) for v in out.values()], pa.list_(pa.int64()))], names=["id", "spans", "first_ids"])
+        at = np.array(list(out), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(tags[at]), pa.array([v[0] for v in out.values()], kind), pa.array([sorted(v[1]) for v in out.values()], pa.list_(pa.int64()))], names=["id", "tag", "spans", "first_ids"])
 
-    return map_arrow(rows, run, "id long, spans array<struct<start:int,length:int>>, first_ids array<long>")
+    return map_arrow(rows, run, "id long, tag int, spans array<struct<start:int,length:int>>, first_ids array<long>")
 
 
 def cut_out(text: str = "text", spans: str = "spans") -> F.Column:
@@ -134,8 +139,8 @@ def cut_out(text: str = "text", spans: str = "spans") -> F.Column:
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, min_words: int = MIN_WORDS) -> DataFrame:
     """All rows and columns, repeated passages cut out of ``text_col``; a text may end up empty."""
-    found = repeats(docs, id_col, text_col, chunk, min_words).select(F.col("id").alias("__id"), F.col("spans").alias("__spans"))
-    joined = docs.join(found, docs[id_col] == F.col("__id"), "left")
+    found = repeats(docs, id_col, text_col, chunk, min_words).select(F.col("id").alias("__id"), F.col("tag").alias("__of"), F.col("spans").alias("__spans"))
+    joined = keyed(docs, text_col).join(found, (F.col(f"`{id_col}`") == F.col("__id")) & (F.col("__tag") == F.col("__of")), "left")
     return joined.withColumn(text_col, cut_out(f"`{text_col}`", "__spans")).select(*docs.columns)
 
 
@@ -143,7 +148,7 @@ def changed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chu
     """Of the documents that lose a passage: ``doc_id``, ``first_doc_ids`` (documents that keep a
     copy), ``removed_chars``, ``spans`` and the remaining ``text``."""
     found = repeats(docs, id_col, text_col, chunk, min_words)
-    src = only(without(docs, "id", "spans", "first_ids") if id_col != "id" else docs, id_col, text_col).toDF("__id", "__text")
-    joined = found.join(src, F.col("id") == F.col("__id"))
+    src = keyed(only(without(docs, "id", "spans", "first_ids") if id_col != "id" else docs, id_col, text_col).toDF("__id", "__text"), "__text")
+    joined = found.join(src, (F.col("id") == F.col("__id")) & (F.col("tag") == F.col("__tag")))
     removed = F.aggregate("spans", F.lit(0), lambda a, s: a + s["length"])
     return joined.select(F.col("id").alias("doc_id"), F.col("first_ids").alias("first_doc_ids"), removed.alias("removed_chars"), "spans", cut_out("__text", "spans").alias("text"))

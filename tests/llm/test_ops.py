@@ -459,6 +459,21 @@ def test_cdc_odd_rows(spark):
     assert cdc.changed(table(spark, [line * 3])).first().text == line
 
 
+def test_repeated_rows_lose_what_one_row_would(spark):
+    rng = random.Random(21)
+    passage = prose(rng, 56, "p")
+    texts = ["\n".join([prose(rng, 40, "a"), passage, prose(rng, 40, "b")]), "\n".join([prose(rng, 40, "c"), passage, prose(rng, 40, "d")]), "\n".join([prose(rng, 90, "e"), passage])]
+    once = table(spark, texts[:2])
+    want = {r.doc_id: (r.spans, r.removed_chars, r.text) for r in cdc.changed(once).collect()}
+    assert list(want) == [1]
+    got = cdc.changed(once.union(once.where("doc_id = 1"))).collect()
+    assert [(r.spans, r.removed_chars, r.text) for r in got] == [want[1]] * 2
+    shared = once.union(table(spark, texts[2:], 1))  # a second text under id 1
+    texts_of = sorted(r.text for r in cdc.changed(shared).collect())
+    assert len(texts_of) == 2 and all(passage[20:-60] not in t for t in texts_of)
+    assert cdc.dedup(shared).count() == 3 and sorted(r.text for r in cdc.dedup(shared).where("doc_id = 1").collect()) == texts_of
+
+
 # 8 BPE
 
 
