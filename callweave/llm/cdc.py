@@ -3,26 +3,31 @@
 A gear hash rolls over the text; a chunk ends where it falls under a threshold, and after each line
 break. The cuts depend on the 16 signs before them alone, so an insertion moves no cut beyond its
 neighbourhood. Chunks are compared by digest over the whole corpus. The first place of a chunk keeps
-it; elsewhere a run of repeated chunks is cut out when it has enough words.
+it; elsewhere a run of repeated chunks is cut out when it has enough words. With ``ends`` a run is an
+anchor: it is followed outward in the first copy, character by character, to the passage's true ends
+at words, and its words are counted then.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import map_arrow, only, slices, without
+from callweave.llm.common import durable, map_arrow, only, slices
 
 #: Mean length of a chunk, in characters, without line breaks.
 CHUNK = 40
 WINDOW = 16
 #: Words in a run of repeated chunks that is cut out.
 MIN_WORDS = 30
+GAPS = " \n\t"
+WORD = re.compile(f"[^{GAPS}]+")
 _GEAR = np.random.default_rng(7).integers(0, 1 << 32, 4096, np.uint32)
 
 
@@ -53,8 +58,9 @@ def keyed(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def chunks(docs: DataFrame, id_col: str, text_col: str, chunk: int) -> DataFrame:
-    """``id``, ``place``, ``size``, ``words`` and ``digest`` of each chunk. A place is the tag of the
-    row's text above the chunk's start."""
+    """``id``, ``place``, ``size``, ``words``, ``room`` and ``digest`` of each chunk. A place is the
+    tag of the row's text above the chunk's start; room is the most words that a repeat can hold
+    before the chunk, above those after it, when no neighbouring chunk repeats whole."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids = batch.column(0).to_numpy()
@@ -81,51 +87,207 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, chunk: int) -> DataFrame
             word[1:] &= gap[:-1]
             words = np.add.reduceat(word.astype(np.int32), first).astype(np.int32)
             doc = np.searchsorted(stop, first, side="right")
+            # a cut whose window lies in a repeat is in both copies
+            so_far = np.concatenate([[0], np.cumsum(word)])
+            left = np.where(first > begin[doc], np.maximum(np.concatenate([[0], first[:-1]]) - WINDOW, begin[doc]), first)
+            right = np.minimum(at[np.minimum(np.searchsorted(at, at + WINDOW), len(at) - 1)], stop[doc])
+            room = np.minimum(so_far[first] - so_far[left] + 1, 0x7FFF) << 16 | np.minimum(so_far[right] - so_far[at] + 1, 0xFFFF)
             digest = xxhash.xxh3_64_intdigest
             digests = np.array([digest(joined[s:e].encode("utf-8", "surrogatepass")) for s, e in zip(first.tolist(), at.tolist(), strict=True)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a + doc]), pa.array(tags[a + doc] | (first - begin[doc])), pa.array((at - first).astype(np.int32)), pa.array(words), pa.array(digests)], names=["id", "place", "size", "words", "digest"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a + doc]), pa.array(tags[a + doc] | (first - begin[doc])), pa.array((at - first).astype(np.int32)), pa.array(words), pa.array(room.astype(np.int32)), pa.array(digests)], names=["id", "place", "size", "words", "room", "digest"])
 
     rows = keyed(only(docs, id_col, text_col), text_col).where(F.col(f"`{id_col}`").isNotNull() & (F.col(f"`{text_col}`") != ""))
-    return map_arrow(rows, run, "id long, place long, size int, words int, digest long")
+    return map_arrow(rows, run, "id long, place long, size int, words int, room int, digest long")
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, min_words: int = MIN_WORDS) -> DataFrame:
-    """The passages to cut: ``id`` and ``tag`` of a row, their ``spans`` (start and length in
-    characters) in order, and ``first_ids``, the documents that keep a copy.
+def later_chunks(docs: DataFrame, id_col: str, text_col: str, chunk: int) -> DataFrame:
+    """The chunks that have an earlier place, with it as ``first``.
 
-    The first place of a chunk is that of least id, then least position. A run of neighbouring
-    chunks that have an earlier place is a passage when it holds ``min_words`` words or more. Rows
-    with a null id or text or an empty text have none. Rows equal in id and text are one text, and
-    each loses the same; texts that share an id are told apart by their tags.
+    The first place of a chunk is that of least id, then least position. Rows equal in id and text
+    are one text; texts that share an id are told apart by their tags.
     """
     every = chunks(docs, id_col, text_col, chunk)
     known = every.groupBy("digest", "size").agg(F.min(F.struct("id", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "size", "first")
-    later = every.join(known, ["digest", "size"]).where("id <> first.id or place <> first.place")
-    found = F.array_sort(F.collect_set(F.struct(F.col("place").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("start"), "size", "words", F.col("first.id").alias("first"))))
-    rows = later.groupBy("id", F.shiftright("place", 32).cast("int").alias("tag")).agg(found.alias("found"))
+    return every.join(known, ["digest", "size"]).where("id <> first.id or place <> first.place")
+
+
+def by_row(later: DataFrame, *more: Column) -> DataFrame:
+    """``id``, ``tag`` and ``found``, the chunks of a row by start, each once."""
+    found = F.array_sort(F.collect_set(F.struct(F.col("place").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("start"), "size", "words", F.col("first.id").alias("first"), *more)))
+    return later.groupBy("id", F.shiftright("place", 32).cast("int").alias("tag")).agg(found.alias("found"))
+
+
+def runs(lists: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """The fields of the chunks in a column of ``found``, the row of each, and the first and past-last
+    chunk of each run of neighbours."""
+    flat = lists.flatten()
+    part = {f.name: flat.field(k).to_numpy() for k, f in enumerate(flat.type)}
+    row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (part["start"][1:] != part["start"][:-1] + part["size"][:-1])
+    at = np.flatnonzero(new)
+    return part, row, at, np.append(at[1:], len(row))
+
+
+SPANS = "id long, tag int, spans array<struct<start:int,length:int>>, first_ids array<long>"
+
+
+def spans_batch(ids: pa.Array, tags: pa.Array, spans: list, firsts: list) -> pa.RecordBatch:
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
+    return pa.RecordBatch.from_arrays([ids, tags, pa.array(spans, kind), pa.array(firsts, pa.list_(pa.int64()))], names=["id", "tag", "spans", "first_ids"])
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, min_words: int = MIN_WORDS) -> DataFrame:
+    """The passages to cut, as whole chunks: ``id`` and ``tag`` of a row, their ``spans`` (start and
+    length in characters) in order, and ``first_ids``, the documents that keep a copy.
+
+    A run of neighbouring chunks that have an earlier place is a passage when it holds ``min_words``
+    words or more. Rows with a null id or text or an empty text have none. Rows equal in id and text
+    each lose the same.
+    """
+    rows = by_row(later_chunks(docs, id_col, text_col, chunk))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        lists = batch.column(2)
-        flat = lists.flatten()
-        start, size, words, first = (flat.field(k).to_numpy() for k in ("start", "size", "words", "first"))
-        doc = np.repeat(np.arange(len(ids)), lists.value_lengths().to_numpy())
-        new = np.ones(len(start), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + size[:-1])
-        at = np.flatnonzero(new)
-        keep = np.add.reduceat(words, at) >= min_words
-        length = np.add.reduceat(size, at)
-        stop = np.append(at[1:], len(start))
+        part, row, at, stop = runs(batch.column(2))
+        keep = np.add.reduceat(part["words"], at) >= min_words
+        length = np.add.reduceat(part["size"], at)
         out: dict[int, tuple[list, set]] = {}
         for s, e, n in zip(at[keep].tolist(), stop[keep].tolist(), length[keep].tolist(), strict=True):
-            spans, firsts = out.setdefault(int(doc[s]), ([], set()))
-            spans.append({"start": int(start[s]), "length": n})
-            firsts.update(first[s:e].tolist())
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
-        at = np.array(list(out), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(tags[at]), pa.array([v[0] for v in out.values()], kind), pa.array([sorted(v[1]) for v in out.values()], pa.list_(pa.int64()))], names=["id", "tag", "spans", "first_ids"])
+            spans, firsts = out.setdefault(int(row[s]), ([], set()))
+            spans.append({"start": int(part["start"][s]), "length": n})
+            firsts.update(part["first"][s:e].tolist())
+        which = pa.array(list(out), pa.int64())
+        yield spans_batch(batch.column(0).take(which), batch.column(1).take(which), [v[0] for v in out.values()], [sorted(v[1]) for v in out.values()])
+
+    return map_arrow(rows, run, SPANS)
 
-    return map_arrow(rows, run, "id long, tag int, spans array<struct<start:int,length:int>>, first_ids array<long>")
+
+def edges(docs: DataFrame, id_col: str, text_col: str, chunk: int, min_words: int) -> DataFrame:
+    """The ends of the runs that may belong to a passage of ``min_words``: row and run, and the row
+    (``first``, ``of``) and the ``edge`` to follow there, twice its position, and 1 for a right end.
+
+    Each alignment that a run has with a first copy is followed from both of its ends.
+    """
+    rows = by_row(later_chunks(docs, id_col, text_col, chunk), F.col("first.place").alias("place"), F.col("room"))
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        part, row, at, stop = runs(batch.column(2))
+        most = np.add.reduceat(part["words"], at) + (part["room"][at] >> 16) + (part["room"][stop - 1] & 0xFFFF)
+        keep = most >= min_words
+        of, ahead = part["place"] >> 32, (part["place"] & 0x7FFFFFFF) - part["start"]
+        end = part["start"] + part["size"]
+        out: list[tuple] = []
+        for s, e in zip(at[keep].tolist(), stop[keep].tolist(), strict=True):
+            a, b = int(part["start"][s]), int(end[e - 1])
+            for first, tag, d in set(zip(part["first"][s:e].tolist(), of[s:e].tolist(), ahead[s:e].tolist(), strict=True)):
+                out += [(row[s], a, b, first, tag, 2 * p + right) for p, right in ((a + d, 0), (b + d, 1)) if p >= 0]
+        cols = list(zip(*out, strict=True)) if out else [()] * 6
+        which = pa.array(cols[0], pa.int64())
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), *[pa.array(c, k) for c, k in zip(cols[1:], kinds, strict=True)]], names=["id", "tag", "a", "b", "first", "of", "edge"])
+
+    return map_arrow(rows, run, "id long, tag int, a int, b int, first long, of int, edge long")
+
+
+def beside(src: DataFrame, id_col: str, text_col: str, found: DataFrame) -> DataFrame:
+    """``id``, ``tag``, text and ``found`` of the rows that have any. All columns of ``src`` are named,
+    so that one shuffle of it serves every such join."""
+    rest = [F.col(f"`{c}`").isNull().cast("int") for c in src.columns if c not in (id_col, text_col, "__tag")]
+    joined = src.join(found.toDF("__id", "__of", "__found"), (F.col(f"`{id_col}`") == F.col("__id")) & (F.col("__tag") == F.col("__of")))
+    return joined.select("__id", "__of", F.col(f"`{text_col}`"), "__found", sum(rest, F.lit(0)).alias("__rest"))
+
+
+def parts(text: str, wanted: list[int], chunk: int) -> Iterator[tuple[int, str]]:
+    """What lies outward of the wanted edges, as far as a repeat without a whole chunk can reach."""
+    at = cuts(text, chunk)
+    for edge in wanted:
+        p = edge >> 1
+        if p > len(text):
+            continue
+        if edge & 1:
+            k = int(np.searchsorted(at, p + WINDOW))
+            yield edge, text[p : int(at[k]) + 1 if k < len(at) else len(text)]
+        else:
+            k = int(np.searchsorted(at, p))
+            yield edge, text[max(0, int(at[k - 1]) - WINDOW - 1) if k else 0 : p]
+
+
+def left_end(text: str, a: int, b: int, part: str) -> int:
+    """Where the repeat that reaches from ``a`` to ``b`` begins, at a word, when ``part`` lies before
+    its first copy."""
+    n = 0
+    while n < len(part) and n < a and text[a - 1 - n] == part[-1 - n]:
+        n += 1
+    p = a - n
+    if not (text[p] in GAPS or ((p == 0 or text[p - 1] in GAPS) and (n == len(part) or part[-1 - n] in GAPS))):
+        p += 1
+        while p < b and text[p] not in GAPS and text[p - 1] not in GAPS:
+            p += 1
+    while 0 < p < b and text[p] in GAPS and text[p - 1] not in GAPS:  # words around it stay apart
+        p += 1
+    return p
+
+
+def right_end(text: str, a: int, b: int, part: str) -> int:
+    """As ``left_end``, for the end and what lies after the first copy."""
+    n, most = 0, min(len(part), len(text) - b)
+    while n < most and text[b + n] == part[n]:
+        n += 1
+    q = b + n
+    if not (text[q - 1] in GAPS or ((q == len(text) or text[q] in GAPS) and (n == len(part) or part[n] in GAPS))):
+        q -= 1
+        while q > a and text[q] not in GAPS and text[q - 1] not in GAPS:
+            q -= 1
+    return q
+
+
+def whole_repeats(src: DataFrame, id_col: str, text_col: str, chunk: int, min_words: int) -> DataFrame:
+    """As ``repeats``, with runs followed to their true ends before words are counted. ``src`` is
+    ``keyed`` and has no null ids."""
+    sides = durable(edges(src, id_col, text_col, chunk, min_words))
+    wanted = sides.groupBy("first", "of").agg(F.collect_set("edge").alias("edges"))
+
+    def look(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        rows, found = [], []
+        for i, (text, edge) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+            new = list(parts(text, edge, chunk))
+            rows += [i] * len(new)
+            found += new
+        which = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), pa.array([e for e, _ in found], pa.int64()), pa.array([t for _, t in found], pa.string())], names=["first", "of", "edge", "part"])
+
+    seen = map_arrow(beside(src, id_col, text_col, wanted), look, "first long, of int, edge long, part string")
+    rows = sides.join(seen, ["first", "of", "edge"]).groupBy("id", "tag").agg(F.collect_list(F.struct("a", "b", F.col("edge").bitwiseAND(F.lit(1)).alias("right"), "first", "part")).alias("found"))
+
+    def follow(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        which, out, by = [], [], []
+        for i, (text, found) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+            reach: dict[tuple, list] = {}
+            for f in found:
+                a, b = f["a"], f["b"]
+                run = reach.setdefault((a, b), [b, a, set()])
+                run[2].add(f["first"])
+                if f["right"]:
+                    run[1] = max(run[1], right_end(text, a, b, f["part"]))
+                else:
+                    run[0] = min(run[0], left_end(text, a, b, f["part"]))
+            spans: list[list[int]] = []
+            firsts: set[int] = set()
+            for p, q, ids in sorted(reach.values(), key=lambda r: r[:2]):
+                if len(WORD.findall(text, p, q)) >= min_words:
+                    firsts |= ids
+                    if spans and p <= spans[-1][1]:
+                        spans[-1][1] = max(q, spans[-1][1])
+                    else:
+                        spans.append([p, q])
+            if spans:
+                which.append(i)
+                out.append([{"start": p, "length": q - p} for p, q in spans])
+                by.append(sorted(firsts))
+        at = pa.array(which, pa.int64())
+        yield spans_batch(batch.column(0).take(at), batch.column(1).take(at), out, by)
+
+    return map_arrow(beside(src, id_col, text_col, rows), follow, SPANS).dropDuplicates(["id", "tag"])
 
 
 def cut_out(text: str = "text", spans: str = "spans") -> F.Column:
@@ -137,18 +299,25 @@ def cut_out(text: str = "text", spans: str = "spans") -> F.Column:
     return F.when(F.col(spans).isNull(), F.col(text)).otherwise(F.array_join(kept, ""))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, min_words: int = MIN_WORDS) -> DataFrame:
-    """All rows and columns, repeated passages cut out of ``text_col``; a text may end up empty."""
-    found = repeats(docs, id_col, text_col, chunk, min_words).select(F.col("id").alias("__id"), F.col("tag").alias("__of"), F.col("spans").alias("__spans"))
-    joined = keyed(docs, text_col).join(found, (F.col(f"`{id_col}`") == F.col("__id")) & (F.col("__tag") == F.col("__of")), "left")
-    return joined.withColumn(text_col, cut_out(f"`{text_col}`", "__spans")).select(*docs.columns)
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, min_words: int = MIN_WORDS, ends: bool = False) -> DataFrame:
+    """All rows and columns, repeated passages cut out of ``text_col``; a text may end up empty.
+
+    With ``ends`` passages are followed beyond whole chunks to their true ends.
+    """
+    src = keyed(docs, text_col)
+    if ends:
+        src = src.where(F.col(f"`{id_col}`").isNotNull())
+    found = (whole_repeats(src, id_col, text_col, chunk, min_words) if ends else repeats(docs, id_col, text_col, chunk, min_words)).select(F.col("id").alias("__id"), F.col("tag").alias("__of"), F.col("spans").alias("__spans"))
+    joined = src.join(found, (F.col(f"`{id_col}`") == F.col("__id")) & (F.col("__tag") == F.col("__of")), "left")
+    out = joined.withColumn(text_col, cut_out(f"`{text_col}`", "__spans")).select(*docs.columns)
+    return out.unionByName(docs.where(F.col(f"`{id_col}`").isNull())) if ends else out
 
 
-def changed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, min_words: int = MIN_WORDS) -> DataFrame:
+def changed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, min_words: int = MIN_WORDS, ends: bool = False) -> DataFrame:
     """Of the documents that lose a passage: ``doc_id``, ``first_doc_ids`` (documents that keep a
-    copy), ``removed_chars``, ``spans`` and the remaining ``text``."""
-    found = repeats(docs, id_col, text_col, chunk, min_words)
-    src = keyed(only(without(docs, "id", "spans", "first_ids") if id_col != "id" else docs, id_col, text_col).toDF("__id", "__text"), "__text")
-    joined = found.join(src, (F.col("id") == F.col("__id")) & (F.col("tag") == F.col("__tag")))
+    copy), ``removed_chars``, ``spans`` and the remaining ``text``. ``ends`` as in ``dedup``."""
+    src = keyed(only(docs, id_col, text_col).toDF("__key", "__text"), "__text").where("__key IS NOT NULL")
+    found = whole_repeats(src, "__key", "__text", chunk, min_words) if ends else repeats(docs, id_col, text_col, chunk, min_words)
+    joined = src.join(found, (F.col("__key") == F.col("id")) & (F.col("__tag") == F.col("tag")))
     removed = F.aggregate("spans", F.lit(0), lambda a, s: a + s["length"])
     return joined.select(F.col("id").alias("doc_id"), F.col("first_ids").alias("first_doc_ids"), removed.alias("removed_chars"), "spans", cut_out("__text", "spans").alias("text"))

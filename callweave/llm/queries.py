@@ -40,7 +40,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that lose a repeated passage, and what stays of them."""
-    return cdc.changed(table(spark, sf_dir, "documents"))
+    return cdc.changed(table(spark, sf_dir, "documents"), ends=True)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -474,6 +474,36 @@ def test_repeated_rows_lose_what_one_row_would(spark):
     assert cdc.dedup(shared).count() == 3 and sorted(r.text for r in cdc.dedup(shared).where("doc_id = 1").collect()) == texts_of
 
 
+def test_short_inline_passages_are_cut_to_their_ends(spark):
+    """51-word passages between unrelated words, against the words that were put in."""
+    rng = random.Random(31)
+    want, texts = {}, []
+    for i in range(150):
+        passage = prose(rng, 51, f"p{i}x")
+        before, after = prose(rng, 20, f"l{i}x"), prose(rng, 20, f"r{i}x")
+        texts += [f"{prose(rng, 15, f'a{i}x')} {passage} {prose(rng, 15, f'b{i}x')}", f"{before} {passage} {after}"]
+        want[2 * i + 1] = f"{before} {after}"
+    texts += [None, "", texts[1]]
+    docs = table(spark, texts)
+    got = {r.doc_id: r.text for r in cdc.changed(docs, ends=True).collect()}
+    caught = [i for i in want if i in got]
+    assert len(caught) >= 0.99 * len(want) and all(got[i] == want[i] for i in caught) and set(got) <= set(want) | {302}
+    assert got[302] == ""
+    left = docs.union(spark.createDataFrame([(None, "no id", "en", "s", 5)], DOCS))
+    whole = cdc.dedup(left, ends=True)
+    assert whole.columns == docs.columns
+    rows = {r.doc_id: r.text for r in whole.collect()}
+    assert len(rows) == len(texts) + 1 and rows[None] == "no id" and all(rows[i] == got.get(i, t) for i, t in enumerate(texts))
+
+
+def test_whole_ends_on_odd_rows(spark):
+    docs = odd(spark).withColumn("id", F.lit("clash")).withColumn("spans", F.lit(1))
+    assert cdc.dedup(docs, ends=True).columns == docs.columns and cdc.dedup(docs, ends=True).count() == 8
+    assert cdc.changed(docs, ends=True).count() == 0 and cdc.changed(docs.limit(0), ends=True).count() == 0
+    line = prose(random.Random(1), 40) + "\n"
+    assert cdc.changed(table(spark, [line * 3]), ends=True).first().text == line
+
+
 # 8 BPE
 
 
