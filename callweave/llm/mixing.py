@@ -22,6 +22,9 @@ from callweave.llm.common import map_arrow, without
 
 #: Share of a source without a given weight: its count to this power.
 TEMPER = 0.8
+#: Smallest sources that hold less than this share of all rows together do not set the default
+#: mixture's size, and it holds at least that share of all rows.
+SMALL, LEAST = 0.01, 0.5
 BLOCK = 64
 SHARD_BLOCKS = 64
 #: Rows of a source that one task puts in order, about.
@@ -56,6 +59,24 @@ def quotas(counts: dict, weights: dict) -> dict:
     return out
 
 
+def filled(counts: dict, weights: dict) -> dict:
+    """Rows of each source in a mixture whose size small sources don't set.
+
+    The source that sets the size gives all its rows, larger ones follow by ``quotas``, and those
+    that are short of their quota give all they have. It is the one that is shortest for its weight
+    of those with which the shorter ones hold ``SMALL`` of all rows, or a less short one until the
+    mixture holds ``LEAST`` of all rows.
+    """
+    order = sorted((s for s in counts if counts[s] > 0), key=lambda s: (counts[s] / weights[s], s is None, str(s)))
+    every, short = sum(counts.values()), 0
+    for k, s in enumerate(order):
+        out = {t: counts[t] for t in order[:k]} | quotas({t: counts[t] for t in order[k:]}, weights)
+        short += counts[s]
+        if short >= SMALL * every and sum(out.values()) >= LEAST * every:
+            return dict.fromkeys(counts, 0) | out
+    return dict(counts)
+
+
 def capacity(blocks: int, shards: int, lo: int, hi: int) -> int:
     """Blocks of shards lo to hi - 1 when they differ by one at most."""
     upto = lambda k: k * (blocks // shards) + min(k, blocks % shards)
@@ -88,8 +109,8 @@ def mix(docs: DataFrame, weights: dict | None = None, source_col: str = "source"
 
     Returns the chosen rows with all their columns and ``shard`` and ``shard_pos`` (its place in
     the shard, from 0); columns of these names in the input are replaced. ``weights`` maps source to
-    weight, in any unit; by default they follow ``target_weights``. The mixture is the largest that
-    keeps the weights without repeating a row. Rows with a null source form a source of their own,
+    weight, in any unit; the mixture is the largest that keeps them without repeating a row. By
+    default they follow ``target_weights`` and the sizes ``filled``. Rows with a null source form a source of their own,
     whose weight is that of the key None. Rows equal in all columns are distinct rows, in any order
     among themselves. Null, empty and long texts are carried unchanged. An empty table gives an
     empty result. The sources' counts, one row for each source, are the only thing collected.
@@ -99,7 +120,7 @@ def mix(docs: DataFrame, weights: dict | None = None, source_col: str = "source"
     src = F.col(f"`{source_col}`")
     counts = {r[0]: r[1] for r in docs.groupBy(src.alias("s")).count().collect()}
     names = sorted(counts, key=lambda s: (s is None, str(s)))
-    quota = quotas(counts, target_weights(counts, temper) if weights is None else weights)
+    quota = filled(counts, target_weights(counts, temper)) if weights is None else quotas(counts, weights)
     blocks = np.array([-(-quota[s] // block) for s in names], np.int64)
     total = int(blocks.sum())
     if not total:

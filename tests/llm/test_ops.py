@@ -342,6 +342,20 @@ def test_mixing_odd_rows(spark):
     assert mixing.mix(docs).count() > 0
 
 
+def test_tiny_sources_do_not_shrink_the_mixture(spark):
+    even = {f"s{i}": 500 for i in range(20)}
+    for tiny in ({"t": 1}, {None: 1}, {"t": 1, None: 3}):
+        counts = even | tiny
+        assert mixing.filled(counts, mixing.target_weights(counts)) == counts
+    counts = {"a": 1_000_000, "b": 100_000, "c": 1}
+    got = mixing.filled(counts, mixing.target_weights(counts))
+    assert got["b"] == 100_000 and got["c"] == 1 and abs(got["a"] / 100_000 - 10**0.8) < 1e-4
+    many = {"big": 90_000} | {f"t{i}": 10 for i in range(1000)}
+    assert sum(mixing.filled(many, mixing.target_weights(many)).values()) >= 50_000
+    docs = table(spark, [f"a{i}" for i in range(300)], 0, "a").union(table(spark, ["one"], 300, None)).union(table(spark, ["two"], 301, "b"))
+    assert Counter(r.source for r in mixing.mix(docs).collect()) == {"a": 300, "b": 1, None: 1}
+
+
 # 6 token counts
 
 
