@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -17,8 +19,9 @@ from pyspark.sql import functions as F
 
 from callweave.llm.common import durable, map_arrow
 
-#: Comments, elements whose content is no text, and tags. A missing end runs to the end of the page.
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
+#: Comments, elements whose content is no text, and tags. A comment, script or style without an
+#: end runs to the end of the page; the other elements count as tags then, or when self-closed.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<skip>noscript|template|svg)\b[^>]*(?<!/)>.*?</(?P=skip)\s*>|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
 CLASS = re.compile(r"""\bclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINERS = frozenset("body div article main section td".split())
@@ -32,7 +35,9 @@ SPACES = re.compile(r"[ \t\r\f\v]+")
 BLANKS = re.compile(r"\s*\n\s*")
 #: Hosts with their paths are sent to all tasks up to this size; then pages need not move.
 BROADCAST_BYTES = 32 << 20
-#: A container at this depth takes part in no path.
+#: Tags that do not end an open head.
+HEAD = frozenset("head title meta link base script style noscript template".split())
+#: Paths of more tags are named by a running digest.
 DEEPEST = 200
 
 
@@ -52,7 +57,9 @@ def walk(page: str) -> tuple[list[str], list[list]]:
     boxes: list[list] = []
     stack: list[tuple[str, int]] = []  # tag, box or -1
     open_boxes: list[int] = []
-    path: list[str] = []
+    path: list[str] = []  # of each open tag, the path to it, or its digest
+    live: Counter[str] = Counter()  # open tags by name
+    head = title = False
     links = chrome = paras = at = 0
 
     def text(s: str) -> None:
@@ -74,6 +81,7 @@ def walk(page: str) -> tuple[list[str], list[list]]:
         nonlocal links, chrome, paras
         tag, box = stack.pop()
         path.pop()
+        live[tag] -= 1
         links -= tag == "a"
         chrome -= tag in CHROME
         paras -= tag == "p"
@@ -87,15 +95,25 @@ def walk(page: str) -> tuple[list[str], list[list]]:
                     up[k] += b[k]
 
     for m in TOKEN.finditer(page):
-        text(page[at : m.start()])
-        at = m.end()
-        tag = m[3]
+        tag = m["tag"] and m["tag"].lower()
+        before, at = page[at : m.start()], m.end()
+        if head and (before.isspace() or title or not before) and (tag is None or tag in HEAD):
+            title = tag == "title" and not m["end"] or (title and tag != "title")
+            head = not (tag == "head" and m["end"])
+            continue
+        if not (head and title):
+            text(before)
+        head = title = False
         if tag is None:
             continue
-        tag = tag.lower()
+        if tag == "head":
+            head = not m["end"]
+            continue
         if tag in BREAKS:
             pieces.append("\n")
-        if m[2]:
+        if m["end"]:
+            if not live[tag]:
+                continue
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     while len(stack) > i:
@@ -104,9 +122,9 @@ def walk(page: str) -> tuple[list[str], list[list]]:
                 if stack[i][0] in CONTAINERS and tag not in CONTAINERS:
                     break
             continue
-        if tag in VOID or m[4].endswith("/"):
+        if tag in VOID or m["attrs"].endswith("/"):
             continue
-        if tag in ENDS_P or tag in ("li", "tr", "td"):
+        if (tag in ENDS_P and live["p"]) or (tag in ("li", "tr", "td") and (live["p"] or live[tag])):
             # an open p, li, tr or td of the same container ends here
             for i in range(len(stack) - 1, -1, -1):
                 name = stack[i][0]
@@ -116,19 +134,21 @@ def walk(page: str) -> tuple[list[str], list[list]]:
                     break
                 if name in CONTAINERS or name in ("ul", "ol", "table"):
                     break
-        if len(stack) >= DEEPEST:
-            continue
         box = -1
-        path.append(step(tag, m[4]))
+        own = step(tag, m["attrs"])
+        whole = f"{path[-1]}>{own}" if path else own
+        path.append(whole if len(path) < DEEPEST else "#" + blake2b(whole.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest())
         if tag in CONTAINERS:
             box = len(boxes)
-            boxes.append([">".join(path), len(pieces), 0, 0, 0, 0, 0])
+            boxes.append([path[-1], len(pieces), 0, 0, 0, 0, 0])
             open_boxes.append(box)
         stack.append((tag, box))
+        live[tag] += 1
         links += tag == "a"
         chrome += tag in CHROME
         paras += tag == "p"
-    text(page[at:])
+    if not (head and title):
+        text(page[at:])
     while stack:
         leave()
     return pieces, boxes

@@ -259,6 +259,25 @@ def test_html_follows_the_host(spark):
     assert got[0].text == f"{text}\n{text} & more\nagain"
 
 
+def test_html_keeps_the_text_after_open_and_empty_elements():
+    say = lambda page: htmlx.tidy(htmlx.walk(page)[0])
+    for top in ("<head><title>t</title><meta a=b>", "<head><title>t</title></head>", "<head><style>x</style><title>t</title><body>", "<head>"):
+        assert say(f"<html>{top}<div><p>main text</div>") == "main text"
+    assert say("<head><title>t</title>plain") == "plain" and say("<head><title>t</title></head>plain") == "plain"
+    for mark in ("<svg a='b'/>", "<svg/>", "<noscript>", "<template>", "<svg>"):
+        assert say(f"<p>one</p>{mark}<p>two</p>") == "one\ntwo"
+    assert say("<p>a<svg><text>no</text></svg>b<script>no</script>c<noscript>no</noscript>") == "abc"
+
+
+def test_html_paths_below_deep_nesting():
+    inline = "<body>" + "<b>" * 300 + "<div class=main><p>text</div><div class=side>x</div>"
+    paths = {b[0] for b in htmlx.walk(inline)[1]}
+    assert len(paths) == 3 and paths == {b[0] for b in htmlx.walk(inline)[1]}
+    deep = "<body><div class=outer>" + "<section>" * 300 + "in" + "</section>" * 300 + "<p>still outer</p></div>"
+    boxes = htmlx.walk(deep)[1]
+    assert len(boxes) == 302 and boxes[1][0] == "body>div.outer" and boxes[1][3] == len("in" + "stillouter")
+
+
 def brute_consensus(pages):
     """Winners by plain loops over the same walk."""
     votes, score = defaultdict(Counter), defaultdict(float)
