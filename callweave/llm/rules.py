@@ -28,18 +28,17 @@ CUT = 0.5
 def statistics(text: Column, lexicon: list[str]) -> dict[str, Column]:
     """The statistics of a text that rules compare, as column expressions.
 
-    Classes are of code points below 256, which the regular expressions test by a table, and words
-    are split and lowered once.
+    Words of the lexicon are runs of letters, as it is learned, and every occurrence counts.
     """
     chars = F.length(text)
     count = lambda p: F.regexp_count(text, F.lit(p)).cast("double")
     per = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0)).cast("double")
     tokens = F.split(F.lower(text), r"[\s.,;:!?]+")
-    listed = F.array(*[F.lit(w) for w in lexicon]) if lexicon else F.array().cast("array<string>")
-    sizes = lambda t, d: F.struct(F.size(t).cast("double").alias("words"), F.size(d).cast("double").alias("distinct"), F.size(F.array_intersect(d, listed)).cast("double").alias("lexicon"))
+    listed = F.size(F.filter(F.split(F.lower(text), r"\P{L}+"), lambda w: w.isin(lexicon))).cast("double") if lexicon else F.lit(0.0)
+    sizes = lambda t, d: F.struct(F.size(t).cast("double").alias("words"), F.size(d).cast("double").alias("distinct"))
     words = F.transform(F.array(tokens), lambda t: F.transform(F.array(F.array_distinct(t)), lambda d: sizes(t, d))[0])[0]
     lines = F.transform(F.array(F.split(text, "\n")), lambda t: per(F.size(F.array_distinct(t)), F.size(t)))[0]
-    return {"words": words, "upper": per(count("[A-Z\u00c0-\u00de]"), chars), "symbols": per(count(r"[\x21-\x2b\x2d\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]"), chars), "bars": count(r" \| "), "digits": per(count("[0-9]"), chars), "stops": count(r"[.!?]\s"), "new_lines": lines, "chars": chars.cast("double")}
+    return {"words": words, "lexicon": listed, "upper": per(count(r"\p{Lu}"), chars), "symbols": per(count(r"[^\p{L}\p{N}\s.,]"), chars), "bars": count(r" \| "), "digits": per(count("[0-9]"), chars), "stops": count(r"[.!?]\s"), "new_lines": lines, "chars": chars.cast("double")}
 
 
 def derived(stats: str) -> dict[str, Column]:
@@ -47,7 +46,7 @@ def derived(stats: str) -> dict[str, Column]:
     c = lambda k: F.col(f"{stats}.{k}")
     per = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     words = c("words.words")
-    return {"words": words, "word_length": per(c("chars"), words), "upper": c("upper"), "symbols": c("symbols"), "bars": per(c("bars"), words), "digits": c("digits"), "stops": per(c("stops"), words), "new_words": per(c("words.distinct"), words), "new_lines": c("new_lines"), "lexicon": c("words.lexicon")}
+    return {"words": words, "word_length": per(c("chars"), words), "upper": c("upper"), "symbols": c("symbols"), "bars": per(c("bars"), words), "digits": c("digits"), "stops": per(c("stops"), words), "new_words": per(c("words.distinct"), words), "new_lines": c("new_lines"), "lexicon": c("lexicon")}
 
 
 def measured(docs: DataFrame, text: Column, lexicon: list[str]) -> DataFrame:

@@ -668,6 +668,14 @@ def test_held_out_accuracy(spark):
     assert np.mean([r.kept for r in scored if r.good]) > 0.97
 
 
+def test_lexicon_words_count_wherever_they_stand(spark):
+    texts = ["a \"idiot\" (idiot) *idiot* idiot-like #idiot Idiot, trash### idiots", "idiot", "idiotic", "\u00c9\u0391\u0416a \u00ab\u20ac\u00bb"]
+    stats = [r[0] for r in rules.measured(table(spark, texts), F.col("text"), ["idiot", "trash"]).orderBy("doc_id").select(rules.derived("__stats")["lexicon"]).collect()]
+    assert stats == [7, 1, 0, 0]
+    upper, symbols = rules.measured(table(spark, texts[3:]), F.col("text"), []).select("__stats.upper", "__stats.symbols").first()
+    assert (upper, symbols) == (3 / 8, 3 / 8)
+
+
 def test_rules_odd_rows(spark):
     docs, lab = marked(spark)
     m = rules.fit(docs, lab)
