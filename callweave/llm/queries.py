@@ -49,9 +49,8 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every pair of vectors whose cosine reaches the threshold."""
-    pairs = embed.near_pairs(table(spark, sf_dir, "embeddings"))
-    return pairs.selectExpr("id_a AS vec_id_a", "id_b AS vec_id_b", "round(cosine, 5) AS cosine")
+    """The class of every vector, joined by cosines that reach the threshold, and its number of links."""
+    return embed.classes(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
 def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -608,16 +608,49 @@ def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>")
 
 
-def test_near_pairs_against_all_pairs(spark):
-    rng = np.random.default_rng(2)
-    base = rng.normal(size=(300, 24)) * np.linspace(2, 0.3, 24)
-    x = np.concatenate([base, base[:60] + 0.08 * rng.normal(size=(60, 24)), base[:5], np.repeat(base[:1], 40, 0)]).astype(np.float32)
-    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
-    s = u @ u.T
-    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(s >= 0.9, 1)), strict=True)}
-    out = embed.near_pairs(vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)]), tile=32, step=4).collect()
-    assert {(r.id_a, r.id_b) for r in out} == want and len(want) > 800 and len(out) == len(want)
-    assert all(abs(r.cosine - s[r.id_a, r.id_b]) < 1e-9 for r in out)
+def brute_classes(rows):
+    """Of each row of (id, vector), by its place: the least id of its component, and its links."""
+    x = np.array([v for _, v in rows], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= embed.THRESHOLD
+    out = []
+    for k in range(len(rows)):
+        seen, todo = {k}, [k]
+        while todo:
+            for j in np.flatnonzero(near[todo.pop()]).tolist():
+                if j not in seen:
+                    seen.add(j)
+                    todo.append(j)
+        out.append((rows[k][0], min(rows[j][0] for j in seen), int(near[k].sum()) - 1))
+    return sorted(out)
+
+
+def cloud(rng):
+    """Spread vectors, a chain, a ball within reach of itself, looser groups, and copies."""
+    spread = rng.normal(size=(150, 12))
+    ball = rng.normal(size=12) + 0.01 * rng.normal(size=(150, 12))
+    loose = np.repeat(rng.normal(size=(12, 12)), 10, axis=0) + 0.3 * rng.normal(size=(120, 12))
+    angle = np.arange(12) * 0.4
+    chain = np.zeros((12, 12))
+    chain[:, 3], chain[:, 7] = np.cos(angle), np.sin(angle)
+    every = np.concatenate([spread, ball, loose, chain, ball[:20], spread[:7]])
+    return [(int(i), v.tolist()) for i, v in zip(rng.permutation(len(every)), every.astype(np.float32), strict=True)]
+
+
+@pytest.mark.parametrize(("block", "tile"), [(16, 4), (64, 16), (8192, 512)])
+def test_classes_against_all_pairs(spark, block, tile):
+    rows = cloud(np.random.default_rng(3))
+    want = brute_classes(rows)
+    assert len({c for _, c, _ in want}) < len(rows) - 200 and max(n for *_, n in want) > 100
+    got = embed.classes(vectors(spark, rows), block=block, tile=tile, step=4).collect()
+    assert sorted(tuple(r) for r in got) == want
+
+
+def test_classes_of_names_and_clashing_columns(spark):
+    rows = [(f"v{i:03}", v) for i, v in cloud(np.random.default_rng(4))[:200]]
+    t = spark.createDataFrame([(i, v, 1, "x", 2.0) for i, v in rows], "vec_id string, embedding array<double>, h int, s string, links double")
+    got = embed.classes(t, block=32, tile=8).collect()
+    assert sorted(tuple(r) for r in got) == brute_classes(rows)
 
 
 def test_suffix_bound_saves_work():
@@ -631,11 +664,14 @@ def test_suffix_bound_saves_work():
 def test_embeddings_odd_rows(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [None, 1.0]), (None, [1.0, 0.0]), (8, [float("inf"), 1.0])]
     t = vectors(spark, rows).withColumn("id", F.lit("clash")).withColumn("x", F.lit(1))
-    assert [(r.id_a, r.id_b) for r in embed.near_pairs(t).collect()] == [(1, 2)]
-    assert embed.near_pairs(t.limit(0)).count() == 0
-    assert embed.near_pairs(t.where("vec_id = 5")).count() == 0
-    with pytest.raises(Exception, match="different lengths"):
-        embed.near_pairs(vectors(spark, [(1, [1.0]), (2, [1.0, 2.0])]).repartition(2, "vec_id")).count()
+    assert sorted(tuple(r) for r in embed.classes(t).collect()) == [(1, 1, 2), (2, 1, 2), (2, 1, 2)]
+    assert embed.classes(t.limit(0)).count() == 0
+    assert embed.classes(t.where("vec_id = 5")).count() == 0
+    one = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0])], "vec_id int, embedding array<double>")
+    assert sorted(tuple(r) for r in embed.classes(one).collect()) == [(1, 1, 0), (1, 1, 1), (2, 1, 1)]
+    for parts in (1, 2):  # also within one batch
+        with pytest.raises(Exception, match="different lengths"):
+            embed.classes(vectors(spark, [(1, [1.0]), (2, [1.0, 2.0])]).repartition(parts, "vec_id"))
 
 
 # 10 rules
