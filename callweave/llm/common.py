@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -19,19 +21,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the folder that all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's ``spark.checkpoint.dir``. Where that is
+    unset a local session (tests) gets a temporary one, and any other is an error."""
+    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if given:
+        return given
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir names no folder that the executors share")
+    return tempfile.mkdtemp(prefix="callweave-")
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests) a
-    temporary one is made.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a checkpoint in the shared folder."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="callweave-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """As ``durable``, as a Parquet table of the shared folder: compressed, read by column."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    path = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, longer where the table has such columns, whatever their case."""
+    low = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in low:
+            n += "_"
+        low.add(n.lower())
+        out.append(n)
+    return out
+
+
 def slices(texts: list, limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Consecutive index ranges of about ``limit`` characters; one longer text stands alone."""
     start = size = 0

@@ -12,14 +12,14 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import durable, map_arrow, only
+from callweave.llm.common import durable, fresh, map_arrow, only
 
 SEGMENTS, SEGMENT_BITS = 12, 23
 BITS = SEGMENTS * SEGMENT_BITS
@@ -28,6 +28,9 @@ MAX_BITS = 40
 #: The decoded segment and, for its key, the segment that gives raw bits, by distance around the ring.
 STEPS = (1, 4)
 RAW_BITS = 18
+#: Texts of a key that one task compares, about. A key that has far more in a sample of one in
+#: ``THIN`` is cut into parts, and all pairs of parts are compared.
+PART, THIN = 2048, 64
 WORDS = re.compile(r"\w+")
 ROWS = 1 << 16
 _TABLES: dict[str, np.ndarray] = {}
@@ -125,7 +128,8 @@ def components(edges: DataFrame, limit: int = 50) -> DataFrame:
     """``id`` and ``root``, the least id of its component, of each end of the edges ``a``, ``b``.
 
     Alternates large and small stars until nothing changes; each round is cut from its lineage by a
-    checkpoint. ``limit`` rounds join components of any practical length; more is an error.
+    checkpoint. The rounds grow with the logarithm of a component's size, so ``limit`` is never
+    reached; a RuntimeError there rather than a wrong result.
     """
     e = durable(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     mark = None
@@ -159,7 +163,34 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int32())), lists], names=["id", "fp"])
 
     rows = only(docs, id_col, text_col).where(F.col(f"`{id_col}`").isNotNull() & (F.col(f"`{text_col}`") != ""))
-    return map_arrow(rows, run, "id long, fp array<long>")
+    return map_arrow(rows, run, f"id {docs.schema[id_col].dataType.simpleString()}, fp array<long>")
+
+
+def buckets(keyed: DataFrame, keys_of: Callable[[DataFrame], DataFrame], heads: DataFrame) -> DataFrame:
+    """``heads``, each a sorted set of fingerprints to be compared with one another.
+
+    The sets are those of each key. A key with many heads, as a sample tells, gives the union of
+    each two of its parts instead; a part holds the heads with the same lower bits, so that keys
+    with the same heads have the same parts and each two are compared once.
+    """
+    thin = keys_of(heads.where(F.pmod(F.xxhash64("head"), F.lit(THIN)) == 0)).groupBy("key").agg((F.count("*") * THIN).alias("size"))
+    large = durable(thin.where(F.col("size") > 4 * PART).select("key", F.expr(f"shiftleft(1, cast(ceil(log2(size / {PART})) as int))").alias("parts")))
+    if not large.isEmpty():
+        # a row for each PART heads of a key at the most
+        keyed = keyed.join(large, "key", "left").withColumn("part", F.pmod(F.xxhash64("head"), F.coalesce("parts", F.lit(1))))
+    else:
+        keyed = keyed.withColumns({"parts": F.lit(None).cast("int"), "part": F.lit(0)})
+    sets = keyed.groupBy("key", "part").agg(F.array_sort(F.collect_set("head")).alias("heads"), F.first("parts").alias("parts"))
+    one = sets.where("parts IS NULL AND size(heads) > 1").select("heads")
+    if large.isEmpty():
+        return one.distinct()
+    some = durable(sets.where("parts IS NOT NULL").select("key", F.xxhash64("heads", F.lit(1)).alias("h1"), F.xxhash64(F.lit(2), "heads").alias("h2"), "heads"))
+    name = some.select("key", F.struct("h1", "h2").alias("p"))
+    two = name.join(name.toDF("key", "q"), "key").where("p < q").select("p", "q").distinct()
+    body = some.select(F.struct("h1", "h2").alias("p"), "heads").dropDuplicates(["p"])
+    lone = some.groupBy("key").agg(F.count("*").alias("n"), F.first("heads").alias("heads")).where("n = 1").select("heads")
+    pairs = two.join(body, "p").join(body.toDF("q", "more"), "q").select(F.array_sort(F.array_union("heads", "more")).alias("heads"))
+    return one.union(lone).distinct().union(pairs)
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, steps: tuple = STEPS, raw_bits: int = RAW_BITS) -> DataFrame:
@@ -167,13 +198,17 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_
 
     A group is a component of the relation "differs in ``max_bits`` bits or fewer"; its root is the
     least id. The order and number of a text's words play no part. Rows with a null id or text or an
-    empty text are in no group; rows of one id are one document, with the first of its fingerprints
-    that holds; texts without words count as one word. Other columns are not read. An empty table
-    gives an empty result.
+    empty text are in no group; texts without words count as one word, long texts are read whole.
+    Rows of one id are one document; where their texts differ it is in the group of the least root.
+    Ids may be of any type that can be ordered. Other columns are not read. An empty table gives an
+    empty result.
     """
     fp = durable(fingerprints(docs, id_col, text_col))
-    heads = durable(fp.groupBy("fp").agg(F.min("id").alias("head")))
-    same = fp.join(heads, "fp").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
+    # equal fingerprints are compared once, under a number that the checkpoint fixes
+    equal = fp.groupBy("fp").agg(F.min("id").alias("least"), F.max("id").alias("most"))
+    heads = durable(equal.withColumn("head", F.monotonically_increasing_id()))
+    # a head brings more than a hundred keys: few heads in a task
+    few = heads.repartition(max(1, heads.count() // 8192), "head").select("head", "fp")
 
     def emit(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids = batch.column(0).to_numpy()
@@ -182,10 +217,10 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_
             row, key = search_keys(unpack(packed[at : at + 4096]), steps, raw_bits)
             yield pa.RecordBatch.from_arrays([pa.array(ids[at + row]), pa.array(key)], names=["head", "key"])
 
-    keyed = map_arrow(heads.select("head", "fp"), emit, "head long, key long")
-    buckets = keyed.groupBy("key").agg(F.array_sort(F.collect_set("head")).alias("heads")).where(F.size("heads") > 1)
-    sets = buckets.select("heads").distinct().select(F.xxhash64("heads", F.lit(1)).alias("h1"), F.xxhash64(F.lit(2), "heads").alias("h2"), F.explode("heads").alias("head"))
-    full = sets.join(heads, "head").groupBy("h1", "h2").agg(F.collect_list(F.struct("head", "fp")).alias("members"))
+    keys_of = lambda h: map_arrow(h, emit, "head long, key long")
+    sets = buckets(keys_of(few), keys_of, few)
+    sets = sets.select(F.xxhash64("heads", F.lit(1)).alias("h1"), F.xxhash64(F.lit(2), "heads").alias("h2"), F.explode("heads").alias("head"))
+    full = sets.join(heads.select("head", "fp"), "head").groupBy("h1", "h2").agg(F.collect_list(F.struct("head", "fp")).alias("members"))
 
     def verify(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -201,15 +236,28 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
     near = map_arrow(full.select("members"), verify, "a long, b long").distinct()
-    return components(same.union(near))
+    tree = components(near).toDF("head", "root")
+    known = heads.join(tree, "head", "left").withColumn("root", F.coalesce("root", "head"))
+    of = known.groupBy("root").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least <> most").select("root", F.col("least").alias("first"))
+    found = fp.join(known.join(of, "root").select("fp", "first"), "fp")
+    return found.groupBy("id").agg(F.min("first").alias("root"))
 
 
 def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: object) -> DataFrame:
-    """``doc_id`` of each document to drop and ``kept_doc_id``, the one of its group that stays."""
+    """``doc_id`` of each document to drop and ``kept_doc_id``, the one of its group that stays.
+
+    Nulls, empty and long texts, repeated rows, clashing columns and empty tables as in ``groups``.
+    """
     return groups(docs, id_col, text_col, **how).where("id <> root").select(F.col("id").alias("doc_id"), F.col("root").alias("kept_doc_id"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: object) -> DataFrame:
-    """The documents with one of each group, its columns as they were; rows in no group stay."""
-    drop = duplicates(docs, id_col, text_col, **how).select(F.col("doc_id").alias("__drop"))
-    return docs.join(drop, docs[id_col] == F.col("__drop"), "left_anti")
+    """The documents with one of each group, its columns as they were.
+
+    Rows in no group stay, those with a null id or a null or empty text among them, and so do all
+    rows of the document that stays. Columns of any name are carried; an empty table gives an empty
+    result.
+    """
+    (drop,) = fresh(docs, "__drop")
+    gone = duplicates(docs, id_col, text_col, **how).select(F.col("doc_id").alias(drop))
+    return docs.join(gone, docs[f"`{id_col}`"] == F.col(drop), "left_anti")

@@ -99,6 +99,28 @@ def test_simhash_against_all_pairs(spark):
     assert kept == set(range(len(texts))) - set(got)
 
 
+def test_simhash_of_names_and_clashing_columns(spark):
+    texts = near_corpus(random.Random(5))[:120]
+    names = {f"d{i:03}": t for i, t in enumerate(texts)}
+    docs = spark.createDataFrame([(k, t, 1, 2) for k, t in names.items()], "doc_id string, text string, __drop int, head int")
+    plain = {(f"d{r.doc_id:03}", f"d{r.kept_doc_id:03}") for r in simhash.duplicates(table(spark, texts)).collect()}
+    assert {tuple(r) for r in simhash.duplicates(docs).collect()} == plain and plain
+    kept = simhash.dedup(docs)
+    assert kept.columns == docs.columns and kept.count() == len(texts) - len(plain)
+
+
+def test_large_keys_are_compared_in_parts(spark, monkeypatch):
+    rng = random.Random(6)
+    base = prose(rng, 300).split()
+    texts = [" ".join([*base[:k], f"edit{k}", *base[k + 1 :]]) for k in range(120)] + [prose(rng, 80, f"x{k}") for k in range(40)]
+    want = brute_groups(texts)
+    assert len(want) > 100
+    monkeypatch.setattr(simhash, "PART", 8)
+    monkeypatch.setattr(simhash, "THIN", 1)
+    got = {r.doc_id: r.kept_doc_id for r in simhash.duplicates(table(spark, texts)).collect()}
+    assert got == want
+
+
 def test_links_join_what_all_pairs_join():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 46, (4, 6))
