@@ -14,12 +14,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import durable, only
+from callweave.llm.common import durable, fresh, only, without
 
 #: Labelled documents that the model is fitted on, at most.
 SAMPLE = 20_000
-#: Words of the learned lexicon, at most, and how it is chosen.
-LEXICON, LEXICON_DOCS, LEXICON_ODDS = 256, 5, 30.0
+#: Toxic documents of the sample that a word of the learned lexicon is in, and its odds there.
+LEXICON_DOCS, LEXICON_ODDS = 5, 30.0
 TREES, DEPTH, RATE, BINS, LEAST = 24, 3, 0.3, 48, 6
 PENALTY = 0.002
 CUT = 0.5
@@ -49,11 +49,11 @@ def derived(stats: str) -> dict[str, Column]:
     return {"words": words, "word_length": per(c("chars"), words), "upper": c("upper"), "symbols": c("symbols"), "bars": per(c("bars"), words), "digits": c("digits"), "stops": per(c("stops"), words), "new_words": per(c("words.distinct"), words), "new_lines": c("new_lines"), "lexicon": c("lexicon")}
 
 
-def measured(docs: DataFrame, text: Column, lexicon: list[str]) -> DataFrame:
-    """The rows with ``__stats``, null for a null or blank text. A generator keeps the optimizer from
-    evaluating the statistics again for each use."""
+def measured(docs: DataFrame, text: Column, lexicon: list[str], name: str) -> DataFrame:
+    """The rows with a column of that name, null for a null or blank text. A generator keeps the
+    optimizer from evaluating the statistics again for each use."""
     stats = F.struct(*[c.alias(k) for k, c in statistics(text, lexicon).items()])
-    return docs.withColumn("__stats", F.explode(F.array(F.when(text.rlike(r"\S"), stats))))
+    return docs.withColumn(name, F.explode(F.array(F.when(text.rlike(r"\S"), stats))))
 
 
 Rule = tuple[tuple[str, str, float], ...]
@@ -67,7 +67,7 @@ class Model:
     bias: float = 0.0
     sample: int = 0
 
-    def score(self, stats: str = "__stats") -> Column:
+    def score(self, stats: str) -> Column:
         """The log-odds of a good document, over a struct of its statistics."""
         total, value = F.lit(float(self.bias)), derived(stats)
         for rule, w in zip(self.rules, self.weights, strict=True):
@@ -148,15 +148,15 @@ def lasso(r: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 600) -> tu
 
 
 def learn_lexicon(text: DataFrame) -> list[str]:
-    """Words of the sample that mark toxic documents: seen in enough of them, and rarely elsewhere."""
+    """Words of the sample that mark toxic documents: seen in enough of them, and rarely elsewhere.
+    All of them: their number is bounded by the sample alone."""
     word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)))
     n = text.agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") == 0).alias("c")).first()
     if not n or not n.t or not n.c:
         return []
     seen = text.select("toxic", word.alias("word")).groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") == 0).alias("c"))
     odds = (F.col("t") / n.t) / ((F.col("c") + 0.5) / n.c)
-    top = seen.where((F.col("t") >= LEXICON_DOCS) & (odds >= LEXICON_ODDS)).orderBy(F.desc("t"), "word").limit(LEXICON)
-    return sorted(r.word for r in top.collect())
+    return sorted(r.word for r in seen.where((F.col("t") >= LEXICON_DOCS) & (odds >= LEXICON_ODDS)).collect())
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, penalty: float = PENALTY) -> Model:
@@ -172,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = durable(text.join(F.broadcast(lab), "id"))
     lexicon = learn_lexicon(chosen)
     stats = derived("__stats")
-    marked = measured(chosen, F.col("text"), lexicon).where("__stats IS NOT NULL")
+    marked = measured(chosen, F.col("text"), lexicon, "__stats").where("__stats IS NOT NULL")
     rows = marked.select("id", (F.col("quality") * (1 - F.col("toxic"))).alias("__y"), *[c.alias(k) for k, c in stats.items()]).orderBy("id", "__y").toPandas()
     y = (rows["__y"].to_numpy() > 0).astype(float)
     names = list(stats)
@@ -195,9 +195,11 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     A null or blank text gets null. A column ``quality_score`` of the input is replaced.
     """
-    base = measured(docs, F.col(f"`{text_col}`"), model.lexicon)
-    p = 1 / (1 + F.exp(-model.score()))
-    return base.withColumn("quality_score", F.when(F.col("__stats").isNotNull(), p)).drop("__stats")
+    docs = without(docs, "quality_score")
+    (name,) = fresh(docs, "__stats")
+    base = measured(docs, F.col(f"`{text_col}`"), model.lexicon, name)
+    p = 1 / (1 + F.exp(-model.score(name)))
+    return base.withColumn("quality_score", F.when(F.col(name).isNotNull(), p)).drop(name)
 
 
 def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT, **how: object) -> DataFrame:

@@ -7,13 +7,14 @@ import math
 import os
 import random
 import re
+import unicodedata
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from callweave.llm import bpe, cdc, chat, crf, embed, htmlx, mixing, rules, simhash, tokencount
+from callweave.llm import bpe, cdc, chat, crf, embed, htmlx, mixing, queries, rules, simhash, tokencount
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima mike november oscar papa quebec romeo sierra tango uniform victor whiskey xray yankee zulu".split()
@@ -707,15 +708,60 @@ def test_lasso_is_sparse_and_right():
     assert w[3] > 1 and (np.abs(np.delete(w, 3)) < 0.2).all() and (w == 0).sum() >= 6
 
 
-def test_column_scores_equal_rules_by_hand(spark):
+def brute_statistics(text, lexicon):
+    """The numbers that rules name, counted sign by sign and word by word."""
+    blank, stop = " \t\n\x0b\f\r", ".,;:!?"
+    kind = [unicodedata.category(c) for c in text]
+    words, word = [], ""
+    for c in text.lower() + "\0":
+        if c == "\0" or c in blank + stop:
+            words.append(word)
+            word = ""
+        else:
+            word += c
+    # an empty word stands at the start and the end only
+    words = [w for k, w in enumerate(words) if w or (k == 0 and text[:1] and text[0] in blank + stop) or (k == len(words) - 1 and text[-1:] and text[-1] in blank + stop)]
+    runs = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in text.lower()).split(" ")
+    lines = text.split("\n")
+    n, m = len(text), len(words)
+    symbols = sum(k[0] not in "LN" and c not in blank + ".," for c, k in zip(text, kind, strict=True))
+    return {
+        "words": m, "word_length": n / m, "upper": kind.count("Lu") / n, "symbols": symbols / n, "bars": text.count(" | ") / m, "digits": sum(c in "0123456789" for c in text) / n,
+        "stops": sum(a in ".!?" and b in blank for a, b in zip(text, text[1:])) / m, "new_words": len(set(words)) / m, "new_lines": len(set(lines)) / len(lines), "lexicon": sum(r in lexicon for r in runs),
+    }
+
+
+FOREIGN = ["\u041c\u041e\u0421\u041a\u0412\u0410 \u0438 \u041a\u0438\u0435\u0432. \u0414\u0430! \u0414\u0430!", "\u6f22\u5b57\u3068\u304b\u306a\u3001\u4eba\u3002 123", "\U0001f600\U0001f600 \u2605\u2605\u2605 wow", "\u00ab\u00c9t\u00e9\u00bb | a\u0301 \u2014 \u201cquoted\u201d\nx\nx\n", " . lead, and trail ;", "one", "\u0661\u0662 7 idiot (Idiot) idiots"]
+
+
+def test_statistics_and_scores_against_loops(spark):
     docs, lab = marked(spark)
     m = rules.fit(docs, lab)
     assert m.rules
+    m.lexicon = ["idiot"]
+    texts = FOREIGN + [r.text for r in docs.limit(40).collect()]
     stats = rules.derived("__stats")
-    for r in rules.measured(docs, F.col("text"), m.lexicon).select(m.score().alias("got"), *[c.alias(k) for k, c in stats.items()]).collect():
-        x = np.array([[r[k] for k in stats]])
-        want = m.bias + sum(w for q, w in zip(m.rules, m.weights, strict=True) if rules.holds(q, x, list(stats))[0])
-        assert abs(r.got - want) < 1e-9
+    base = rules.measured(table(spark, texts), F.col("text"), m.lexicon, "__stats")
+    for r in base.select("text", m.score("__stats").alias("got"), *[c.alias(k) for k, c in stats.items()]).collect():
+        want = brute_statistics(r.text, m.lexicon)
+        assert {k: r[k] for k in stats} == pytest.approx(want), r.text
+        score = m.bias
+        for rule, w in zip(m.rules, m.weights, strict=True):
+            score += w * all(want[k] <= at if op == "<=" else want[k] > at for k, op, at in rule)
+        assert abs(r.got - score) < 1e-9
+
+
+def test_query_scores_every_document_as_loops_do(spark, sf):
+    """``op10_rules`` over a whole table: fitted once, each document scored again in Python."""
+    d, lab = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    m = rules.fit(d, lab)
+    got = {r.doc_id: r.quality_score for r in queries.op10_rules(spark, sf).collect()}
+    want = {}
+    for r in d.collect():
+        if r.text and not r.text.isspace():
+            x = brute_statistics(r.text, set(m.lexicon))
+            want[r.doc_id] = 1 / (1 + math.exp(-m.bias - sum(w for rule, w in zip(m.rules, m.weights, strict=True) if all(x[k] <= at if op == "<=" else x[k] > at for k, op, at in rule))))
+    assert got == pytest.approx({k: v for k, v in want.items() if v >= rules.CUT})
 
 
 def test_held_out_accuracy(spark):
@@ -728,9 +774,9 @@ def test_held_out_accuracy(spark):
 
 def test_lexicon_words_count_wherever_they_stand(spark):
     texts = ["a \"idiot\" (idiot) *idiot* idiot-like #idiot Idiot, trash### idiots", "idiot", "idiotic", "\u00c9\u0391\u0416a \u00ab\u20ac\u00bb"]
-    stats = [r[0] for r in rules.measured(table(spark, texts), F.col("text"), ["idiot", "trash"]).orderBy("doc_id").select(rules.derived("__stats")["lexicon"]).collect()]
+    stats = [r[0] for r in rules.measured(table(spark, texts), F.col("text"), ["idiot", "trash"], "__stats").orderBy("doc_id").select(rules.derived("__stats")["lexicon"]).collect()]
     assert stats == [7, 1, 0, 0]
-    upper, symbols = rules.measured(table(spark, texts[3:]), F.col("text"), []).select("__stats.upper", "__stats.symbols").first()
+    upper, symbols = rules.measured(table(spark, texts[3:]), F.col("text"), [], "__stats").select("__stats.upper", "__stats.symbols").first()
     assert (upper, symbols) == (3 / 8, 3 / 8)
 
 
@@ -739,6 +785,8 @@ def test_rules_odd_rows(spark):
     m = rules.fit(docs, lab)
     rows = rules.score(odd(spark).withColumn("quality_score", F.lit("clash")).withColumn("words", F.lit(1)), m).collect()
     by = {r.doc_id: r.quality_score for r in rows}
+    clash = odd(spark).withColumn("__stats", F.lit("mine"))
+    assert rules.score(clash, m).columns == [*clash.columns, "quality_score"] and {r["__stats"] for r in rules.score(clash, m).collect()} == {"mine"}
     assert len(rows) == 8 and by[1] is None and by[2] is None and by[3] is None and 0 <= by[4] <= 1
     assert rules.keep(docs.limit(0), lab).count() == 0
     same = rules.fit(docs, labels(spark, [(2, 1, 0), (None, 0, 0), (999, 0, 0), (3, None, 1)]))
