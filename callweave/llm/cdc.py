@@ -3,9 +3,8 @@
 A gear hash rolls over the text; a chunk ends where it falls under a threshold, and after each line
 break. The cuts depend on the 16 signs before them alone, so an insertion moves no cut beyond its
 neighbourhood. Chunks are compared by digest over the whole corpus. The first place of a chunk keeps
-it; elsewhere a run of repeated chunks is cut out when it has enough words. With ``ends`` a run is an
-anchor: it is followed outward in the first copy, character by character, to the passage's true ends
-at words, and its words are counted then.
+it. Elsewhere a run of repeated chunks is an anchor: it is followed outward in the first copy,
+character by character, to the passage's true ends at words, and cut out when it has enough words.
 """
 
 from __future__ import annotations
@@ -15,17 +14,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import durable, map_arrow, only, slices
+from callweave.llm.common import durable, map_arrow, slices
+from callweave.session import ship
 
 #: Mean length of a chunk, in characters, without line breaks.
 CHUNK = 40
 WINDOW = 16
-#: Words in a run of repeated chunks that is cut out.
+#: Words of a repeated passage that is cut out.
 MIN_WORDS = 30
+#: Places of one chunk that a task puts in order, about: a chunk that has more, as the documents of
+#: one in ``THIN`` tell, is dealt to several tasks.
+PLACES, THIN = 1 << 20, 64
+#: Chunks with so many places are sent to all tasks up to this number.
+BROADCAST_ROWS = 1 << 20
 GAPS = " \n\t"
 WORD = re.compile(f"[^{GAPS}]+")
 _GEAR = np.random.default_rng(7).integers(0, 1 << 32, 4096, np.uint32)
@@ -52,18 +58,24 @@ def cuts(text: str, chunk: int = CHUNK) -> np.ndarray:
     return np.flatnonzero(end) + 1
 
 
-def keyed(docs: DataFrame, text_col: str) -> DataFrame:
-    """The rows with ``__tag``, 32 bits of a digest of the text: with the id it is a row's key."""
-    return docs.withColumn("__tag", F.shiftright(F.xxhash64(F.col(f"`{text_col}`")), 32).cast("int"))
+def renamed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows with columns ``key`` and ``text``, ``tag``, 32 bits of a digest of the text, which is
+    a row's key with the id, and the others as ``c0`` and so on, so that no name clashes."""
+    other = [c for c in docs.columns if c not in (id_col, text_col)]
+    rest = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(other)]
+    text = F.col(f"`{text_col}`")
+    return docs.select(F.col(f"`{id_col}`").alias("key"), text.alias("text"), F.shiftright(F.xxhash64(text), 32).cast("int").alias("tag"), *rest)
 
 
-def chunks(docs: DataFrame, id_col: str, text_col: str, chunk: int) -> DataFrame:
-    """``id``, ``place``, ``size``, ``words``, ``room`` and ``digest`` of each chunk. A place is the
-    tag of the row's text above the chunk's start; room is the most words that a repeat can hold
-    before the chunk, above those after it, when no neighbouring chunk repeats whole."""
+def chunks(src: DataFrame, chunk: int) -> DataFrame:
+    """``digest``, ``id``, ``place`` and ``pack`` of each chunk of ``renamed`` rows.
+
+    A place is the tag of the row's text above the chunk's start. A pack is the chunk's size above
+    its words and the most words that a repeat can hold before the chunk, and after it, when no
+    neighbouring chunk repeats whole.
+    """
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids = batch.column(0).to_numpy()
         every = batch.column(1).to_pylist()
         tags = batch.column(2).to_numpy().astype(np.int64) << 32
         for a, b in slices(every):
@@ -85,116 +97,126 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, chunk: int) -> DataFrame
             gap = (codes == 32) | (codes == 10) | (codes == 9)
             word = ~gap
             word[1:] &= gap[:-1]
-            words = np.add.reduceat(word.astype(np.int32), first).astype(np.int32)
+            words = np.add.reduceat(word.astype(np.int64), first)
             doc = np.searchsorted(stop, first, side="right")
             # a cut whose window lies in a repeat is in both copies
             so_far = np.concatenate([[0], np.cumsum(word)])
             left = np.where(first > begin[doc], np.maximum(np.concatenate([[0], first[:-1]]) - WINDOW, begin[doc]), first)
             right = np.minimum(at[np.minimum(np.searchsorted(at, at + WINDOW), len(at) - 1)], stop[doc])
-            room = np.minimum(so_far[first] - so_far[left] + 1, 0x7FFF) << 16 | np.minimum(so_far[right] - so_far[at] + 1, 0xFFFF)
+            before, after = np.minimum(so_far[first] - so_far[left] + 1, 1023), np.minimum(so_far[right] - so_far[at] + 1, 1023)
+            pack = (at - first) << 32 | np.minimum(words, 4095) << 20 | before << 10 | after
             digest = xxhash.xxh3_64_intdigest
             digests = np.array([digest(joined[s:e].encode("utf-8", "surrogatepass")) for s, e in zip(first.tolist(), at.tolist(), strict=True)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a + doc]), pa.array(tags[a + doc] | (first - begin[doc])), pa.array((at - first).astype(np.int32)), pa.array(words), pa.array(room.astype(np.int32)), pa.array(digests)], names=["id", "place", "size", "words", "room", "digest"])
+            yield pa.RecordBatch.from_arrays([pa.array(digests), batch.column(0).take(pa.array(a + doc)), pa.array(tags[a + doc] | (first - begin[doc])), pa.array(pack)], names=["digest", "id", "place", "pack"])
 
-    rows = keyed(only(docs, id_col, text_col), text_col).where(F.col(f"`{id_col}`").isNotNull() & (F.col(f"`{text_col}`") != ""))
-    return map_arrow(rows, run, "id long, place long, size int, words int, room int, digest long")
+    rows = src.select("key", "text", "tag").where("key IS NOT NULL AND text <> ''")
+    return map_arrow(rows, run, f"digest long, id {src.schema['key'].dataType.simpleString()}, place long, pack long")
 
 
-def later_chunks(docs: DataFrame, id_col: str, text_col: str, chunk: int) -> DataFrame:
-    """The chunks that have an earlier place, with it as ``first``.
+def later_chunks(src: DataFrame, chunk: int) -> DataFrame:
+    """``id``, ``place`` and ``pack`` of the chunks that have an earlier place, with it as ``first``
+    and ``at``.
 
-    The first place of a chunk is that of least id, then least position. Rows equal in id and text
-    are one text; texts that share an id are told apart by their tags.
+    The first place of a chunk is that of least id, then least place. Rows equal in id and text are
+    one text; texts that share an id are told apart by their tags. Chunks move once, to be read in
+    order of their digests; those of one chunk in very many places move to several tasks, and the
+    least of what these find is first.
     """
-    every = chunks(docs, id_col, text_col, chunk)
-    known = every.groupBy("digest", "size").agg(F.min(F.struct("id", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "size", "first")
-    return every.join(known, ["digest", "size"]).where("id <> first.id or place <> first.place")
-
-
-def by_row(later: DataFrame, *more: Column) -> DataFrame:
+    kind = src.schema["key"].dataType.simpleString()
+    every = chunks(src, chunk)
+    thin = chunks(src.where(F.pmod(F.xxhash64("key", "tag"), F.lit(THIN)) == 0), chunk).groupBy("digest").agg(F.count("*").alias("n"))
+    large = durable(thin.where(F.col("n") * THIN >= PLACES).select("digest", F.ceil(F.col("n") * THIN / PLACES).cast("int").alias("parts")))
+    many = large.count()
+    if many:
+        every = every.join(F.broadcast(large) if many <= BROADCAST_ROWS else large, "digest", "left").withColumn("part", F.pmod(F.xxhash64("id", "place"), F.col("parts")))
+    else:
+        every = every.withColumn("part", F.lit(None).cast("long"))
+    ordered = every.repartition("digest", "part").sortWithinPartitions("digest", "part", "id", "place").select("digest", "part", "id", "place", "pack")
+    ship(src.sparkSession)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple | None = None  # digest, part, and first place of the rows before
+        for b in batches:
+            if not b.num_rows:
+                continue
+            digest, place = b.column(0).to_numpy(), b.column(3).to_numpy()
+            part = b.column(1).fill_null(-1).to_numpy()
+            key = np.arange(b.num_rows)
+            same = (digest[1:] == digest[:-1]) & (part[1:] == part[:-1])
+            key[1:][same] = 0
+            key = np.maximum.accumulate(key) + 1
+            ids, places = b.column(2), place
+            if last is not None and last[0] == (digest[0], part[0]):
+                key[key == 1] = 0
+                ids, places = pa.concat_arrays([last[1], ids]), np.concatenate([last[2], place])
+            else:
+                ids, places = pa.concat_arrays([ids.slice(0, 1), ids]), np.concatenate([place[:1], place])
+            first, at = ids.take(pa.array(key)), places[key]
+            keep = (at != place) | np.asarray(pc.not_equal(first, b.column(2))) | (part >= 0)
+            last = ((digest[-1], part[-1]), first.slice(len(first) - 1), at[-1:])
+            which = pa.array(np.flatnonzero(keep))
+            if len(which):
+                yield pa.RecordBatch.from_arrays([*(b.column(k).take(which) for k in (0, 1, 2, 3, 4)), first.take(which), pa.array(at).take(which)], names=["digest", "part", "id", "place", "pack", "first", "at"])
+
+    marked = ordered.mapInArrow(mark, f"digest long, part long, id {kind}, place long, pack long, first {kind}, at long")
+    if not many:
+        return marked.select("id", "place", "pack", "first", "at")
+    apart = marked.where("part IS NOT NULL")
+    least = apart.groupBy("digest").agg(F.min(F.struct("first", "at")).alias("least"))
+    joined = apart.join(F.broadcast(least) if many <= BROADCAST_ROWS else least, "digest").select("id", "place", "pack", "least.first", "least.at")
+    return marked.where("part IS NULL").select(*joined.columns).union(joined.where("id <> first OR place <> at"))
+
+
+def by_row(later: DataFrame) -> DataFrame:
     """``id``, ``tag`` and ``found``, the chunks of a row by start, each once."""
-    found = F.array_sort(F.collect_set(F.struct(F.col("place").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("start"), "size", "words", F.col("first.id").alias("first"), *more)))
+    found = F.array_sort(F.collect_set(F.struct(F.col("place").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("start"), "pack", "first", "at")))
     return later.groupBy("id", F.shiftright("place", 32).cast("int").alias("tag")).agg(found.alias("found"))
 
 
-def runs(lists: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """The fields of the chunks in a column of ``found``, the row of each, and the first and past-last
-    chunk of each run of neighbours."""
-    flat = lists.flatten()
-    part = {f.name: flat.field(k).to_numpy() for k, f in enumerate(flat.type)}
-    row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
-    new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (part["start"][1:] != part["start"][:-1] + part["size"][:-1])
-    at = np.flatnonzero(new)
-    return part, row, at, np.append(at[1:], len(row))
-
-
-SPANS = "id long, tag int, spans array<struct<start:int,length:int>>, first_ids array<long>"
-
-
-def spans_batch(ids: pa.Array, tags: pa.Array, spans: list, firsts: list) -> pa.RecordBatch:
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
-    return pa.RecordBatch.from_arrays([ids, tags, pa.array(spans, kind), pa.array(firsts, pa.list_(pa.int64()))], names=["id", "tag", "spans", "first_ids"])
-
-
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, min_words: int = MIN_WORDS) -> DataFrame:
-    """The passages to cut, as whole chunks: ``id`` and ``tag`` of a row, their ``spans`` (start and
-    length in characters) in order, and ``first_ids``, the documents that keep a copy.
-
-    A run of neighbouring chunks that have an earlier place is a passage when it holds ``min_words``
-    words or more. Rows with a null id or text or an empty text have none. Rows equal in id and text
-    each lose the same.
-    """
-    rows = by_row(later_chunks(docs, id_col, text_col, chunk))
-
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        part, row, at, stop = runs(batch.column(2))
-        keep = np.add.reduceat(part["words"], at) >= min_words
-        length = np.add.reduceat(part["size"], at)
-        out: dict[int, tuple[list, set]] = {}
-        for s, e, n in zip(at[keep].tolist(), stop[keep].tolist(), length[keep].tolist(), strict=True):
-            spans, firsts = out.setdefault(int(row[s]), ([], set()))
-            spans.append({"start": int(part["start"][s]), "length": n})
-            firsts.update(part["first"][s:e].tolist())
-        which = pa.array(list(out), pa.int64())
-        yield spans_batch(batch.column(0).take(which), batch.column(1).take(which), [v[0] for v in out.values()], [sorted(v[1]) for v in out.values()])
-
-    return map_arrow(rows, run, SPANS)
-
-
-def edges(docs: DataFrame, id_col: str, text_col: str, chunk: int, min_words: int) -> DataFrame:
+def edges(src: DataFrame, chunk: int, min_words: int) -> DataFrame:
     """The ends of the runs that may belong to a passage of ``min_words``: row and run, and the row
     (``first``, ``of``) and the ``edge`` to follow there, twice its position, and 1 for a right end.
 
-    Each alignment that a run has with a first copy is followed from both of its ends.
+    A run is of neighbouring chunks that have an earlier place. Each alignment that it has with a
+    first copy is followed from both of its ends.
     """
-    rows = by_row(later_chunks(docs, id_col, text_col, chunk), F.col("first.place").alias("place"), F.col("room"))
+    rows = by_row(later_chunks(src, chunk))
+    kind = src.schema["key"].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        part, row, at, stop = runs(batch.column(2))
-        most = np.add.reduceat(part["words"], at) + (part["room"][at] >> 16) + (part["room"][stop - 1] & 0xFFFF)
+        lists = batch.column(2)
+        flat = lists.flatten()
+        part = {f.name: flat.field(k).to_numpy(zero_copy_only=False) for k, f in enumerate(flat.type)}
+        row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+        start = part["start"].astype(np.int64)
+        end = start + (part["pack"] >> 32)
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (start[1:] != end[:-1])
+        at = np.flatnonzero(new)
+        stop = np.append(at[1:], len(row))
+        pack = part["pack"]
+        most = np.add.reduceat(pack >> 20 & 4095, at) + (pack[at] >> 10 & 1023) + (pack[stop - 1] & 1023)
         keep = most >= min_words
-        of, ahead = part["place"] >> 32, (part["place"] & 0x7FFFFFFF) - part["start"]
-        end = part["start"] + part["size"]
+        of, ahead = part["at"] >> 32, (part["at"] & 0x7FFFFFFF) - start
         out: list[tuple] = []
         for s, e in zip(at[keep].tolist(), stop[keep].tolist(), strict=True):
-            a, b = int(part["start"][s]), int(end[e - 1])
+            a, b = int(start[s]), int(end[e - 1])
             for first, tag, d in set(zip(part["first"][s:e].tolist(), of[s:e].tolist(), ahead[s:e].tolist(), strict=True)):
                 out += [(row[s], a, b, first, tag, 2 * p + right) for p, right in ((a + d, 0), (b + d, 1)) if p >= 0]
         cols = list(zip(*out, strict=True)) if out else [()] * 6
         which = pa.array(cols[0], pa.int64())
-        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
+        kinds = (pa.int32(), pa.int32(), flat.field(2).type, pa.int32(), pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), *[pa.array(c, k) for c, k in zip(cols[1:], kinds, strict=True)]], names=["id", "tag", "a", "b", "first", "of", "edge"])
 
-    return map_arrow(rows, run, "id long, tag int, a int, b int, first long, of int, edge long")
+    return map_arrow(rows, run, f"id {kind}, tag int, a int, b int, first {kind}, of int, edge long")
 
 
-def beside(src: DataFrame, id_col: str, text_col: str, found: DataFrame) -> DataFrame:
+def beside(src: DataFrame, found: DataFrame) -> DataFrame:
     """``id``, ``tag``, text and ``found`` of the rows that have any. All columns of ``src`` are named,
     so that one shuffle of it serves every such join."""
-    rest = [F.col(f"`{c}`").isNull().cast("int") for c in src.columns if c not in (id_col, text_col, "__tag")]
-    joined = src.join(found.toDF("__id", "__of", "__found"), (F.col(f"`{id_col}`") == F.col("__id")) & (F.col("__tag") == F.col("__of")))
-    return joined.select("__id", "__of", F.col(f"`{text_col}`"), "__found", sum(rest, F.lit(0)).alias("__rest"))
+    rest = [F.col(c).isNull().cast("int") for c in src.columns if c not in ("key", "text", "tag")]
+    joined = src.join(found.toDF("id", "of", "found"), (F.col("key") == F.col("id")) & (F.col("tag") == F.col("of")))
+    return joined.select("id", "of", "text", "found", sum(rest, F.lit(0)).alias("rest"))
 
 
 def parts(text: str, wanted: list[int], chunk: int) -> Iterator[tuple[int, str]]:
@@ -241,11 +263,19 @@ def right_end(text: str, a: int, b: int, part: str) -> int:
     return q
 
 
-def whole_repeats(src: DataFrame, id_col: str, text_col: str, chunk: int, min_words: int) -> DataFrame:
-    """As ``repeats``, with runs followed to their true ends before words are counted. ``src`` is
-    ``keyed`` and has no null ids."""
-    sides = durable(edges(src, id_col, text_col, chunk, min_words))
+def repeats(src: DataFrame, chunk: int, min_words: int) -> DataFrame:
+    """The passages to cut of ``renamed`` rows without null ids: ``id`` and ``of`` (the tag) of a row,
+    their ``spans`` (start and length in characters) in order, and ``first_ids``, the documents that
+    keep a copy.
+
+    A passage is cut when it holds ``min_words`` words or more. Rows with a null or empty text have
+    none. Rows equal in id and text each lose the same.
+    """
+    if not 0 < min_words < 1000:
+        raise ValueError("min_words is from 1 to 999")
+    sides = durable(edges(src, chunk, min_words))
     wanted = sides.groupBy("first", "of").agg(F.collect_set("edge").alias("edges"))
+    kind = src.schema["key"].dataType.simpleString()
 
     def look(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows, found = [], []
@@ -256,7 +286,7 @@ def whole_repeats(src: DataFrame, id_col: str, text_col: str, chunk: int, min_wo
         which = pa.array(rows, pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), pa.array([e for e, _ in found], pa.int64()), pa.array([t for _, t in found], pa.string())], names=["first", "of", "edge", "part"])
 
-    seen = map_arrow(beside(src, id_col, text_col, wanted), look, "first long, of int, edge long, part string")
+    seen = map_arrow(beside(src, wanted), look, f"first {kind}, of int, edge long, part string")
     rows = sides.join(seen, ["first", "of", "edge"]).groupBy("id", "tag").agg(F.collect_list(F.struct("a", "b", F.col("edge").bitwiseAND(F.lit(1)).alias("right"), "first", "part")).alias("found"))
 
     def follow(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -272,7 +302,7 @@ def whole_repeats(src: DataFrame, id_col: str, text_col: str, chunk: int, min_wo
                 else:
                     run[0] = min(run[0], left_end(text, a, b, f["part"]))
             spans: list[list[int]] = []
-            firsts: set[int] = set()
+            firsts: set = set()
             for p, q, ids in sorted(reach.values(), key=lambda r: r[:2]):
                 if len(WORD.findall(text, p, q)) >= min_words:
                     firsts |= ids
@@ -285,9 +315,11 @@ def whole_repeats(src: DataFrame, id_col: str, text_col: str, chunk: int, min_wo
                 out.append([{"start": p, "length": q - p} for p, q in spans])
                 by.append(sorted(firsts))
         at = pa.array(which, pa.int64())
-        yield spans_batch(batch.column(0).take(at), batch.column(1).take(at), out, by)
+        form = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(out, form), pa.array(by, pa.list_(batch.column(0).type))], names=["id", "of", "spans", "first_ids"])
 
-    return map_arrow(beside(src, id_col, text_col, rows), follow, SPANS).dropDuplicates(["id", "tag"])
+    spans = f"id {kind}, of int, spans array<struct<start:int,length:int>>, first_ids array<{kind}>"
+    return map_arrow(beside(src, rows), follow, spans).dropDuplicates(["id", "of"])
 
 
 def cut_out(text: str = "text", spans: str = "spans") -> F.Column:
@@ -299,25 +331,32 @@ def cut_out(text: str = "text", spans: str = "spans") -> F.Column:
     return F.when(F.col(spans).isNull(), F.col(text)).otherwise(F.array_join(kept, ""))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, min_words: int = MIN_WORDS, ends: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, min_words: int = MIN_WORDS) -> DataFrame:
     """All rows and columns, repeated passages cut out of ``text_col``; a text may end up empty.
 
-    With ``ends`` passages are followed beyond whole chunks to their true ends.
+    Rows with a null id, or a null or empty text, stay as they are. Rows equal in id and text lose
+    the same; different texts of one id lose what is theirs. Texts of any length are read whole. Ids
+    may be of any type that can be ordered, columns of any name are carried, and an empty table
+    gives an empty result.
     """
-    src = keyed(docs, text_col)
-    if ends:
-        src = src.where(F.col(f"`{id_col}`").isNotNull())
-    found = (whole_repeats(src, id_col, text_col, chunk, min_words) if ends else repeats(docs, id_col, text_col, chunk, min_words)).select(F.col("id").alias("__id"), F.col("tag").alias("__of"), F.col("spans").alias("__spans"))
-    joined = src.join(found, (F.col(f"`{id_col}`") == F.col("__id")) & (F.col("__tag") == F.col("__of")), "left")
-    out = joined.withColumn(text_col, cut_out(f"`{text_col}`", "__spans")).select(*docs.columns)
-    return out.unionByName(docs.where(F.col(f"`{id_col}`").isNull())) if ends else out
+    every = renamed(docs, id_col, text_col)
+    src = every.where("key IS NOT NULL")
+    found = repeats(src, chunk, min_words).drop("first_ids")
+    joined = src.join(found, (F.col("key") == F.col("id")) & (F.col("tag") == F.col("of")), "left")
+    done = joined.withColumn("text", cut_out()).select(*every.columns).union(every.where("key IS NULL"))
+    other = iter(f"c{k}" for k in range(len(docs.columns)))
+    back = [F.col("key" if c == id_col else "text" if c == text_col else next(other)).alias(c) for c in docs.columns]
+    return done.select(*back)
 
 
-def changed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, min_words: int = MIN_WORDS, ends: bool = False) -> DataFrame:
+def changed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, min_words: int = MIN_WORDS) -> DataFrame:
     """Of the documents that lose a passage: ``doc_id``, ``first_doc_ids`` (documents that keep a
-    copy), ``removed_chars``, ``spans`` and the remaining ``text``. ``ends`` as in ``dedup``."""
-    src = keyed(only(docs, id_col, text_col).toDF("__key", "__text"), "__text").where("__key IS NOT NULL")
-    found = whole_repeats(src, "__key", "__text", chunk, min_words) if ends else repeats(docs, id_col, text_col, chunk, min_words)
-    joined = src.join(found, (F.col("__key") == F.col("id")) & (F.col("__tag") == F.col("tag")))
+    copy), ``removed_chars``, ``spans`` and the remaining ``text``.
+
+    Nulls, empty and long texts, repeated rows and empty tables as in ``dedup``; other columns are
+    not read.
+    """
+    src = renamed(docs, id_col, text_col).select("key", "text", "tag").where("key IS NOT NULL")
+    joined = src.join(repeats(src, chunk, min_words), (F.col("key") == F.col("id")) & (F.col("tag") == F.col("of")))
     removed = F.aggregate("spans", F.lit(0), lambda a, s: a + s["length"])
-    return joined.select(F.col("id").alias("doc_id"), F.col("first_ids").alias("first_doc_ids"), removed.alias("removed_chars"), "spans", cut_out("__text", "spans").alias("text"))
+    return joined.select(F.col("id").alias("doc_id"), F.col("first_ids").alias("first_doc_ids"), removed.alias("removed_chars"), "spans", cut_out().alias("text"))

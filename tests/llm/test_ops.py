@@ -466,21 +466,51 @@ def test_recount_query_against_encoding_again(spark, sf, codec):
 
 
 def brute_repeats(texts, min_words=cdc.MIN_WORDS):
+    """The spans to cut of each text by its number, from a table of all chunks: each run of chunks
+    with an earlier place is followed in the whole of the texts that have them first."""
+    blank = " \n\t"
     first, spans = {}, {}
-    parts = {i: [(0 if k == 0 else int(c[k - 1]), int(c[k])) for k in range(len(c))] for i, t in enumerate(texts) if t for c in [cdc.cuts(t)]}
-    for i in sorted(parts):
-        for s, e in parts[i]:
+    chunks = {i: [(0 if k == 0 else int(c[k - 1]), int(c[k])) for k in range(len(c))] for i, t in enumerate(texts) if t for c in [cdc.cuts(t)]}
+    for i in sorted(chunks):
+        for s, e in chunks[i]:
             first.setdefault(texts[i][s:e], (i, s))
-    for i in sorted(parts):
-        run = []
-        for s, e in [*parts[i], (None, None)]:
+
+    def outward(t, a, b, u, d):
+        """The longest whole words around t[a:b] that u has too, d signs further on."""
+        p, q = a, b
+        while p > 0 and p + d > 0 and t[p - 1] == u[p + d - 1]:
+            p -= 1
+        while q < len(t) and q + d < len(u) and t[q] == u[q + d]:
+            q += 1
+        free = lambda x, k: k <= 0 or k >= len(x) or x[k - 1] in blank or x[k] in blank
+        while p < b and not (free(t, p) and free(u, p + d)) and t[p] not in blank:
+            p += 1
+        while 0 < p < b and t[p] in blank and t[p - 1] not in blank:
+            p += 1
+        while q > a and not (free(t, q) and free(u, q + d)) and t[q - 1] not in blank:
+            q -= 1
+        return p, q
+
+    for i in sorted(chunks):
+        runs, run = [], []
+        for s, e in [*chunks[i], (None, None)]:
             if s is not None and first[texts[i][s:e]] != (i, s):
                 run.append((s, e))
                 continue
-            if run and len(re.findall(r"[^ \n\t]+", texts[i][run[0][0] : run[-1][1]])) >= min_words:
-                spans.setdefault(i, []).append((run[0][0], run[-1][1] - run[0][0]))
+            if run:
+                runs.append(run)
             run = []
-    return spans
+        for run in runs:
+            a, b = run[0][0], run[-1][1]
+            ends = [outward(texts[i], a, b, texts[j], at - s) for s, e in run for j, at in [first[texts[i][s:e]]]]
+            p, q = min(p for p, _ in ends), max(q for _, q in ends)
+            if len(re.findall(r"[^ \n\t]+", texts[i][p:q])) >= min_words:
+                old = spans.setdefault(i, [])
+                if old and p <= old[-1][1]:
+                    old[-1] = (old[-1][0], max(q, old[-1][1]))
+                else:
+                    old.append((p, q))
+    return {i: [(p, q - p) for p, q in v] for i, v in spans.items()}
 
 
 def test_cuts_resist_shifts():
@@ -507,6 +537,30 @@ def test_repeats_against_brute_force(spark):
     assert len(whole) == len(texts) and whole[len(texts) - 5] == "" and all(whole[i] == texts[i] for i in whole if i not in want)
 
 
+def test_chunks_in_very_many_places(spark, monkeypatch):
+    rng = random.Random(12)
+    passage = prose(rng, 45, "p")
+    texts = [f"{prose(rng, 20, f'd{i}')} {passage} {prose(rng, 20, f'e{i}')}" for i in range(60)]
+    want = brute_repeats(texts)
+    assert len(want) == 59
+    monkeypatch.setattr(cdc, "PLACES", 8)
+    monkeypatch.setattr(cdc, "THIN", 1)
+    for names in (range(60), [f"n{i:02}" for i in range(60)]):
+        kind = "long" if isinstance(names, range) else "string"
+        docs = spark.createDataFrame([(n, t, 1, 2) for n, t in zip(names, texts, strict=True)], f"doc_id {kind}, text string, __id int, __spans int")
+        rows = cdc.changed(docs).collect()
+        assert {names.index(r.doc_id): [(s.start, s.length) for s in r.spans] for r in rows} == want
+        assert all(names[0] in r.first_doc_ids for r in rows)
+    assert cdc.dedup(docs).columns == docs.columns and cdc.dedup(docs).count() == 60
+
+
+def test_query_cuts_what_brute_force_cuts(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()
+    want = {rows[i].doc_id: v for i, v in brute_repeats([r.text for r in rows]).items()}
+    got = {r.doc_id: [(s.start, s.length) for s in r.spans] for r in queries.op7_substring_dedup(spark, sf).collect()}
+    assert got == want and want
+
+
 def test_cdc_odd_rows(spark):
     docs = odd(spark).withColumn("id", F.lit("clash")).withColumn("spans", F.lit(1)).withColumn("digest", F.lit(2))
     assert cdc.dedup(docs).columns == docs.columns and cdc.dedup(docs).count() == 8
@@ -541,25 +595,17 @@ def test_short_inline_passages_are_cut_to_their_ends(spark):
         want[2 * i + 1] = f"{before} {after}"
     texts += [None, "", texts[1]]
     docs = table(spark, texts)
-    got = {r.doc_id: r.text for r in cdc.changed(docs, ends=True).collect()}
+    got = {r.doc_id: r.text for r in cdc.changed(docs).collect()}
     caught = [i for i in want if i in got]
     assert len(caught) >= 0.99 * len(want) and all(got[i] == want[i] for i in caught) and set(got) <= set(want) | {302}
     assert got[302] == ""
     left = docs.union(spark.createDataFrame([(None, "no id", "en", "s", 5)], DOCS))
-    whole = cdc.dedup(left, ends=True)
+    whole = cdc.dedup(left)
     assert whole.columns == docs.columns
     rows = {r.doc_id: r.text for r in whole.collect()}
     assert len(rows) == len(texts) + 1 and rows[None] == "no id" and all(rows[i] == got.get(i, t) for i, t in enumerate(texts))
 
 
-def test_whole_ends_on_odd_rows(spark):
-    docs = odd(spark).withColumn("id", F.lit("clash")).withColumn("spans", F.lit(1))
-    assert cdc.dedup(docs, ends=True).columns == docs.columns and cdc.dedup(docs, ends=True).count() == 8
-    assert cdc.changed(docs, ends=True).count() == 0 and cdc.changed(docs.limit(0), ends=True).count() == 0
-    line = prose(random.Random(1), 40) + "\n"
-    assert cdc.changed(table(spark, [line * 3]), ends=True).first().text == line
-
-
 # 8 BPE
 
 
