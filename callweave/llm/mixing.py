@@ -29,6 +29,8 @@ BLOCK = 64
 SHARD_BLOCKS = 64
 #: Rows of a source that one task puts in order, about.
 BUCKET = 1024
+#: Blocks of a mixture, at most; beyond it blocks are made larger.
+DRAW_BLOCKS = 500_000_000
 SEED = 17
 
 
@@ -108,23 +110,29 @@ def mix(docs: DataFrame, weights: dict | None = None, source_col: str = "source"
     """Draw a mixture of the sources and lay it out in shards.
 
     Returns the chosen rows with all their columns and ``shard`` and ``shard_pos`` (its place in
-    the shard, from 0); columns of these names in the input are replaced. ``weights`` maps source to
-    weight, in any unit; the mixture is the largest that keeps them without repeating a row. By
-    default they follow ``target_weights`` and the sizes ``filled``. Rows with a null source form a source of their own,
-    whose weight is that of the key None. Rows equal in all columns are distinct rows, in any order
-    among themselves. Null, empty and long texts are carried unchanged. An empty table gives an
-    empty result. The sources' counts, one row for each source, are the only thing collected.
+    the shard, from 0); columns of these names in the input are replaced, others of any name are
+    carried. ``weights`` maps source to weight, in any unit; the mixture is the largest that keeps
+    them without repeating a row. By default they follow ``target_weights`` and the sizes
+    ``filled``. Rows with a null source form a source of their own, whose weight is that of the key
+    None. Rows equal in all columns are distinct rows, in any order among themselves. Null, empty
+    and long texts are carried unchanged. An empty table gives an empty result. The sources' counts,
+    one row for each source, are the only thing collected.
     """
     docs = without(docs, "shard", "shard_pos")
+    given = docs.columns
     spark = docs.sparkSession
-    src = F.col(f"`{source_col}`")
+    source = given.index(source_col)
+    docs = docs.toDF(*(f"c{k}" for k in range(len(given))))  # so that no name clashes
+    src = F.col(f"c{source}")
     counts = {r[0]: r[1] for r in docs.groupBy(src.alias("s")).count().collect()}
     names = sorted(counts, key=lambda s: (s is None, str(s)))
     quota = filled(counts, target_weights(counts, temper)) if weights is None else quotas(counts, weights)
+    # a draw takes less than 1e9 blocks in all
+    block *= max(1, -(-sum(quota.values()) // (block * DRAW_BLOCKS)))
     blocks = np.array([-(-quota[s] // block) for s in names], np.int64)
     total = int(blocks.sum())
     if not total:
-        return docs.where(F.lit(False)).withColumns({"shard": F.lit(0), "shard_pos": F.lit(0)})
+        return docs.toDF(*given).where(F.lit(False)).withColumns({"shard": F.lit(0), "shard_pos": F.lit(0)})
     shards = max(1, -(-total // shard_blocks))
     bits = max(0, math.ceil(math.log2(max(counts.values()) / bucket)))
 
@@ -132,34 +140,32 @@ def mix(docs: DataFrame, weights: dict | None = None, source_col: str = "source"
         for shard in batch.column(0).to_pylist():
             first, n = shard_part(shard, blocks, shards, seed)
             used = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(np.full(len(used), shard), pa.int32()), pa.array(first[used]), pa.array(n[used])], names=["__k", "__shard", "__first", "__n"])
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(np.full(len(used), shard), pa.int32()), pa.array(first[used]), pa.array(n[used])], names=["k", "at", "first", "n"])
 
-    parts = map_arrow(spark.range(0, shards), walk, "__k int, __shard int, __first long, __n long")
-    placed = parts.select("__k", "__shard", F.explode(F.sequence("__first", F.col("__first") + F.col("__n") - 1)).alias("__block"))
+    parts = map_arrow(spark.range(0, shards), walk, "k int, at int, first long, n long")
+    placed = parts.select("k", "at", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("block"))
 
-    number = F.lit(len(names))
-    for i, s in enumerate(names):
-        number = F.when(src.isNull() if s is None else src == F.lit(s), F.lit(i)).otherwise(number)
-    h = row_hash(docs, seed)
-    keyed = docs.withColumns({"__k": number, "__h": h}).withColumn("__bucket", F.shiftright("__h", 63 - bits) if bits else F.lit(0).cast("long"))
-    limits = spark.createDataFrame([(i, quota[s]) for i, s in enumerate(names)], "__k int, __quota long")
+    # a row for each source, as they were counted
+    limits = F.broadcast(spark.createDataFrame([(s, i, quota[s]) for i, s in enumerate(names)], f"s {docs.schema[source].dataType.simpleString()}, k int, quota long"))
+    keyed = docs.withColumn("h", row_hash(docs, seed)).join(limits, src.eqNullSafe(F.col("s"))).drop("s", "quota")
+    keyed = keyed.withColumn("bucket", F.shiftright("h", 63 - bits) if bits else F.lit(0).cast("long"))
 
     # for each bucket of a source: the rank of its first row, and the shards of the blocks that it touches
-    sizes = keyed.groupBy("__k", "__bucket").agg(F.count("*").alias("__size"))
-    before = Window.partitionBy("__k").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    spans = sizes.withColumn("__start", F.coalesce(F.sum("__size").over(before), F.lit(0))).join(F.broadcast(limits), "__k").where(F.col("__start") < F.col("__quota"))
+    sizes = keyed.groupBy("k", "bucket").agg(F.count("*").alias("size"))
+    before = Window.partitionBy("k").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    spans = sizes.withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0))).join(limits.select("k", "quota"), "k").where(F.col("start") < F.col("quota"))
     size = F.lit(block).cast("long")
     div = lambda a, b: F.floor(a / b).cast("long")
-    touched = spans.withColumn("__block", F.explode(F.sequence(div(F.col("__start"), size), div(F.least(F.col("__start") + F.col("__size"), F.col("__quota")) - 1, size))))
-    spans = touched.join(placed, ["__k", "__block"]).groupBy("__k", "__bucket").agg(F.first("__start").alias("__start"), F.first("__quota").alias("__quota"), F.array_sort(F.collect_list(F.struct("__block", "__shard"))).alias("__blocks"))
-
-    order = Window.partitionBy("__k", "__bucket").orderBy("__h")
-    ranked = keyed.withColumn("__row", F.row_number().over(order)).join(spans, ["__k", "__bucket"])
-    ranked = ranked.withColumn("__rank", F.col("__start") + F.col("__row") - 1).where(F.col("__rank") < F.col("__quota"))
-    at = (div(F.col("__rank"), size) - F.col("__blocks")[0]["__block"]).cast("int")
-    chosen = ranked.withColumn("shard", F.get("__blocks", at)["__shard"])
-    shuffled = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 1), "__h"), "__k", "__rank")
-    return chosen.withColumn("shard_pos", F.row_number().over(shuffled) - 1).select(*docs.columns, "shard", "shard_pos")
+    touched = spans.withColumn("block", F.explode(F.sequence(div(F.col("start"), size), div(F.least(F.col("start") + F.col("size"), F.col("quota")) - 1, size))))
+    spans = touched.join(placed, ["k", "block"]).groupBy("k", "bucket").agg(F.first("start").alias("start"), F.first("quota").alias("quota"), F.array_sort(F.collect_list(F.struct("block", "at"))).alias("blocks"))
+
+    order = Window.partitionBy("k", "bucket").orderBy("h")
+    ranked = keyed.withColumn("row", F.row_number().over(order)).join(spans, ["k", "bucket"])
+    ranked = ranked.withColumn("rank", F.col("start") + F.col("row") - 1).where(F.col("rank") < F.col("quota"))
+    at = (div(F.col("rank"), size) - F.col("blocks")[0]["block"]).cast("int")
+    chosen = ranked.withColumn("shard", F.get("blocks", at)["at"])
+    shuffled = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 1), "h"), "k", "rank")
+    return chosen.withColumn("shard_pos", F.row_number().over(shuffled) - 1).select(*docs.columns, "shard", "shard_pos").toDF(*given, "shard", "shard_pos")
 
 
 def laid_out(mixture: DataFrame) -> DataFrame:

@@ -247,6 +247,20 @@ def test_paths_against_recursion(spark):
     assert got == brute_paths(rows)
 
 
+def test_repeated_nodes_count_once(spark):
+    rows = [(1, 1, None, "user", "hi", 1.0), (1, 2, 1, "assistant", "a", 0.5), (1, 3, 2, "user", "b", 0.5)]
+    want = [tuple(r) for r in chat.conversations(tree(spark, rows)).collect()]
+    more = [rows[0], rows[0], rows[1], (1, 2, 1, "assistant", "other", 0.7), (1, 3, 2, "user", "b", 0.5)]
+    assert [tuple(r) for r in chat.conversations(tree(spark, rows + more)).collect()] == want
+
+
+def test_deep_trees_take_few_steps(spark):
+    rows = [(1, n, n - 1 or None, "user", f"t{n}", 1.0) for n in range(1, 201)] + [(2, n, n % 7 + 1, "user", "x", 1.0) for n in range(1, 8)]
+    leaves, steps = chat.climb(chat.single(tree(spark, rows)))
+    assert [tuple(r) for r in leaves.collect()] == [(1, 200, 200, 1.0)] and len(steps) <= 10
+    assert chat.conversations(tree(spark, rows)).first().conversation.count(chat.END) == 200
+
+
 def test_chat_ranks_and_formats(spark):
     rows = [(1, 1, None, "user", "hi ", 1.0), (1, 2, 1, "assistant", "a", 0.5), (1, 3, 1, "assistant", None, 0.5), (1, 4, 3, None, "", None), (2, 1, 9, "system", "s", None), (3, 1, 2, "user", "loop", 1.0), (3, 2, 1, "user", "loop", 1.0), (None, 1, None, "user", "x", 1.0), (4, None, None, "user", "x", 1.0)]
     out = chat.conversations(tree(spark, rows).withColumn("branch", F.lit("clash")), top=1).orderBy("tree").collect()
@@ -375,6 +389,56 @@ def test_mixture_is_exact(spark):
     assert {r.doc_id for r in other} != {r.doc_id for r in out}
 
 
+def brute_layout(rows, quota, block, shard_blocks, seed):
+    """The shard and place of each row of (source, hash, order hash, id), from the whole tree at once."""
+    names = sorted(quota, key=lambda s: (s is None, str(s)))
+    blocks = np.array([-(-quota[s] // block) for s in names])
+    shards = -(-int(blocks.sum()) // shard_blocks)
+    size = [int(blocks.sum()) // shards + (k < int(blocks.sum()) % shards) for k in range(shards)]
+    owner = {}
+
+    def part(lo, hi, count, first):
+        if hi - lo == 1:
+            owner.update({(k, b): lo for k in range(len(names)) for b in range(first[k], first[k] + count[k])})
+            return
+        mid = (lo + hi) // 2
+        left = np.random.default_rng([seed, lo, hi]).multivariate_hypergeometric(count, sum(size[lo:mid]), method="marginals")
+        part(lo, mid, left, first)
+        part(mid, hi, count - left, first + left)
+
+    part(0, shards, blocks, np.zeros(len(names), int))
+    held = defaultdict(list)
+    for k, s in enumerate(names):
+        for rank, (h, order, i) in enumerate(sorted(r[1:] for r in rows if r[0] == s)[: quota[s]]):
+            held[owner[k, rank // block]].append((order, k, rank, i))
+    return {(i, shard, pos) for shard, v in held.items() for pos, (*_, i) in enumerate(sorted(v))}
+
+
+def test_layout_against_the_whole_tree(spark):
+    docs = table(spark, [f"a{i}" for i in range(700)], 0, "a").union(table(spark, [f"b{i}" for i in range(210)], 1000, "b")).union(table(spark, [f"c{i}" for i in range(40)], 2000, None))
+    h = mixing.row_hash(docs, 5)
+    rows = [tuple(r) for r in docs.select("source", h.alias("h"), F.xxhash64(F.lit(6), h), "doc_id").collect()]
+    want = brute_layout(rows, mixing.quotas({"a": 700, "b": 210, None: 40}, {"a": 5, "b": 2, None: 1}), 8, 4, 5)
+    got = mixing.mix(docs, {"a": 5, "b": 2, None: 1}, block=8, shard_blocks=4, bucket=64, seed=5)
+    assert {(r.doc_id, r.shard, r.shard_pos) for r in got.collect()} == want and len(want) > 300
+
+
+def test_mixture_query_against_the_whole_tree(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    h = mixing.row_hash(docs, mixing.SEED)
+    rows = [tuple(r) for r in docs.select("source", h.alias("h"), F.xxhash64(F.lit(mixing.SEED + 1), h), "doc_id").collect()]
+    counts = Counter(r[0] for r in rows)
+    want = brute_layout(rows, mixing.filled(counts, mixing.target_weights(counts)), mixing.BLOCK, mixing.SHARD_BLOCKS, mixing.SEED)
+    assert {(r.doc_id, r.shard, r.shard_pos) for r in queries.op5_mixing(spark, sf).collect()} == want
+
+
+def test_mixing_carries_columns_of_any_name(spark):
+    docs = table(spark, [f"a{i}" for i in range(50)]).withColumns({n: F.concat(F.lit(n), F.col("doc_id")) for n in ("k", "h", "__k", "__row", "bucket", "rank", "start", "row")})
+    out = mixing.mix(docs, {"s": 1})
+    assert out.columns == [*docs.columns, "shard", "shard_pos"] and out.count() == 50
+    assert all(r[n] == f"{n}{r.doc_id}" for r in out.collect() for n in ("k", "h", "__k", "__row", "bucket", "rank", "start", "row"))
+
+
 def test_mixing_odd_rows(spark):
     docs = odd(spark).withColumn("shard", F.lit("clash")).withColumn("extra", F.lit(1))
     out = mixing.mix(docs, {"a": 1, "b": 1, None: 1})
