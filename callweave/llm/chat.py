@@ -1,14 +1,13 @@
 """Conversations from reply trees.
 
-Every root-to-leaf path of a reply tree is found by joining the paths so far with the next replies,
-a level at a time. The paths of a tree are ranked by score, and each chosen path becomes one
-conversation.
+Every root-to-leaf path of a reply tree is found by iterative self-joins. Each node knows an ancestor
+and the sum of the scores up to it; a join with the ancestor's own row doubles the distance, so that
+the joins grow with the logarithm of the depth. The paths of a tree are ranked by score, and the
+nodes of each chosen path are found by the same steps in reverse and become one conversation.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,33 +39,65 @@ def threads(turns: DataFrame) -> DataFrame:
     return rows.select(F.col("conv_id").alias("tree"), "node", parent.alias("parent"), "role", "text", score.alias("score"))
 
 
+def message(role: str, text: str) -> Column:
+    tag = F.concat(F.lit("<|"), F.lower(F.coalesce(F.col(role), F.lit("user"))), F.lit("|>\n"))
+    return F.concat(tag, F.trim(F.coalesce(F.col(text), F.lit(""))), F.lit("\n" + END))
+
+
+def single(nodes: DataFrame) -> DataFrame:
+    """``tree``, ``node``, ``parent``, ``s`` (the score, 0 for null) and ``said`` of each node, once.
+
+    Of several rows of one node the first by parent, score, role and text counts, nulls first. Rows
+    with a null tree or node are dropped.
+    """
+    rows = nodes.where(F.col("tree").isNotNull() & F.col("node").isNotNull())
+    one = rows.groupBy("tree", "node").agg(F.min(F.struct("parent", "score", "role", "text")).alias("o"))
+    return one.select("tree", "node", "o.parent", F.coalesce("o.score", F.lit(0.0)).alias("s"), message("o.role", "o.text").alias("said"))
+
+
+def climb(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """``tree``, ``leaf``, ``depth`` and ``score`` (the mean of its nodes') of every root-to-leaf
+    path of ``single`` nodes, and of each step ``tree``, ``node`` and ``up``, the ancestor at twice
+    the distance of the step before."""
+    state = durable(nodes.select("tree", "node", F.col("parent").alias("up"), "s", F.lit(1).alias("n")))
+    active, steps = state.where("up IS NOT NULL").count(), []
+    while active:
+        steps.append(state.select("tree", "node", "up"))
+        above = state.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("s").alias("more"), F.col("n").alias("nodes"))
+        grown = state.join(above, ["tree", "up"], "left")
+        state = durable(grown.select("tree", "node", F.col("next").alias("up"), (F.col("s") + F.coalesce("more", F.lit(0.0))).alias("s"), (F.col("n") + F.coalesce("nodes", F.lit(0))).alias("n")))
+        left = state.where("up IS NOT NULL").count()
+        if left == active:
+            break  # what is left hangs on a cycle
+        active = left
+    inner = nodes.select("tree", F.col("parent").alias("node")).where("node IS NOT NULL").distinct()
+    leaves = state.where("up IS NULL").join(inner, ["tree", "node"], "left_anti")
+    return leaves.select("tree", F.col("node").alias("leaf"), F.col("n").alias("depth"), (F.col("s") / F.col("n")).alias("score")), steps
+
+
+def along(chosen: DataFrame, steps: list[DataFrame]) -> DataFrame:
+    """A row for each node of each chosen path, with the path's columns, ``node`` and ``pos``, its
+    place from the root, which is 1."""
+    out = chosen.withColumns({"node": F.col("leaf"), "pos": F.col("depth")})
+    for k in reversed(range(len(steps))):
+        here, there = F.struct("node", "pos"), F.struct(F.col("up").alias("node"), (F.col("pos") - (1 << k)).alias("pos"))
+        both = F.when(F.col("up").isNotNull() & (F.col("pos") > 1 << k), F.array(here, there)).otherwise(F.array(here))
+        out = out.join(steps[k], ["tree", "node"], "left").select(*chosen.columns, F.explode(both).alias("at")).select(*chosen.columns, "at.node", "at.pos")
+    return out
+
+
 def paths(nodes: DataFrame) -> DataFrame:
     """``tree``, ``leaf``, ``depth``, ``score`` (mean of the nodes') and ``nodes`` (ids from the
     root) of every root-to-leaf path.
 
-    Nodes are unique by tree and node. A node without a parent, or whose parent is not there, is a
-    root. Nodes of a cycle are reached from no root and are on no path. Null scores count as 0. The
-    paths of each level are checkpointed, and the loop ends at the deepest.
+    A node without a parent, or whose parent is not there, is a root. Nodes of a cycle, and what
+    hangs on them, are reached from no root and are on no path. Null scores count as 0. Repeated
+    nodes as in ``single``; texts of any length, and columns beyond the nodes', are not read. An
+    empty table gives an empty result.
     """
-    n = nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("s")).where(F.col("tree").isNotNull() & F.col("node").isNotNull())
-    known = n.select("tree", F.col("node").alias("parent"), F.lit(True).alias("there"))
-    asked = n.select("tree", F.col("parent").alias("node")).where("node is not null").distinct().withColumn("asked", F.lit(True))
-    linked = n.join(known, ["tree", "parent"], "left").join(asked, ["tree", "node"], "left")
-    linked = durable(linked.select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("parent"), "s", F.coalesce("asked", F.lit(False)).alias("inner")))
-    child = linked.where("parent is not null").select("tree", F.col("parent").alias("at"), F.col("node").alias("next"), F.col("s").alias("add"), F.col("inner").alias("more"))
-    front = linked.where("parent is null").select("tree", F.col("node").alias("at"), F.col("s").alias("sum"), F.array("node").alias("nodes"), "inner")
-    levels = []
-    while not (front := durable(front)).isEmpty():
-        levels.append(front.where(~F.col("inner")))
-        grown = front.where("inner").join(child, ["tree", "at"])
-        front = grown.select("tree", F.col("next").alias("at"), (F.col("sum") + F.col("add")).alias("sum"), F.array_append("nodes", F.col("next")).alias("nodes"), F.col("more").alias("inner"))
-    every = reduce(DataFrame.union, levels or [front])
-    return every.select("tree", F.col("at").alias("leaf"), F.size("nodes").alias("depth"), (F.col("sum") / F.size("nodes")).alias("score"), "nodes")
-
-
-def message(role: str = "role", text: str = "text") -> Column:
-    tag = F.concat(F.lit("<|"), F.lower(F.coalesce(F.col(role), F.lit("user"))), F.lit("|>\n"))
-    return F.concat(tag, F.trim(F.coalesce(F.col(text), F.lit(""))), F.lit("\n" + END))
+    leaves, steps = climb(single(nodes))
+    rows = along(leaves, steps).groupBy("tree", "leaf", "depth", "score").agg(F.array_sort(F.collect_list(F.struct("pos", "node"))).alias("m"))
+    return rows.select("tree", "leaf", "depth", "score", F.transform("m", lambda m: m["node"]).alias("nodes"))
 
 
 def conversations(nodes: DataFrame, top: int = TOP) -> DataFrame:
@@ -74,13 +105,15 @@ def conversations(nodes: DataFrame, top: int = TOP) -> DataFrame:
     best ``top`` paths of each tree.
 
     Paths rank by score, rounded to 9 places, then depth, both descending, then leaf. A null role
-    counts as the user's, a null text as empty. Columns beyond the nodes' are ignored. An empty
-    table gives an empty result.
+    counts as the user's, a null text as empty; texts of any length are used whole. Repeated nodes
+    as in ``single``, cycles and missing parents as in ``paths``. Columns beyond the nodes' are
+    ignored. An empty table gives an empty result.
     """
+    one = durable(single(nodes))
+    leaves, steps = climb(one)
     order = Window.partitionBy("tree").orderBy(F.desc(F.round("score", 9)), F.desc("depth"), "leaf")
-    best = paths(nodes).withColumn("branch", F.row_number().over(order)).where(F.col("branch") <= top)
-    steps = best.select("tree", "branch", "leaf", "depth", "score", F.posexplode("nodes").alias("pos", "node"))
-    said = steps.join(nodes.select("tree", "node", message().alias("said")), ["tree", "node"])
+    best = durable(leaves.withColumn("branch", F.row_number().over(order)).where(F.col("branch") <= top))
+    said = along(best, steps).join(one.select("tree", "node", "said"), ["tree", "node"])
     ordered = F.array_sort(F.collect_list(F.struct("pos", "said")))
     out = said.groupBy("tree", "branch", "leaf", "depth", "score").agg(ordered.alias("m"))
     return out.select("tree", "branch", "leaf", "depth", F.round("score", 6).alias("score"), F.array_join(F.transform("m", lambda m: m["said"]), "\n").alias("conversation"))
