@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +41,7 @@ EDGES = {
 WIDTHS = {k: len(v) + 1 for k, v in EDGES.items()}
 OFFSETS = dict(zip(WIDTHS, np.concatenate([[0], np.cumsum(list(WIDTHS.values()))[:-1]]).tolist(), strict=True))
 FEATURES = sum(WIDTHS.values())
+_CAPITALS: list[np.ndarray] = []
 _R = np.uint64(0xD6E8FEB86659FD93)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -53,6 +55,16 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[size]
 
 
+def capitals() -> np.ndarray:
+    """Whether each code point is a capital letter."""
+    if not _CAPITALS:
+        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        mask = np.zeros(0x110000, bool)
+        mask[np.frombuffer("".join(regex.findall(r"\p{Lu}", every)).encode("utf-32-le"), "<u4")] = True
+        _CAPITALS.append(mask)
+    return _CAPITALS[0]
+
+
 def lines_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The document, the length and the feature numbers of each line of some texts without nulls.
 
@@ -73,7 +85,7 @@ def lines_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     count = lambda mask: np.add.reduceat(mask.astype(np.int32), first).astype(float)
     chars = (at - first).astype(float)
     letter, space = cls == LETTER, cls == SPACE
-    upper = (codes >= 65) & (codes <= 90) | (codes >= 0xC0) & (codes <= 0xDE) & (codes != 0xD7)
+    upper = capitals()[codes]
     plain = (codes == 46) | (codes == 44)
     symbol = ~letter & ~space & (cls != NUMBER) & ~plain
     edge = np.zeros(n, bool)
@@ -191,12 +203,34 @@ def train(docs: list[tuple[np.ndarray, np.ndarray]], rounds: int = ROUNDS, decay
     return Field(theta[: 2 * FEATURES].reshape(FEATURES, 2), theta[2 * FEATURES : -2].reshape(2, 2), theta[-2:], len(docs))
 
 
+def spliced(docs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The lines of each document with those of one of the other label in their midst.
+
+    Labels mark whole documents, so that these are the only sequences in which a label changes.
+    Partners go round, in the order given.
+    """
+    sides = [[d for d in docs if len(d[1]) and d[1][0] == k] for k in (CONTENT, BOILER)]
+    if not all(sides):
+        return []
+    out, turn = [], [0, 0]
+    for d in docs:
+        if len(d[1]) > 1:
+            other = 1 - int(d[1][0])
+            guest = sides[other][turn[other] % len(sides[other])]
+            turn[other] += 1
+            at = 1 + len(out) % (len(d[1]) - 1)
+            out.append(tuple(np.concatenate([a[:at], b, a[at:]]) for a, b in zip(d, guest, strict=True)))
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Field:
     """A field trained on at most ``sample`` labelled documents, those least by a hash of their id.
 
     No table labels lines, so a line takes its document's label: content where quality is 1,
-    boilerplate where it is 0. Only the features of the sample reach the driver. Null labels, ids
-    and texts don't count; without labelled documents every line is content.
+    boilerplate where it is 0. For lines of both kinds in one document the field is trained on
+    ``spliced`` documents as well. Only the features of the sample reach the driver. Null labels,
+    ids and texts don't count; without labelled documents every line is content. Several labels of
+    one document count each; columns of any name may be there.
     """
     lab = labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("quality")).dropna()
     lab = lab.orderBy(F.xxhash64("id"), "id", "quality").limit(sample)
@@ -216,7 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for f, q in zip(rows.feats, rows.quality, strict=True):
         x = np.asarray(f, np.int64).reshape(-1, len(EDGES))
         train_on.append((x, np.full(len(x), CONTENT if q else BOILER)))
-    return train(train_on)
+    return train(train_on + spliced(train_on))
 
 
 def shares(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -248,5 +282,9 @@ def shares(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str
 
 
 def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_share: float = MIN_SHARE, **how: object) -> DataFrame:
-    """Of the documents with a content share of ``min_share`` or more, what ``shares`` gives."""
+    """Of the documents with a content share of ``min_share`` or more, what ``shares`` gives.
+
+    Rows with a null or empty text have no share and go; repeated rows are judged alike, long texts
+    are read whole, columns of any name may be there, and an empty table gives an empty result.
+    """
     return shares(docs, fit(docs, labels, id_col, text_col, **how), id_col, text_col).where(F.col("content_share") >= min_share)

@@ -12,12 +12,14 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from callweave.llm import bpe, cdc, chat, crf, embed, htmlx, mixing, queries, rules, simhash, tokencount
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima mike november oscar papa quebec romeo sierra tango uniform victor whiskey xray yankee zulu".split()
+FOREIGN = ["\u041c\u041e\u0421\u041a\u0412\u0410 \u0438 \u041a\u0438\u0435\u0432. \u0414\u0430! \u0414\u0430!", "\u6f22\u5b57\u3068\u304b\u306a\u3001\u4eba\u3002 123", "\U0001f600\U0001f600 \u2605\u2605\u2605 wow", "\u00ab\u00c9t\u00e9\u00bb | a\u0301 \u2014 \u201cquoted\u201d\nx\nx\n", " . lead, and trail ;", "one", "\u0661\u0662 7 idiot (Idiot) idiots"]
 needs_vocab = pytest.mark.skipif(not os.path.exists(bpe.VOCAB), reason="no vocabulary here")
 
 
@@ -200,6 +202,77 @@ def test_crf_keeps_content(spark):
     assert kept == set(range(60))
 
 
+def brute_features(text):
+    """The lines of a text with the feature numbers of each, counted line by line."""
+    lines = text.split("\n")
+    lines = [x + "\n" for x in lines[:-1]] + lines[-1:] * (lines[-1] != "")
+    out = []
+    for line in lines:
+        kind = [unicodedata.category(c) for c in line]
+        shown = [c for c in line if not regex.match(r"\s", c)]
+        words = [w for w in regex.split(r"\s+", line) if w]
+        symbols = sum(k[0] not in "LN" and not regex.match(r"\s", c) and c not in ".," for c, k in zip(line, kind, strict=True))
+        body = line[:-1] if line.endswith("\n") and len(line) > 1 else line
+        per = lambda a, b: a / b if b else 0.0
+        value = {
+            "chars": len(line), "words": len(words), "word_length": per(len(shown), len(words)), "upper": per(kind.count("Lu"), len(shown)), "symbols": per(symbols, len(shown)), "digits": per(sum(k[0] == "N" for k in kind), len(shown)),
+            "same_word": per(sum(a == b for a, b in zip(words, words[1:])), len(words)), "new_words": per(len(set(words)), len(words)), "copies": lines.count(line), "ends": float(body[-1] in ".!?"),
+        }
+        out.append((len(line), [crf.OFFSETS[k] + sum(value[k] >= e for e in edges) for k, edges in crf.EDGES.items()]))
+    return out
+
+
+def brute_share(text, f):
+    """Lines, content lines and content share, by the best of the labels of all lines."""
+    rows = brute_features(text)
+    best = {0: (0.0, ()), 1: (0.0, ())}
+    for n, (_, feats) in enumerate(rows):
+        u = [sum(f.emit[k, y] for k in feats) for y in (0, 1)]
+        best = {y: max(((best[x][0] + (f.step[x, y] if n else f.first[y]) + u[y], (*best[x][1], y)) for x in ((0, 1) if n else (y,))), key=lambda b: b[0]) for y in (0, 1)}
+    labels_ = max(best.values(), key=lambda b: b[0])[1]
+    size = [n for n, _ in rows]
+    content = [n for n, y in zip(size, labels_, strict=True) if y == crf.CONTENT]
+    return len(rows), len(content), sum(content) / sum(size)
+
+
+def test_line_query_against_loops(spark, sf):
+    """``op2_crf`` over a whole table, and foreign signs, against features and labels by loops."""
+    d, lab = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    f = crf.fit(d, lab)
+    texts = {r.doc_id: r.text for r in d.collect() if r.text}
+    want = {i: brute_share(t, f) for i, t in texts.items()}
+    got = {r.doc_id: (r.n_lines, r.content_lines, r.content_share) for r in queries.op2_crf(spark, sf).collect()}
+    keep = {i for i, w in want.items() if w[2] >= crf.MIN_SHARE}
+    assert set(got) == keep and len(keep) < len(texts)
+    assert all(got[i] == pytest.approx(want[i]) for i in keep)
+    odd_texts = [*FOREIGN, "\n\n a\n", "x\u00a0y\u2003z\n\n", "\n"]
+    rows = crf.shares(table(spark, odd_texts), f).orderBy("doc_id").collect()
+    assert [(r.n_lines, r.content_lines, r.content_share) for r in rows] == [pytest.approx(brute_share(t, f)) for t in odd_texts]
+
+
+def test_spliced_lines_are_found(spark):
+    """Documents of good quality with one of bad quality in their midst, none of them trained on. Some
+    lines of bad documents are prose, so a part counts as found with four fifths of its signs."""
+    d, lab = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    f = crf.fit(d, lab.where("doc_id % 2 = 0"))
+    rest = d.join(lab.where("doc_id % 2 = 1"), "doc_id").where("toxic = 0").orderBy("doc_id").select("quality", "text").collect()
+    good = [r.text for r in rest if r.quality == 1 and r.text.count("\n") >= 3]
+    bad = [r.text for r in rest if r.quality == 0 and len(r.text) < 2000]
+    found, errors, content, n = 0, 0, 0, min(len(good), len(bad), 60)
+    assert n >= 20
+    for g, b in zip(good[:n], bad[:n], strict=True):
+        lines = g.rstrip("\n").split("\n")
+        k = len(lines) // 2
+        text = "\n".join([*lines[:k], b.rstrip("\n"), *lines[k:]])
+        truth = np.array([0] * k + [1] * (b.rstrip("\n").count("\n") + 1) + [0] * (len(lines) - k))
+        _, size, feats = crf.lines_of([text])
+        y = crf.viterbi(f.emit[feats].sum(1), f)
+        errors += int((y[truth == 0] == 1).sum())
+        content += len(lines)
+        found += size[(y == 1) & (truth == 1)].sum() >= 0.8 * size[truth == 1].sum()
+    assert found >= 0.9 * n and errors <= 0.02 * content
+
+
 def test_crf_odd_rows(spark):
     docs, lab = marked(spark)
     f = crf.fit(docs, lab)
@@ -841,9 +914,6 @@ def brute_statistics(text, lexicon):
     }
 
 
-FOREIGN = ["\u041c\u041e\u0421\u041a\u0412\u0410 \u0438 \u041a\u0438\u0435\u0432. \u0414\u0430! \u0414\u0430!", "\u6f22\u5b57\u3068\u304b\u306a\u3001\u4eba\u3002 123", "\U0001f600\U0001f600 \u2605\u2605\u2605 wow", "\u00ab\u00c9t\u00e9\u00bb | a\u0301 \u2014 \u201cquoted\u201d\nx\nx\n", " . lead, and trail ;", "one", "\u0661\u0662 7 idiot (Idiot) idiots"]
-
-
 def test_statistics_and_scores_against_loops(spark):
     docs, lab = marked(spark)
     m = rules.fit(docs, lab)
