@@ -1,14 +1,15 @@
 """Token counts that follow edits.
 
-Each document keeps its pre-tokens in leaves and a tree of sums over the leaves' token counts. An
-edit is answered by encoding again only the pre-tokens that it touches, with as much before them as
-can look into it and as much behind as it takes to meet an old pre-token border again. The changed
-leaves are replaced and the sums above them brought up to date.
+Each document keeps its pre-tokens in leaves, and trees of sums over the leaves' characters and
+token counts. An edit finds its leaf down the tree and is answered by encoding again only the
+pre-tokens that it touches, with as much before them as can look into it and as much behind as it
+takes to meet an old pre-token border again. The changed leaves are replaced and the sums above
+them brought up to date. ``state`` is the table of all documents' pre-tokens and counts, and
+``apply_edits`` brings the rows that are edited up to date without encoding the others.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callweave.llm.bpe import VOCAB, Codec, code_points, codec, pretokens
-from callweave.llm.common import map_arrow, only, slices, without
+from callweave.llm.common import SLICE_CHARS, map_arrow, only, slices, without, written
 
 #: Pre-tokens in a leaf, and children of a node.
 LEAF, FAN = 32, 8
@@ -28,125 +29,225 @@ REACH = 256
 
 
 class Tree:
-    """A text's pre-token borders and token counts in leaves, and sums over them by level.
+    """A text in leaves, of which each has its part, the lengths of its pre-tokens and their tokens.
 
-    ``levels[0]`` is the sum of each leaf, each next level sums ``FAN`` entries of the one below,
-    and the last holds the total alone.
+    ``chars[0]`` and ``levels[0]`` are the characters and tokens of each leaf, each next level sums
+    ``FAN`` entries of the one below, and the last holds the total alone.
     """
 
-    def __init__(self, text: str, starts: np.ndarray, counts: np.ndarray) -> None:
-        self.text = text
+    def __init__(self, text: str, sizes: np.ndarray, counts: np.ndarray) -> None:
         self.encoded = 0
-        self.set_leaves(starts, counts)
+        self.leaves: list[tuple[str, np.ndarray, np.ndarray]] = []
+        self.put(0, 0, text, sizes, counts)
 
-    def set_leaves(self, starts: np.ndarray, counts: np.ndarray) -> None:
-        cut = range(0, len(starts), LEAF)
-        self.starts = [starts[i : i + LEAF].astype(np.int64) for i in cut]
-        self.counts = [counts[i : i + LEAF].astype(np.int64) for i in cut]
-        self.offsets = [0] * len(self.starts)  # what is to be added to a leaf's starts
-        self.sums()
+    @property
+    def text(self) -> str:
+        return "".join(t for t, _, _ in self.leaves)
 
-    def sums(self) -> None:
-        level = np.array([int(c.sum()) for c in self.counts], np.int64)
-        self.levels = [level]
-        while len(level) > 1:
-            level = np.add.reduceat(level, np.arange(0, len(level), FAN))
-            self.levels.append(level)
+    @property
+    def sizes(self) -> np.ndarray:
+        return np.concatenate([s for _, s, _ in self.leaves]) if self.leaves else np.zeros(0, np.int64)
+
+    @property
+    def counts(self) -> np.ndarray:
+        return np.concatenate([k for _, _, k in self.leaves]) if self.leaves else np.zeros(0, np.int64)
 
     @property
     def total(self) -> int:
         return int(self.levels[-1][0]) if len(self.levels[-1]) else 0
 
-    def update(self, leaf: int) -> None:
-        """Bring the sums above a leaf up to date."""
-        change = int(self.counts[leaf].sum()) - int(self.levels[0][leaf])
-        for level in self.levels:
-            level[leaf] += change
-            leaf //= FAN
+    def sums(self) -> None:
+        self.chars, self.levels = ([np.array([f(leaf) for leaf in self.leaves], np.int64)] for f in (lambda x: len(x[0]), lambda x: int(x[2].sum())))
+        for levels in (self.chars, self.levels):
+            while len(levels[-1]) > 1:
+                levels.append(np.add.reduceat(levels[-1], np.arange(0, len(levels[-1]), FAN)))
+
+    def put(self, first: int, stop: int, text: str, sizes: np.ndarray, counts: np.ndarray) -> None:
+        """Replace some leaves by such with this text, and bring the sums up to date: those above the
+        leaves when their number stays, as it does while they are of a fair size, else all."""
+        n, old = len(sizes), stop - first
+        parts = old if old and old <= n <= 4 * LEAF * old else -(-n // LEAF)
+        cut = np.arange(parts + 1) * n // max(1, parts)
+        ends = np.concatenate([[0], np.cumsum(sizes)])[cut].tolist()
+        self.leaves[first:stop] = [(text[p:q], sizes[i:j], counts[i:j]) for p, q, i, j in zip(ends, ends[1:], cut.tolist(), cut[1:].tolist())]
+        if parts != old or not old:
+            self.sums()
+            return
+        for leaf in range(first, stop):
+            part, _, k = self.leaves[leaf]
+            for levels, now in ((self.chars, len(part)), (self.levels, int(k.sum()))):
+                change, at = now - int(levels[0][leaf]), leaf
+                for level in levels:
+                    level[at] += change
+                    at //= FAN
+
+    def find(self, place: int) -> tuple[int, int]:
+        """The leaf that holds a character, the last one for those behind, and where it begins."""
+        leaf = begin = 0
+        for level in reversed(self.chars[:-1]):
+            ends = np.cumsum(level[leaf * FAN : leaf * FAN + FAN])
+            k = min(int(np.searchsorted(ends, place - begin, side="right")), len(ends) - 1)
+            begin += int(ends[k - 1]) if k else 0
+            leaf = leaf * FAN + k
+        return leaf, begin
 
     def edit(self, c: Codec, start: int, end: int, new: str) -> None:
         """Replace the characters from start to end. Places beyond the text count as its end."""
-        n = len(self.text)
+        n = int(self.chars[-1][0]) if self.leaves else 0
         start = min(max(start, 0), n)
         end = min(max(end, start), n)
-        text = self.text[:start] + new + self.text[end:]
-        shift = len(new) - (end - start)
-        self.text = text
-        if not self.starts:
-            s, k = split_counts(c, [text])[0]
-            self.encoded += len(s)
-            self.set_leaves(s, k)
+        if not self.leaves:
+            sizes, counts = split_counts(c, [new])[0]
+            self.encoded += len(sizes)
+            self.put(0, 0, new, sizes, counts)
             return
-        heads = [int(s[0]) + o for s, o in zip(self.starts, self.offsets, strict=True)]
         # the last pre-token that may look into the edit: all that end LOOK before it stay
-        first = max(bisect_right(heads, max(start - LOOK, 0)) - 1, 0)
-        own = self.starts[first] + self.offsets[first]
-        at = max(int(np.searchsorted(own, start - LOOK, side="right")) - 1, 0)
-        begin = int(own[at])
-        if begin > max(start - LOOK, 0):
-            begin, at = int(own[0]), 0
+        leaf, base = self.find(max(start - LOOK, 0))
+        own = np.cumsum(self.leaves[leaf][1]) - self.leaves[leaf][1]
+        at = max(int(np.searchsorted(own, start - LOOK - base, side="right")) - 1, 0)
+        s, e, shift = start - base, end - base, len(new) - (end - start)
         # split anew from there until a border of old lies at the same place
-        reach, found = REACH, None
-        while found is None:
-            stop = min(len(text), start + len(new) + reach)
-            codes, zero = code_points([text[begin:stop]])
+        stop, parts, held, reach = leaf, [], 0, REACH
+        while True:
+            while stop < len(self.leaves) and held < e + reach:
+                parts.append(self.leaves[stop])
+                held += len(parts[-1][0])
+                stop += 1
+            old = "".join(p for p, _, _ in parts)
+            text = old[:s] + new + old[e:]
+            sizes = np.concatenate([z for _, z, _ in parts])
+            begin = int(own[at])
+            codes, zero = code_points([text[begin:]])
             cut = (pretokens(codes, zero) + begin) if len(codes) else np.zeros(0, np.int64)
-            if stop < len(text):
-                cut = cut[cut <= stop - LOOK - 1]  # borders that the end of the piece can't have moved
-            late = cut[cut >= start + len(new)]
-            for b in late.tolist():
-                old = b - shift
-                leaf = bisect_right(heads, old) - 1
-                if leaf >= 0:
-                    o = self.starts[leaf] + self.offsets[leaf]
-                    k = int(np.searchsorted(o, old))
-                    if k < len(o) and o[k] == old and old >= end:
-                        found = (b, leaf, k)
-                        break
-            if found is None and stop == len(text):
-                found = (len(text), len(self.starts), 0)
+            last = stop == len(self.leaves)
+            if not last:
+                cut = cut[cut <= len(text) - LOOK - 1]  # borders that the end of the piece can't have moved
+            starts = np.cumsum(sizes) - sizes
+            late = cut[(cut >= s + len(new)) & (cut - shift >= e)]
+            late = late[np.isin(late - shift, starts)]
+            if len(late) or last:
+                break
             reach *= 4
-        border, leaf, k = found
+        border = int(late[0]) if len(late) else len(text)
         fresh = cut[cut < border]
-        counts = c.encode_pieces(text, np.append(fresh, border))
         self.encoded += len(fresh)
-        left_s, left_c = own[:at], self.counts[first][:at]
-        right_s = right_c = np.zeros(0, np.int64)
-        last = leaf
-        if leaf < len(self.starts) and k:
-            right_s = self.starts[leaf][k:] + self.offsets[leaf] + shift
-            right_c = self.counts[leaf][k:]
-            last = leaf + 1
-        s = np.concatenate([left_s, fresh, right_s])
-        k_ = np.concatenate([left_c, counts, right_c])
-        for i in range(last, len(self.starts)):
-            self.offsets[i] += shift
-        pieces = max(1, -(-len(s) // (2 * LEAF))) if len(s) else 0
-        same = pieces == last - first
-        cuts = np.array_split(np.arange(len(s)), pieces) if pieces else []
-        self.starts[first:last] = [s[i] for i in cuts]
-        self.counts[first:last] = [k_[i] for i in cuts]
-        self.offsets[first:last] = [0] * pieces
-        if same:
-            for i in range(first, last):
-                self.update(i)
-        else:
-            self.sums()
+        counts = np.concatenate([k for _, _, k in parts])
+        behind = int(np.searchsorted(starts, border - shift)) if len(late) else len(starts)
+        # whole leaves behind the border stay
+        upto = np.cumsum([len(z) for _, z, _ in parts])
+        used = int(np.searchsorted(upto, behind)) + 1
+        stop, right = leaf + used, int(upto[used - 1])
+        end_at = int(starts[right]) if right < len(starts) else len(old)
+        sizes = np.concatenate([sizes[:at], np.diff(np.append(fresh, border)), sizes[behind:right]])
+        counts = np.concatenate([counts[:at], c.encode_pieces(text, np.append(fresh, border)), counts[behind:right]])
+        self.put(leaf, stop, text[: end_at + shift], sizes, counts)
 
 
 def split_counts(c: Codec, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Of each text, where its pre-tokens start and their token counts."""
+    """Of each text, the lengths of its pre-tokens and their token counts."""
     codes, begin = code_points(texts)
     _, _, count, words = c.encode_batch(texts)
     start = pretokens(codes, begin) if len(codes) else np.zeros(0, np.int64)
+    size = np.diff(np.append(start, len(codes)))
     ends = np.cumsum(words)
-    return [(start[e - w : e] - b, count[e - w : e]) for e, w, b in zip(ends.tolist(), words.tolist(), begin.tolist(), strict=True)]
+    return [(size[e - w : e], count[e - w : e].astype(np.int64)) for e, w in zip(ends.tolist(), words.tolist(), strict=True)]
 
 
 def build(texts: list[str], c: Codec) -> list[Tree]:
     return [Tree(t, s, k) for t, (s, k) in zip(texts, split_counts(c, texts), strict=True)]
 
 
+STATE = "text string, sizes array<int>, counts array<int>, tokens int"
+
+
+def arrays(parts: list, nulls: np.ndarray) -> pa.ListArray:
+    """A list column from numpy parts, null where told."""
+    n = np.array([len(p) for p in parts], np.int64)
+    flat = np.concatenate([*parts, np.zeros(0, np.int64)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat), mask=pa.array(nulls))
+
+
+def state(docs: DataFrame, vocab: str = VOCAB, id_col: str = "doc_id", text_col: str = "text", edits_col: str | None = None) -> DataFrame:
+    """The id, ``text``, ``sizes`` and ``counts`` (of its pre-tokens: characters and tokens) and
+    ``tokens`` of each row, and its ``edits`` where a column has them; to be written once and kept.
+
+    A null text has nulls, an empty one empty lists and 0. Texts of any length are encoded whole,
+    other columns are not read, repeated rows give repeated results, and an empty table gives an
+    empty one.
+    """
+    with open(vocab, "rb") as f:
+        shared = docs.sparkSession.sparkContext.broadcast(f.read())
+    more = [edits_col] if edits_col else []
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        c = codec(shared.value)
+        every = batch.column(1).to_pylist()
+        for a, b in slices(every):
+            nulls = np.array([t is None for t in every[a:b]])
+            parts = split_counts(c, [t or "" for t in every[a:b]])
+            total = np.array([k.sum() for _, k in parts], np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), arrays([s for s, _ in parts], nulls), arrays([k for _, k in parts], nulls), pa.array(total, mask=nulls), *(batch.column(2).slice(a, b - a) for _ in more)], names=[id_col, "text", "sizes", "counts", "tokens", *("edits" for _ in more)])
+
+    kind = lambda c: docs.schema[c].dataType.simpleString()
+    return map_arrow(only(docs, id_col, text_col, *more), run, ", ".join([f"`{id_col}` {kind(id_col)}, {STATE}", *(f"edits {kind(c)}" for c in more)]))
+
+
+def apply_edits(kept: DataFrame, vocab: str = VOCAB, id_col: str = "doc_id", edits_col: str = "edits") -> DataFrame:
+    """Rows of a ``state`` table brought up to date with their edits: its columns, and
+    ``tokens_before``, ``pretokens`` (before) and ``reencoded``, the pre-tokens that were encoded.
+
+    ``edits_col`` holds an array of structs ``start``, ``end``, ``text``: each replaces characters
+    of the text as the edits before it left it. Places beyond a text count as its end, a null text
+    of an edit as empty, a null edit as none; a null place means 0. A null text stays null; null or
+    no edits leave a row as it is. Join the table with the edits by id first, so that only edited
+    rows are read here; texts of any length are followed whole, repeated rows give repeated results,
+    other columns are not read and an empty table gives an empty one.
+    """
+    with open(vocab, "rb") as f:
+        shared = kept.sparkSession.sparkContext.broadcast(f.read())
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        c = codec(shared.value)
+        ids, texts, sizes, counts, edits = batch.columns
+        flat = [(x.flatten().to_numpy(), np.concatenate([[0], np.cumsum(x.value_lengths().fill_null(0).to_numpy())])) for x in (sizes, counts)]
+        (size, at), (count, _) = flat
+        rows: list = []
+
+        def done() -> pa.RecordBatch:
+            last = start + len(rows)
+            nulls = np.array([r is None for r in rows])
+            trees = [r or (None, np.zeros(0, int), np.zeros(0, int), 0, 0, 0, 0) for r in rows]
+            numbers = [pa.array(np.array([t[k] for t in trees], np.int32), mask=nulls) for k in (3, 4, 5, 6)]
+            cols = [ids.slice(start, last - start), pa.array([t[0] for t in trees], pa.string()), arrays([t[1] for t in trees], nulls), arrays([t[2] for t in trees], nulls), *numbers]
+            return pa.RecordBatch.from_arrays(cols, names=[id_col, "text", "sizes", "counts", "tokens", "tokens_before", "pretokens", "reencoded"])
+
+        start = held = 0
+        for i in range(batch.num_rows):
+            text = texts[i].as_py()
+            if text is None:
+                rows.append(None)
+            else:
+                s, k = size[at[i] : at[i + 1]].astype(np.int64), count[at[i] : at[i + 1]].astype(np.int64)
+                before = int(k.sum())
+                some = [e for e in edits[i].as_py() or [] if e is not None]
+                if some:
+                    tree = Tree(text, s, k)
+                    for e in some:
+                        tree.edit(c, e["start"] or 0, e["end"] or 0, e["text"] or "")
+                    rows.append((tree.text, tree.sizes, tree.counts, tree.total, before, len(s), tree.encoded))
+                else:
+                    rows.append((text, s, k, before, before, len(s), 0))
+                held += len(text)
+            if held > SLICE_CHARS:
+                yield done()
+                start, held, rows = start + len(rows), 0, []
+        if rows:
+            yield done()
+
+    schema = f"`{id_col}` {kept.schema[id_col].dataType.simpleString()}, {STATE}, tokens_before int, pretokens int, reencoded int"
+    return map_arrow(only(kept, id_col, "text", "sizes", "counts", edits_col), run, schema)
+
+
 def edits_of(text: Column) -> Column:
     """Edits for a corpus that comes without any: cut the second line, put a notice in the middle,
     and write the first word, up to 20 characters, in capitals. Null for a null text."""
@@ -162,35 +263,14 @@ def edits_of(text: Column) -> Column:
 
 def recount(docs: DataFrame, edits_col: str = "edits", vocab: str = VOCAB, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id, ``tokens_before``, ``tokens_after``, ``pretokens`` (before) and ``reencoded``, the
-    pre-tokens that were encoded again.
+    pre-tokens that were encoded again, of a table that has its edits beside the texts.
 
-    ``edits_col`` holds an array of structs ``start``, ``end``, ``text``: each replaces characters
-    of the text as the edits before it left it. Places beyond a text count as its end, a null text
-    of an edit as empty, a null edit as none; a null place means 0. A null text gives nulls, an
-    empty one 0 and then what the edits add; null or no edits leave the counts as they are. Other
-    columns are not read; repeated rows give repeated results.
+    The ``state`` of all rows is written to the shared folder, and the edits are applied to that
+    table. Nulls, empty and long texts, repeated rows and empty tables as in ``apply_edits``.
     """
-    with open(vocab, "rb") as f:
-        shared = docs.sparkSession.sparkContext.broadcast(f.read())
-
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        c = codec(shared.value)
-        every, edits = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        for a, b in slices(every):
-            nulls = np.array([t is None for t in every[a:b]])
-            out = np.zeros((4, b - a), np.int64)
-            for i, tree in enumerate(build([t or "" for t in every[a:b]], c)):
-                out[0, i] = tree.total
-                out[2, i] = sum(map(len, tree.starts))
-                if not nulls[i]:
-                    for e in edits[a + i] or []:
-                        if e is not None:
-                            tree.edit(c, e["start"] or 0, e["end"] or 0, e["text"] or "")
-                out[1, i], out[3, i] = tree.total, tree.encoded
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(v.astype(np.int32), mask=nulls) for v in out)], names=[id_col, "tokens_before", "tokens_after", "pretokens", "reencoded"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return map_arrow(only(docs, id_col, text_col, edits_col), run, f"`{id_col}` {kind}, tokens_before int, tokens_after int, pretokens int, reencoded int")
+    kept = written(state(docs, vocab, id_col, text_col, edits_col), "state")
+    out = apply_edits(kept, vocab, id_col)
+    return out.select(id_col, "tokens_before", F.col("tokens").alias("tokens_after"), "pretokens", "reencoded")
 
 
 def with_edits(docs: DataFrame, text_col: str = "text") -> DataFrame:

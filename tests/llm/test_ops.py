@@ -563,8 +563,9 @@ def test_edits_against_encoding_again(codec):
             assert t.text == want
             codes, zero = bpe.code_points([want])
             borders = bpe.pretokens(codes, zero).tolist() if want else []
-            assert [int(x) + o for a, o in zip(t.starts, t.offsets, strict=True) for x in a] == borders
-            assert all(int(level.sum()) == t.total for level in t.levels)
+            assert (np.cumsum(t.sizes) - t.sizes).tolist() == borders and int(t.sizes.sum()) == len(want)
+            assert all(int(level.sum()) == t.total for level in t.levels) and all(int(level.sum()) == len(want) for level in t.chars)
+            assert all(len(part) == size.sum() and len(size) == len(count) > 0 for part, size, count in t.leaves)
             assert t.total == len(codec.encode(want))
 
 
@@ -574,6 +575,35 @@ def test_small_edit_of_a_long_text_is_local(codec):
     assert t.encoded < 10
 
 
+@needs_vocab
+def test_kept_state_follows_rounds_of_edits(spark, codec, tmp_path):
+    """Edits of a few rows of a written table, twice, against encoding their texts anew."""
+    rng = random.Random(15)
+    texts = {f"d{i}": prose(rng, rng.randint(0, 300)) for i in range(40)} | {"none": None, "empty": ""}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    tokencount.state(docs).write.parquet(f"{tmp_path}/0")
+    kept = spark.read.parquet(f"{tmp_path}/0")
+    for turn in range(2):
+        edits = {k: [(rng.randint(0, 400), rng.randint(0, 400), prose(rng, rng.randint(0, 4))) for _ in range(3)] for k in rng.sample(sorted(texts), 12)}
+        table_of = spark.createDataFrame([(k, v) for k, v in edits.items()], "doc_id string, edits array<struct<start:int,end:int,text:string>>")
+        new = tokencount.apply_edits(kept.join(table_of, "doc_id"))
+        rows = {r.doc_id: r for r in new.collect()}
+        assert set(rows) == set(edits)
+        for k, r in rows.items():
+            if texts[k] is None:
+                assert r.text is None and r.tokens is None and r.sizes is None
+                continue
+            before = len(codec.encode(texts[k]))
+            for s, e, t in edits[k]:
+                n = len(texts[k])
+                texts[k] = texts[k][: min(s, n)] + t + texts[k][max(min(e, n), min(s, n)) :]
+            assert r.text == texts[k] and r.tokens == len(codec.encode(texts[k])) == sum(r.counts) and r.tokens_before == before
+            assert sum(r.sizes) == len(texts[k])
+        kept.join(new.select("doc_id"), "doc_id", "left_anti").unionByName(new.select(*kept.columns)).write.parquet(f"{tmp_path}/{turn + 1}")
+        kept = spark.read.parquet(f"{tmp_path}/{turn + 1}")
+    assert tokencount.apply_edits(kept.limit(0).withColumn("edits", F.lit(None).cast("array<struct<start:int,end:int,text:string>>"))).count() == 0
+
+
 @needs_vocab
 def test_recount_odd_rows(spark):
     docs = tokencount.with_edits(odd(spark).withColumn("edits", F.lit(1)).withColumn("tokens_before", F.lit("clash")))
