@@ -1,6 +1,7 @@
 """The operators against brute force, and on nulls, empty and long texts, ties, repeats, empty tables
 and columns with clashing names."""
 
+import html
 import itertools
 import json
 import math
@@ -9,6 +10,7 @@ import random
 import re
 import unicodedata
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -390,28 +392,102 @@ def test_html_paths_below_deep_nesting():
     assert len(boxes) == 302 and boxes[1][0] == "body>div.outer" and boxes[1][3] == len("in" + "stillouter")
 
 
-def brute_consensus(pages):
-    """Winners by plain loops over the same walk."""
+class Page(HTMLParser):
+    """Pieces of a page, each with its chain of open elements, and its containers, by the standard
+    library's parser. For pages whose only open ends are those of p, b, body and html."""
+
+    HELD = ("body", "div", "article", "main", "section", "td")
+    BLOCKS = ("p", "div", "article", "main", "section", "li", "ul", "ol", "h1", "h2", "h3", "table", "blockquote", "pre", "header", "footer", "nav", "aside", "form")
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=False)
+        self.stack, self.pieces, self.held = [], [], []
+        self.feed(page)
+        self.close()
+        while self.stack:
+            self.leave()
+
+    def leave(self):
+        node = self.stack.pop()
+        if node["tag"] in self.HELD:
+            node["stop"] = len(self.pieces)
+
+    def handle_starttag(self, tag, attrs):
+        if tag in (*self.BLOCKS, "br"):
+            self.pieces.append(("\n", []))
+        if tag in ("br", "meta", "img", "link", "hr", "input"):
+            return
+        if tag in self.BLOCKS:
+            for k in range(len(self.stack) - 1, -1, -1):
+                if self.stack[k]["tag"] == "p":
+                    while len(self.stack) > k:
+                        self.leave()
+                    break
+                if self.stack[k]["tag"] in (*self.HELD, "ul"):
+                    break
+        names = sorted({re.sub("[0-9]+", "", c).strip("-_") for c in (dict(attrs).get("class") or "").split()} - {""})
+        path = (self.stack[-1]["path"] + ">" if self.stack else "") + ".".join([tag, *names])
+        self.stack.append({"tag": tag, "path": path, "start": len(self.pieces)})
+        if tag in self.HELD:
+            self.held.append(self.stack[-1])
+
+    def handle_endtag(self, tag):
+        if tag in self.BLOCKS:
+            self.pieces.append(("\n", []))
+        if any(n["tag"] == tag for n in self.stack):
+            while self.stack[-1]["tag"] != tag:
+                self.leave()
+            self.leave()
+
+    def handle_data(self, data):
+        if not any(n["tag"] in ("head", "script", "style") for n in self.stack):
+            self.pieces.append((data, [n["tag"] for n in self.stack]))
+
+    def handle_entityref(self, name):
+        self.handle_data(f"&{name};")
+
+    def handle_charref(self, name):
+        self.handle_data(f"&#{name};")
+
+    def worth(self, box):
+        inside = [(len(re.sub("[ \n]", "", t)), chain) for t, chain in self.pieces[box["start"] : box["stop"]]]
+        share = lambda *tags: sum(n for n, chain in inside if set(tags) & set(chain))
+        n, links, chrome, paras = sum(n for n, _ in inside), share("a"), share("nav", "footer", "header", "aside", "form", "button"), share("p")
+        return paras + 0.25 * (n - paras) - 1.5 * (links + chrome) - 0.5 * max(0, n - paras - links - chrome)
+
+    def best(self):
+        good = [(self.worth(b), b) for b in self.held]
+        top = max((w for w, _ in good if w > 0), default=None)
+        own = [b for w, b in good if w == top]
+        return (top, max(own, key=lambda b: (b["start"], -b["stop"]) if b["start"] >= own[0]["start"] and b["stop"] <= own[0]["stop"] else (-1, 0))) if own else None
+
+    def text(self, boxes):
+        out = []
+        for b in boxes:
+            raw = "".join(t if t == "\n" and not chain else html.unescape(t).replace("\n", " ") for t, chain in self.pieces[b["start"] : b["stop"]])
+            lines = [re.sub("[ \t]+", " ", x).strip() for x in raw.split("\n")]
+            out.append("\n".join(x for x in lines if x))
+        return "\n".join(x for x in out if x)
+
+
+def test_html_query_against_another_parser(spark, sf):
+    """``op4_html`` over a whole table: votes, winning paths, and the texts along them."""
+    rows = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    pages = {r.page_id: (re.match(r"\w+://([^/?#:]+)", r.url)[1].lower(), Page(r.html)) for r in rows}
     votes, score = defaultdict(Counter), defaultdict(float)
-    for host, h in pages:
-        good = [b for b in htmlx.walk(h)[1] if htmlx.worth(b) > 0]
-        if good:
-            top = max(map(htmlx.worth, good))
-            # boxes are listed from the outside in and from the first on
-            own = [b for b in good if htmlx.worth(b) == top]
-            inner = own[0]
-            for b in own[1:]:
-                if b[1] >= inner[1] and b[2] <= inner[2]:
-                    inner = b
-            votes[host][inner[0]] += 1
-            score[host, inner[0]] += top
-    return {h: sorted(v, key=lambda p: (-v[p], -round(score[h, p], 3), -len(p), p))[0] for h, v in votes.items()}
-
-
-def test_html_votes_against_loops(spark, sf):
-    pages = spark.read.parquet(f"{sf}/pages.parquet")
-    want = brute_consensus([(re.match(r"\w+://([^/?#:]+)", r.url)[1].lower(), r.html) for r in pages.collect()])
-    assert {r.host: r.path for r in htmlx.winners(htmlx.votes(pages)).collect()} == want
+    for host, page in pages.values():
+        if best := page.best():
+            votes[host][best[1]["path"]] += 1
+            score[host, best[1]["path"]] += best[0]
+    win = {h: sorted(v, key=lambda p: (-v[p], -round(score[h, p], 3), -len(p), p))[0] for h, v in votes.items()}
+    got = queries.op4_html(spark, sf).collect()
+    assert len(got) == len(rows) > 0
+    for r in got:
+        host, page = pages[r.page_id]
+        on = [b for b in page.held if b["path"] == win[host]]
+        own = on or [page.best()[1]]
+        assert (r.host, r.path, r.consensus) == (host, own[0]["path"], bool(on)), r.page_id
+        assert r.text == page.text(own), r.page_id
 
 
 def test_html_odd_pages(spark):
