@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callweave.functions import gates as G
-from callweave.operators.metrics import real
+from callweave.operators.metrics import quantiles, real
 
 EPS = 0.05
 
@@ -15,7 +15,10 @@ def medians(long: DataFrame) -> DataFrame:
     """``version``, ``scenario``, ``metric``, ``median`` and ``clips``. Rows without a version, a
     value or with an error don't count, nor do NaNs; a missing scenario is ``_all``."""
     rows = long.where(F.col("error").isNull() & F.col("version").isNotNull() & real(F.col("value"))).withColumn("scenario", F.coalesce("scenario", F.lit("_all")))
-    return rows.groupBy("version", "scenario", "metric").agg(F.median("value").alias("median"), F.count_distinct("clip_id").alias("clips"))
+    keys = ["version", "scenario", "metric"]
+    # clips are counted in two steps, so that a large group is not gathered in one place
+    clips = rows.select(*keys, "clip_id").distinct().groupBy(*keys).agg(F.count("*").alias("clips"))
+    return quantiles(rows, keys, "value", [0.5]).select(*keys, F.col("q")[0].alias("median")).join(clips, keys)
 
 
 def _sides(mid: DataFrame, candidate: str, baseline: str) -> tuple[DataFrame, DataFrame]:

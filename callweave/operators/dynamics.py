@@ -51,14 +51,14 @@ def awkward(gaps: DataFrame, over: float = timeline.AWKWARD) -> DataFrame:
     return gaps.groupBy("clip_id").agg(F.count_if(F.col("gap_s") > over).alias("awkward_gap_count"), F.max("gap_s").alias("max_gap_s"), F.array_sort(F.collect_list(place)).alias("places"))
 
 
-def turn_taking(segments: DataFrame, totals: DataFrame | None = None) -> DataFrame:
+def turn_taking(segments: DataFrame, totals: DataFrame | None = None, over_s: float = timeline.AWKWARD, least_s: float = timeline.OVERLAP_MIN) -> DataFrame:
     """``awkward_gap_count``, ``max_gap_s``, ``overlap_ratio`` and ``agent_talk_ratio`` of each clip
     with segments. ``totals(clip_id, total_s)`` gives lengths; without one, or at 0, the last end
     stands in."""
     merged = timeline.union(segments)
     talk = merged.groupBy("clip_id").agg(*[F.sum(F.when(F.col("speaker") == s, timeline.duration()).otherwise(0.0)).alias(s) for s in ("agent", "caller")], F.max("end_s").alias("last_s"))
-    over = timeline.intersect(merged).groupBy("clip_id").agg(F.sum(timeline.duration()).alias("over"))
-    held = awkward(timeline.gaps(merged)).drop("places")
+    over = timeline.intersect(merged, least_s).groupBy("clip_id").agg(F.sum(timeline.duration()).alias("over"))
+    held = awkward(timeline.gaps(merged), over_s).drop("places")
     out = talk.join(over, "clip_id", "left").join(held, "clip_id", "left")
     if totals is not None:
         out = out.join(totals.select("clip_id", "total_s"), "clip_id", "left")
@@ -71,30 +71,35 @@ def turn_taking(segments: DataFrame, totals: DataFrame | None = None) -> DataFra
 
 
 def barge_attempts(events: DataFrame, window_s: float = WINDOW_S) -> DataFrame:
-    """Each detected interruption: ``clip_id``, ``seq``, ``barge_s``, ``latency_s``, ``utterance_s``,
-    ``success``.
+    """Each detected interruption: ``clip_id``, ``seq``, ``barge_s``, ``onset_s``, ``latency_s``,
+    ``utterance_s``, ``success``.
 
     The stop is the first interruption of the agent at or after it, the onset the earliest caller
     start within half a second, the utterance runs to the first caller end at or after the onset.
-    Three windows and no join. The onset's range frame counts in units of a 2**-30 second.
+    Windows over the clip's events by time, and no join.
     """
     kind = F.col("kind")
     rows = events.where(kind.isin("barge_in_detected", "agent_interrupted", timeline.CALLER_START, timeline.CALLER_END))
     # a barge comes first among equal times, so what happens then lies ahead of it
-    order = _by_time(F.when(kind == "barge_in_detected", 0).otherwise(1))
-    ahead = order.rowsBetween(0, Window.unboundedFollowing)
+    ahead = _by_time(F.when(kind == "barge_in_detected", 0).otherwise(1)).rowsBetween(0, Window.unboundedFollowing)
     stop = F.first(F.when(kind == "agent_interrupted", F.col("t_s")), ignorenulls=True).over(ahead)
-    starts = rows.where(kind == timeline.CALLER_START).select("clip_id", F.col("t_s").alias("u"))
-    ends = rows.where(kind == timeline.CALLER_END).select("clip_id", F.col("t_s").alias("v"))
-    barges = rows.withColumn("stop_s", stop).where(kind == "barge_in_detected").select("clip_id", "seq", F.col("t_s").alias("barge_s"), "stop_s")
-    near = barges.join(starts, "clip_id").where(F.abs(F.col("u") - F.col("barge_s")) <= ONSET_S).groupBy("clip_id", "seq").agg(F.min("u").alias("u"))
-    onset = barges.join(near, ["clip_id", "seq"], "left").withColumn("onset_s", F.coalesce("u", "barge_s"))
+
+    def near(low: float, high: float) -> Column:
+        start = f"CASE WHEN kind = '{timeline.CALLER_START}' THEN t_s END"
+        side = lambda x: f"{abs(x)!r}D {'PRECEDING' if x < 0 else 'FOLLOWING'}"
+        return F.expr(f"min({start}) OVER (PARTITION BY clip_id ORDER BY t_s RANGE BETWEEN {side(low)} AND {side(high)})")
+
+    # at the very ends of the range the difference decides, as a frame adds instead
+    tiny = 1e-9
+    exact = lambda c: F.when(F.abs(F.col(c) - F.col("t_s")) <= ONSET_S, F.col(c))
+    seen = rows.withColumns({"stop_s": stop, "__a": near(-ONSET_S - tiny, -ONSET_S + tiny), "__b": near(-ONSET_S + tiny, ONSET_S - tiny), "__c": near(ONSET_S - tiny, ONSET_S + tiny)})
+    onset = seen.where(kind == "barge_in_detected").select("clip_id", "seq", F.coalesce(exact("__a"), "__b", exact("__c"), "t_s").alias("onset"), F.lit(0).alias("tie"), F.struct(F.col("t_s").alias("barge_s"), "stop_s").alias("b"))
     # the first caller end at or after the onset: onsets and ends in one order
-    points = onset.select("clip_id", "seq", F.col("onset_s").alias("t_s"), F.lit(0).alias("tie"), F.struct("barge_s", "stop_s").alias("b")).unionByName(ends.select("clip_id", F.lit(None).cast("long").alias("seq"), F.col("v").alias("t_s"), F.lit(1).alias("tie"), F.lit(None).cast("struct<barge_s:double,stop_s:double>").alias("b")))
-    behind = F.first(F.when(F.col("tie") == 1, F.col("t_s")), ignorenulls=True).over(Window.partitionBy("clip_id").orderBy("t_s", "tie").rowsBetween(0, Window.unboundedFollowing))
-    done = points.withColumn("__end", behind).where("tie = 0")
+    ends = rows.where(kind == timeline.CALLER_END).select("clip_id", F.lit(None).cast("long").alias("seq"), F.col("t_s").alias("onset"), F.lit(1).alias("tie"), F.lit(None).cast("struct<barge_s:double,stop_s:double>").alias("b"))
+    behind = F.first(F.when(F.col("tie") == 1, F.col("onset")), ignorenulls=True).over(Window.partitionBy("clip_id").orderBy("onset", "tie").rowsBetween(0, Window.unboundedFollowing))
+    done = onset.unionByName(ends).withColumn("__end", behind).where("tie = 0")
     raw = F.col("b.stop_s") - F.col("b.barge_s")
-    return done.select("clip_id", "seq", F.col("b.barge_s").alias("barge_s"), F.coalesce(F.round(raw, 3), F.lit(window_s * 10)).alias("latency_s"), (F.col("__end") - F.col("t_s")).alias("utterance_s"), F.coalesce(raw <= window_s, F.lit(False)).alias("success"))
+    return done.select("clip_id", "seq", F.col("b.barge_s").alias("barge_s"), F.round("onset", 3).alias("onset_s"), F.coalesce(F.round(raw, 3), F.lit(window_s * 10)).alias("latency_s"), F.round(F.col("__end") - F.col("onset"), 3).alias("utterance_s"), F.coalesce(raw <= window_s, F.lit(False)).alias("success"))
 
 
 def barge_attempts_timeline(segments: DataFrame, window_s: float = WINDOW_S) -> DataFrame:
@@ -103,13 +108,14 @@ def barge_attempts_timeline(segments: DataFrame, window_s: float = WINDOW_S) ->
     c = segments.where("speaker = 'caller'").select("clip_id", F.col("start_s").alias("c0"), F.col("end_s").alias("c1"))
     hit = c.join(a, "clip_id").where("a0 < c0 AND c0 < a1").groupBy("clip_id", "c0", "c1").agg(F.min_by("a1", "a0").alias("a1"))
     raw = F.col("a1") - F.col("c0")
-    return hit.select("clip_id", F.col("c0").alias("barge_s"), F.round(raw, 3).alias("latency_s"), (F.col("c1") - F.col("c0")).alias("utterance_s"), (raw <= window_s).alias("success"))
+    return hit.select("clip_id", F.col("c0").alias("barge_s"), F.round("c0", 3).alias("onset_s"), F.round(raw, 3).alias("latency_s"), F.round(F.col("c1") - F.col("c0"), 3).alias("utterance_s"), (raw <= window_s).alias("success"))
 
 
-def barge_metrics(attempts: DataFrame) -> DataFrame:
-    """Percentiles over successful attempts (NaN without any), success and false-alarm rates, count."""
+def barge_metrics(attempts: DataFrame, least_s: float = FALSE_ALARM_S) -> DataFrame:
+    """Percentiles over successful attempts (NaN without any), success and false-alarm rates, count.
+    A success over less than ``least_s`` of speech, to the millisecond, is a false alarm."""
     won = F.when(F.col("success"), F.col("latency_s"))
-    false = F.count_if((F.col("utterance_s") < FALSE_ALARM_S) & F.col("success"))
+    false = F.count_if((F.col("utterance_s") < least_s) & F.col("success"))
     nan = F.lit(float("nan"))
     return attempts.groupBy("clip_id").agg(
         F.coalesce(F.percentile(won, F.lit(0.5)), nan).alias("bargein_latency_p50_s"), F.coalesce(F.percentile(won, F.lit(0.95)), nan).alias("bargein_latency_p95_s"),
@@ -117,8 +123,8 @@ def barge_metrics(attempts: DataFrame) -> DataFrame:
     )
 
 
-def barge(events: DataFrame, segments: DataFrame) -> DataFrame:
+def barge(events: DataFrame, segments: DataFrame, window_s: float = WINDOW_S) -> DataFrame:
     """Attempts from events where a clip has a detection, else from its timeline."""
-    direct = barge_attempts(events)
+    direct = barge_attempts(events, window_s)
     flagged = events.where("kind = 'barge_in_detected'").select("clip_id").distinct()
-    return direct.drop("seq").unionByName(barge_attempts_timeline(segments).join(flagged, "clip_id", "left_anti"))
+    return direct.drop("seq").unionByName(barge_attempts_timeline(segments, window_s).join(flagged, "clip_id", "left_anti"))

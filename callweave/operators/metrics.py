@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from callweave.functions import gates as G
 
+#: Bins of a group's values in which the ranks of its quantiles are sought.
+BINS = 1024
 VERSIONS = ("agent_version", "prompt_version", "model_id", "tts_provider")
 
 
@@ -59,6 +61,34 @@ def real(value: Column) -> Column:
     return value.isNotNull() & ~F.isnan(value)
 
 
+def quantiles(rows: DataFrame, keys: list[str], value: str, probabilities: list[float], bins: int = BINS) -> DataFrame:
+    """``keys`` and ``q``, the exact quantiles, linearly interpolated, of each group's real values.
+
+    For groups of any size: values are counted by bins between the group's least and greatest, and
+    only the bins that hold a wanted rank are put in order, equal values as one. Nothing but counts
+    is moved. Keys are not null.
+    """
+    rows = rows.select(*keys, F.col(value).cast("double").alias("v"))
+    span = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    # wanted ranks from 0: below and above each place between two values
+    places = [F.struct(F.lit(k).alias("k"), (F.lit(float(p)) * (F.col("n") - 1)).alias("place")) for k, p in enumerate(probabilities)]
+    at = span.select(*keys, F.explode(F.array(*places)).alias("at")).select(*keys, "at.k", "at.place")
+    wanted = at.select(*keys, "k", "place", F.explode(F.array_distinct(F.array(F.floor("place"), F.ceil("place")))).alias("rank"))
+    share = F.coalesce(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))
+    binned = rows.join(span, keys).withColumn("bin", F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor(share * bins).cast("int"))))
+    order = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    held = binned.groupBy(*keys, "bin").agg(F.count("*").alias("m")).withColumn("upto", F.sum("m").over(order))
+    hit = held.join(wanted, keys).where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("m")))
+    few = hit.select(*keys, "bin", (F.col("upto") - F.col("m")).alias("before")).distinct()
+    inner = Window.partitionBy(*keys, "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    values = binned.join(few, [*keys, "bin"]).groupBy(*keys, "bin", "before", "v").agg(F.count("*").alias("m")).withColumn("upto", F.col("before") + F.sum("m").over(inner))
+    found = values.select(*keys, "bin", "v", "m", "upto").join(hit.select(*keys, "bin", "k", "place", "rank"), [*keys, "bin"]).where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("m")))
+    low, high = F.min("v"), F.max("v")
+    part = F.first("place") - F.floor(F.first("place"))
+    one = found.groupBy(*keys, "k").agg((low + (high - low) * part).alias("x"))
+    return one.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("q"))
+
+
 def gated(long: DataFrame, gates: DataFrame) -> DataFrame:
     """Each row with ``status`` and ``threshold``, in one projection; null where the metric has no
     gate or the row no value."""
@@ -71,10 +101,10 @@ def gated(long: DataFrame, gates: DataFrame) -> DataFrame:
 def summary(long: DataFrame, gates: DataFrame) -> DataFrame:
     """Count, mean, median, 95th percentile, least and greatest of each metric over real values, and
     the share of gated ones that pass."""
-    rows = gated(long.where(real(F.col("value"))), gates)
-    q = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95)))
-    out = rows.groupBy("metric").agg(F.count("*").alias("count"), F.avg("value").alias("mean"), q.alias("q"), F.min("value").alias("min"), F.max("value").alias("max"), F.avg(F.col("passed").cast("double")).alias("pass_rate"))
-    return out.select("metric", "count", "mean", F.col("q")[0].alias("median"), F.col("q")[1].alias("p95"), "min", "max", "pass_rate")
+    rows = long.where(real(F.col("value")))
+    out = gated(rows, gates).groupBy("metric").agg(F.count("*").alias("count"), F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"), F.avg(F.col("passed").cast("double")).alias("pass_rate"))
+    q = quantiles(rows, ["metric"], "value", [0.5, 0.95])
+    return out.join(q, "metric").select("metric", "count", "mean", F.col("q")[0].alias("median"), F.col("q")[1].alias("p95"), "min", "max", "pass_rate")
 
 
 def outcomes(long: DataFrame, gates: DataFrame) -> DataFrame:

@@ -115,20 +115,20 @@ ba AS (
     coalesce((SELECT min(u.t_s) FROM ev u WHERE u.clip_id = b.clip_id AND u.kind = 'user_speech_start' AND abs(u.t_s - b.t_s) <= 0.5e0), b.t_s) AS onset
   FROM ev b WHERE b.kind = 'barge_in_detected'),
 bx AS (
-  SELECT clip_id, seq, bt AS barge_s, coalesce(round(st - bt, 3), 15e0) AS latency_s, coalesce(st - bt <= 1.5e0, false) AS success,
-    (SELECT min(v.t_s) FROM ev v WHERE v.clip_id = ba.clip_id AND v.kind = 'user_speech_end' AND v.t_s >= onset) - onset AS utterance_s FROM ba)"""
+  SELECT clip_id, seq, bt AS barge_s, round(onset, 3) AS onset_s, coalesce(round(st - bt, 3), 15e0) AS latency_s, coalesce(st - bt <= 1.5e0, false) AS success,
+    round((SELECT min(v.t_s) FROM ev v WHERE v.clip_id = ba.clip_id AND v.kind = 'user_speech_end' AND v.t_s >= onset) - onset, 3) AS utterance_s FROM ba)"""
 
 
-@query("WITH " + BARGE + " SELECT clip_id, seq, round(barge_s, 6) AS barge_s, latency_s, round(utterance_s, 6) AS utterance_s, success FROM bx")
+@query("WITH " + BARGE + " SELECT clip_id, seq, round(barge_s, 6) AS barge_s, onset_s, latency_s, utterance_s, success FROM bx")
 def q_barge_attempts_events(spark, sf):
-    return r6(dynamics.barge_attempts(M.gateway_events(spark, sf)), "barge_s", "utterance_s")
+    return r6(dynamics.barge_attempts(M.gateway_events(spark, sf)), "barge_s")
 
 
 @query("WITH " + M.SEG + """
-SELECT c.clip_id, round(c.start_s, 6) AS barge_s, round(min_by(a.end_s, a.start_s) - c.start_s, 3) AS latency_s, round(c.end_s - c.start_s, 6) AS utterance_s, min_by(a.end_s, a.start_s) - c.start_s <= 1.5e0 AS success
+SELECT c.clip_id, round(c.start_s, 6) AS barge_s, round(c.start_s, 3) AS onset_s, round(min_by(a.end_s, a.start_s) - c.start_s, 3) AS latency_s, round(c.end_s - c.start_s, 3) AS utterance_s, min_by(a.end_s, a.start_s) - c.start_s <= 1.5e0 AS success
 FROM seg c JOIN seg a ON a.clip_id = c.clip_id AND a.speaker = 'agent' AND c.speaker = 'caller' AND a.start_s < c.start_s AND c.start_s < a.end_s GROUP BY c.clip_id, c.start_s, c.end_s""")
 def q_barge_attempts_timeline(spark, sf):
-    return r6(dynamics.barge_attempts_timeline(timeline.pair_events(M.gateway_events(spark, sf))), "barge_s", "utterance_s")
+    return r6(dynamics.barge_attempts_timeline(timeline.pair_events(M.gateway_events(spark, sf))), "barge_s")
 
 
 BARGE_OUT = """SELECT clip_id, round(quantile_cont(latency_s, 0.5) FILTER (WHERE success), 6) AS bargein_latency_p50_s, round(quantile_cont(latency_s, 0.95) FILTER (WHERE success), 6) AS bargein_latency_p95_s,

@@ -14,14 +14,15 @@ from callweave.streaming import calls
 
 
 @query("""WITH raw AS (SELECT ' ' || CASE WHEN doc_id % 11 = 0 THEN '#' ELSE '' END || 'call' || (doc_id // 2) || ' ' AS c, CASE doc_id % 3 WHEN 0 THEN ' Naturalness' WHEN 1 THEN 'fluency' ELSE 'charm' END AS d,
-  CASE doc_id % 5 WHEN 0 THEN '4.4' WHEN 1 THEN 'x' WHEN 2 THEN '9' WHEN 3 THEN '2.6' ELSE '1' END AS s, doc_id AS row_no FROM labels),
-ok AS (SELECT trim(c) AS clip_id, lower(trim(d)) AS dimension, CAST(round_even(TRY_CAST(s AS DOUBLE), 0) AS INT) AS human, row_no FROM raw)
+  CASE doc_id % 7 WHEN 0 THEN '4.4' WHEN 1 THEN 'x' WHEN 2 THEN '9' WHEN 3 THEN '2.6' WHEN 4 THEN 'nan' WHEN 5 THEN '1e12' ELSE '1' END AS s, doc_id AS row_no FROM labels),
+num AS (SELECT *, round_even(TRY_CAST(s AS DOUBLE), 0) AS x FROM raw),
+ok AS (SELECT trim(c) AS clip_id, lower(trim(d)) AS dimension, CAST(CASE WHEN x BETWEEN 1 AND 5 THEN x END AS INT) AS human, row_no FROM num)
 SELECT clip_id, dimension, max_by(human, row_no) AS human FROM ok WHERE clip_id NOT LIKE '#%' AND dimension IN ('naturalness', 'fluency') AND human BETWEEN 1 AND 5 GROUP BY 1, 2""")
 def q_golden_filter(spark, sf):
     i = F.col("doc_id")
     raw = M.read(spark, sf, "labels").select(
         F.concat(F.lit(" "), F.when(i % 11 == 0, "#").otherwise(""), F.lit("call"), F.floor(i / 2).cast("string"), F.lit(" ")).alias("clip_id"), F.when(i % 3 == 0, " Naturalness").when(i % 3 == 1, "fluency").otherwise("charm").alias("dimension"),
-        F.when(i % 5 == 0, "4.4").when(i % 5 == 1, "x").when(i % 5 == 2, "9").when(i % 5 == 3, "2.6").otherwise("1").alias("human_score"), i.alias("row_no"),
+        F.when(i % 7 == 0, "4.4").when(i % 7 == 1, "x").when(i % 7 == 2, "9").when(i % 7 == 3, "2.6").when(i % 7 == 4, "nan").when(i % 7 == 5, "1e12").otherwise("1").alias("human_score"), i.alias("row_no"),
     )
     return agreement.golden(raw, ["naturalness", "fluency"])
 
@@ -114,19 +115,20 @@ def q_worst_status(spark, sf):
 
 
 def _judged(spark, sf):
-    return M.judged(spark, sf).select(F.col("doc_id").alias("clip_id"), "dimension", F.col("judge").alias("score"))
+    dim = F.when(F.col("doc_id") % 4 == 0, "overall").otherwise(F.col("dimension"))
+    return M.judged(spark, sf).select(F.col("doc_id").alias("clip_id"), dim.alias("dimension"), F.col("judge").alias("score"))
 
 
-MARKS = M.GATE + ", mk AS (SELECT doc_id AS clip_id, lang AS dimension, 1 + n_chars % 5 AS score FROM labels JOIN documents USING (doc_id))"
+MARKS = M.GATE + ", mk AS (SELECT doc_id AS clip_id, CASE WHEN doc_id % 4 = 0 THEN 'overall' ELSE lang END AS dimension, 1 + n_chars % 5 AS score FROM labels JOIN documents USING (doc_id))"
 
 
-@query("WITH " + MARKS + """, w AS (SELECT clip_id, CASE status WHEN 'fail' THEN 2e0 WHEN 'warn' THEN 0.5e0 ELSE 0e0 END AS w FROM g WHERE status IS NOT NULL UNION ALL SELECT clip_id, CAST(3 - score AS DOUBLE) FROM mk WHERE score <= 3)
-SELECT clip_id, sum(w) AS score FROM w GROUP BY clip_id HAVING sum(w) > 0 ORDER BY score DESC, clip_id LIMIT 15""")
+@query("WITH " + MARKS + """, w AS (SELECT clip_id, CASE status WHEN 'fail' THEN 2e0 ELSE 0.5e0 END AS w FROM g WHERE status IN ('fail', 'warn') UNION ALL SELECT clip_id, CAST(3 - score AS DOUBLE) FROM mk WHERE score <= 3 AND dimension <> 'overall')
+SELECT clip_id, sum(w) AS score FROM w GROUP BY clip_id ORDER BY score DESC, clip_id LIMIT 15""")
 def q_worst_offenders(spark, sf):
     return report.offenders(metrics.outcomes(M.long_metrics(spark, sf), _gates(spark)), _judged(spark, sf))
 
 
-@query("WITH " + MARKS + """, f AS (SELECT clip_id, metric AS what, -1e0 AS severity FROM g WHERE status = 'fail' UNION ALL SELECT clip_id, dimension, CAST(score AS DOUBLE) FROM mk WHERE score <= 3)
+@query("WITH " + MARKS + """, f AS (SELECT clip_id, metric AS what, -1e0 AS severity FROM g WHERE status = 'fail' UNION ALL SELECT clip_id, dimension, CAST(score AS DOUBLE) FROM mk WHERE score <= 2)
 SELECT * FROM f ORDER BY severity, clip_id, what LIMIT 15""")
 def q_key_findings(spark, sf):
     return report.findings(metrics.outcomes(M.long_metrics(spark, sf), _gates(spark)), _judged(spark, sf))
@@ -135,7 +137,7 @@ def q_key_findings(spark, sf):
 @query("WITH " + M.GATE + """, last AS (SELECT clip_id, max(value) FILTER (WHERE metric = 'price' AND n = 1) AS price, max(value) FILTER (WHERE metric = 'tax_gap' AND n = 1) AS tax_gap FROM (
   SELECT *, row_number() OVER (PARTITION BY clip_id, metric ORDER BY seq DESC, value DESC) AS n FROM g WHERE metric IS NOT NULL) GROUP BY 1),
 c AS (SELECT clip_id, count(*) FILTER (WHERE error IS NOT NULL AND metric IS NULL) AS errors, count(*) FILTER (WHERE status = 'fail') AS fails, count(*) FILTER (WHERE status = 'warn') AS warns FROM g GROUP BY 1)
-SELECT clip_id, errors, fails, warns, price, tax_gap, CASE WHEN fails > 0 THEN 'bad' WHEN warns > 0 OR errors > 0 THEN 'warn' ELSE 'good' END AS status FROM c LEFT JOIN last USING (clip_id)""")
+SELECT clip_id, errors, fails, warns, price, tax_gap, CASE WHEN fails > 0 THEN 'bad' WHEN warns > 0 THEN 'warn' ELSE 'good' END AS status FROM c LEFT JOIN last USING (clip_id)""")
 def q_clip_detail(spark, sf):
     out = report.clip_detail(metrics.gated(M.long_metrics(spark, sf), _gates(spark)))
     return out.select("clip_id", "errors", "fails", "warns", F.col("metrics")["price"].alias("price"), F.col("metrics")["tax_gap"].alias("tax_gap"), "status")
@@ -192,9 +194,9 @@ def q_windows(spark, sf):
     return r6(w.select("clip_id", "window", F.size("x").alias("samples"), signal.rms(F.col("x")).alias("rms")), "rms")
 
 
-@query("SELECT vec_id AS clip_id, sqrt(list_sum(list_transform(embedding[1:8], lambda v: CAST(v AS DOUBLE) * v / 1e6)) / 8) < 1e-4 AS silent FROM embeddings")
+@query("SELECT vec_id AS clip_id, sqrt(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE) * v * POW(10, -2 * (vec_id % 5)))) / 64) < 1e-4 AS silent FROM embeddings")
 def q_silence(spark, sf):
-    x = F.transform(F.slice("x", 1, 8), lambda v: v / 1e3)
+    x = F.transform("x", lambda v: v * F.pow(F.lit(10.0), -(F.col("clip_id") % 5)))
     return M.signals(spark, sf).select("clip_id", signal.silent(x).alias("silent"))
 
 
@@ -217,10 +219,15 @@ def q_recording_events(spark, sf):
     return r6(simulate.events(M.moves(spark, sf)), "t_s").withColumn("seq", F.col("seq").cast("long"))
 
 
-@query("WITH " + M.MOVES + """, v AS (SELECT call_id, count(*) FILTER (WHERE speaker = 'caller') AS c, count(*) FILTER (WHERE speaker = 'agent') AS a, count(*) FILTER (WHERE dur_s < 0.1e0) AS s, count(*) FILTER (WHERE trim(text) = '') AS b FROM mv WHERE call_id % 7 <> 0 OR speaker = 'caller' GROUP BY 1)
+@query("WITH " + M.MOVES + """, x AS (SELECT call_id, CASE call_id % 7 WHEN 0 THEN 'caller' WHEN 1 THEN 'agent' ELSE speaker END AS speaker, CASE WHEN call_id % 7 = 2 AND seq = 1 THEN 0.05e0 ELSE dur_s END AS dur_s, CASE WHEN call_id % 7 = 3 AND seq = 1 THEN '  ' ELSE text END AS text FROM mv),
+v AS (SELECT call_id, count(*) FILTER (WHERE speaker = 'caller') AS c, count(*) FILTER (WHERE speaker = 'agent') AS a, count(*) FILTER (WHERE dur_s < 0.1e0) AS s, count(*) FILTER (WHERE trim(text) = '') AS b FROM x GROUP BY 1)
 SELECT call_id, c > 0 AND a > 0 AND s = 0 AND b = 0 AS valid, CASE WHEN c = 0 THEN 'no caller turn' WHEN a = 0 THEN 'no agent turn' WHEN s > 0 THEN 'turn too short' WHEN b > 0 THEN 'blank turn' END AS reason FROM v""")
 def q_conversation_valid(spark, sf):
-    return simulate.validity(M.moves(spark, sf).where("call_id % 7 <> 0 OR speaker = 'caller'"))
+    # calls of each kind are spoilt: one side alone, a turn too short, a turn without words
+    spoilt = F.col("call_id") % 7
+    second = F.col("seq") == 1
+    moves = M.moves(spark, sf).withColumns({"speaker": F.when(spoilt == 0, "caller").when(spoilt == 1, "agent").otherwise(F.col("speaker")), "dur_s": F.when((spoilt == 2) & second, 0.05).otherwise(F.col("dur_s")), "text": F.when((spoilt == 3) & second, "  ").otherwise(F.col("text"))})
+    return simulate.validity(moves)
 
 
 @query("WITH " + M.LONG + "," + M.PAIRS + """ SELECT layer, metric, count(*) AS n, round(avg(value), 6) AS mean FROM (SELECT layer, metric, value FROM lng UNION ALL SELECT 'semantic', dimension, CAST(j AS DOUBLE) FROM pr) GROUP BY layer, metric""")
@@ -230,8 +237,36 @@ def q_semantic_union(spark, sf):
     return r6(every.groupBy("layer", "metric").agg(F.count("*").alias("n"), F.avg("value").alias("mean")), "mean")
 
 
-@query()
+STREAM = """WITH RECURSIVE
+ord AS (SELECT CAST(user_id AS VARCHAR) AS call_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n, coalesce(value, 0) > 50 AS v FROM events),
+fr AS MATERIALIZED (SELECT call_id, n * 10 + i AS k, v FROM ord, generate_series(0, 9) AS g(i)),
+st AS (
+  SELECT DISTINCT call_id, CAST(-1 AS BIGINT) AS k, CAST(-20 AS BIGINT) AS now, false AS speaking, false AS in_turn, CAST(-1 AS BIGINT) AS run, CAST(-1 AS BIGINT) AS began, CAST(-1 AS BIGINT) AS voice, CAST(0 AS BIGINT) AS queue, CAST(0 AS BIGINT) AS turns,
+    CAST(0 AS BIGINT) AS barges, CAST(-1 AS BIGINT) AS ba, CAST(-1 AS BIGINT) AS be, false AS opened, CAST(NULL AS BIGINT) AS ended, false AS stt, CAST(NULL AS BIGINT) AS yielded, false AS spoke, false AS cut, false AS hushed FROM fr
+  UNION ALL
+  SELECT call_id, k, now, speaking2, in3, CASE WHEN cut2 THEN now ELSE run1 END, began3, voice1, greatest(q2 - 1, 0), turns1 + CASE WHEN cut2 THEN 1 ELSE 0 END, barges + CASE WHEN cut2 THEN 1 ELSE 0 END,
+    CASE WHEN cut2 THEN now ELSE ba1 END, CASE WHEN cut2 THEN now + 1000 ELSE be END, opened2, CASE WHEN quit THEN voice WHEN left2 THEN voice1 END, quit AND voice - began + 20 >= 200 OR left2 AND voice1 - began2 + 20 >= 200,
+    CASE WHEN yields THEN voice1 END, reply OR cut2, cut2, q2 = 1
+  FROM (SELECT *, CASE WHEN cut2 THEN 50 ELSE q1 END AS q2 FROM (
+   SELECT *, v AND ba1 < 0 AND q1 = 0 AND barges < 1 AND now - run1 >= 1000 AND turns1 < 8 AS cut2 FROM (
+    SELECT *, in2 AND NOT left2 AS in3, CASE WHEN left2 THEN -1 ELSE began2 END AS began3, CASE WHEN yields OR ba >= 0 AND v AND now > be + 500 THEN -1 ELSE ba END AS ba1 FROM (
+     SELECT *, yields AND in2 AS left2 FROM (
+      SELECT *, ba >= 0 AND NOT v AND voice1 BETWEEN ba AND be + 500 AND now - voice1 >= 200 AS yields, in1 AND NOT quit AS in2, CASE WHEN quit THEN -1 ELSE began1 END AS began2, CASE WHEN reply THEN 50 ELSE queue END AS q1, turns + CASE WHEN reply THEN 1 ELSE 0 END AS turns1 FROM (
+       SELECT *, quiet AND in_turn AS quit, quiet AND queue = 0 AND ba < 0 AND turns < 8 AS reply, CASE WHEN v THEN true WHEN quiet THEN false ELSE speaking END AS speaking2 FROM (
+        SELECT st.call_id, f.k, f.k * 20 AS now, f.v, speaking, in_turn, voice, queue, turns, barges, ba, be, began, CASE WHEN f.v AND (run < 0 OR voice < 0 OR f.k * 20 - voice > 200) THEN f.k * 20 ELSE run END AS run1, f.v AND NOT in_turn AS opened2, in_turn OR f.v AS in1,
+          CASE WHEN f.v AND NOT in_turn THEN f.k * 20 ELSE began END AS began1, NOT f.v AND speaking AND f.k * 20 - voice >= 600 AS quiet, CASE WHEN f.v THEN f.k * 20 ELSE voice END AS voice1
+        FROM st JOIN fr f ON f.call_id = st.call_id AND f.k = st.k + 1)))))))),
+e AS (
+  SELECT call_id, unnest(['agent_tts_start', 'tts_first_audio']) AS kind, now AS t FROM st WHERE opened
+  UNION ALL SELECT call_id, 'agent_tts_end', ended FROM st WHERE ended IS NOT NULL UNION ALL SELECT call_id, 'stt_final', ended FROM st WHERE stt
+  UNION ALL SELECT call_id, 'agent_interrupted', yielded FROM st WHERE yielded IS NOT NULL UNION ALL SELECT call_id, 'user_speech_start', now FROM st WHERE spoke
+  UNION ALL SELECT call_id, 'barge_in_detected', now FROM st WHERE cut UNION ALL SELECT call_id, 'user_speech_end', now + 20 FROM st WHERE hushed
+  UNION ALL SELECT call_id, unnest(CASE WHEN voice - began + 20 >= 200 THEN ['agent_tts_end', 'stt_final'] ELSE ['agent_tts_end'] END), voice FROM (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY k DESC) AS back FROM st) WHERE back = 1 AND in_turn)
+SELECT call_id, kind, CAST(t AS DOUBLE) / 1000 AS t_s FROM e"""
+
+
+@query(STREAM)
 def q_stream_turns(spark, sf):
     """The call state machine over frames made from events: each event is a run of frames whose
-    loudness follows its value."""
-    return calls.batch(calls.frames_of(M.read(spark, sf, "events")))
+    loudness follows its value. Agents are transcribed, callers cut in after a second."""
+    return calls.batch(calls.frames_of(M.read(spark, sf, "events")), calls.Policy(barge=True, after_ms=1000, transcribed=True))

@@ -20,126 +20,169 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from callweave.operators.signal import mulaw_decode
 from callweave.session import ship
 
-FRAME_S = 0.02
-VOICED = 0.02
+FRAME_MS, RATE = 20, 8000
+SAMPLES = RATE * FRAME_MS // 1000
 EVENTS = "call_id string, kind string, t_s double"
 
 
 @dataclass
 class Policy:
-    """How the caller behaves, in seconds."""
+    """How a call goes: times in milliseconds, ``vad_rms`` of full scale."""
 
-    run_gap_s: float = 0.2
-    turn_end_s: float = 0.6
-    barge_after_s: float = 1.0
+    vad_rms: float = 0.02
+    gap_ms: int = 200
+    end_silence_ms: int = 600
+    barge: bool = False
+    after_ms: int = 2500
     max_barges: int = 1
-    yield_s: float = 0.2
-    deadline_s: float = 0.5
-    reply_s: float = 1.0
+    yield_ms: int = 200
+    grace_ms: int = 500
+    reply_ms: int = 1000
     max_turns: int = 8
-    barge: bool = True
+    #: Whether the agent's turns are transcribed, and the shortest that can be.
+    transcribed: bool = False
+    least_ms: int = 200
 
 
 @dataclass
 class Call:
-    """One call. ``step`` takes the next frame's loudness and gives the events that it brings."""
-
-    frame: int = 0
-    last_voice: float = -1.0
-    run_start: float = -1.0
-    turn_start: float = -1.0
-    caller_end: float = -1.0
-    barge_at: float = -1.0
-    barge_end: float = -1.0
+    """One call. ``step`` takes the next frame's loudness and gives the events that it brings.
+
+    The agent's turn opens with its first voiced frame and closes when it has been silent for
+    ``end_silence_ms``, at its last voiced frame; the caller then replies. With ``barge`` the caller
+    cuts in once the agent has spoken for ``after_ms`` without a gap over ``gap_ms``. The agent
+    yields when it falls silent for ``yield_ms`` and spoke last between the cut and ``grace_ms``
+    behind the caller's words; when it speaks beyond that, it has ignored the caller.
+    """
+
+    clock: int = 0
+    speaking: bool = False
+    in_turn: bool = False
+    run_start: int = -1
+    turn_start: int = -1
+    last_voice: int = -1
+    queue: int = 0
+    turns: int = 0
     barges: int = 0
-    replies: int = 0
+    barge_at: int = -1
+    barge_end: int = -1
+    hangup: bool = False
     done: bool = False
     waiting: dict = field(default_factory=dict)
 
-    def step(self, loud: float, p: Policy) -> list[tuple[str, float]]:
-        now = round(self.frame * FRAME_S, 6)
-        self.frame += 1
+    # what a session with sound does otherwise
+
+    def reply(self, p: Policy) -> tuple[int, int, bool]:
+        """The frames and the milliseconds of the caller's next words, and whether they are the last."""
+        return -(-p.reply_ms // FRAME_MS), p.reply_ms, False
+
+    def heard(self, start: int, end: int, p: Policy) -> bool:
+        """Whether the agent's turn gives a transcript."""
+        return p.transcribed and end - start + FRAME_MS >= p.least_ms
+
+    def step(self, loud: float | None, p: Policy) -> list[tuple[str, float]]:
+        """The next frame; None for one that isn't the agent's, which takes its time alone."""
         out: list[tuple[str, float]] = []
-        if 0 <= self.caller_end <= now and self.barge_at < 0:
-            out.append(("user_speech_end", self.caller_end))
-            out.append(("stt_final", self.caller_end))
-            self.caller_end = -1.0
-        voiced = loud >= VOICED
+        if loud is not None:
+            self.hear(loud >= p.vad_rms, p, out)
+        self.pump(out)
+        self.clock += FRAME_MS
+        return out
+
+    def hear(self, voiced: bool, p: Policy, out: list) -> None:
+        now = self.clock
         if voiced:
-            if self.last_voice < 0 or now - self.last_voice > p.run_gap_s + 1e-9:
+            if self.run_start < 0 or self.last_voice < 0 or now - self.last_voice > p.gap_ms:
                 self.run_start = now
-            if self.turn_start < 0:
-                self.turn_start = now
-                out += [("tts_first_audio", now), ("agent_tts_start", now)]
-            self.last_voice = now
-        quiet = now - self.last_voice if self.last_voice >= 0 else 0.0
+            if not self.in_turn:
+                self.in_turn, self.turn_start = True, now
+                out += [("agent_tts_start", now / 1000), ("tts_first_audio", now / 1000)]
+            self.speaking, self.last_voice = True, now
+        elif self.speaking and now - self.last_voice >= p.end_silence_ms:
+            self.speaking = False
+            self.end_turn(self.last_voice, p, out)
+            if not self.queue and self.barge_at < 0:
+                self.speak(False, p, out)
         if self.barge_at >= 0:
-            if voiced and now > self.barge_end + p.deadline_s + 1e-9:
-                self._settle(out)  # the agent talked on
-            elif not voiced and quiet >= p.yield_s - 1e-9 and self.barge_at <= self.last_voice <= self.barge_end + p.deadline_s + 1e-9:
-                out.append(("agent_interrupted", round(self.last_voice + FRAME_S, 6)))
-                self.turn_start = -1.0
-                self._settle(out)
-        elif p.barge and voiced and self.caller_end < 0 and self.barges < p.max_barges and now - self.run_start >= p.barge_after_s - 1e-9:
+            limit = self.barge_end + p.grace_ms
+            if voiced and now > limit:
+                self.barge_at = self.barge_end = -1
+            elif not voiced and self.barge_at <= self.last_voice <= limit and now - self.last_voice >= p.yield_ms:
+                out.append(("agent_interrupted", self.last_voice / 1000))
+                self.end_turn(self.last_voice, p, out)
+                self.barge_at = self.barge_end = -1
+        if p.barge and voiced and self.barge_at < 0 and not self.queue and self.barges < p.max_barges and now - self.run_start >= p.after_ms:
+            self.speak(True, p, out)
+
+    def end_turn(self, at: int, p: Policy, out: list) -> None:
+        if self.in_turn:
+            out.append(("agent_tts_end", at / 1000))
+            if self.heard(self.turn_start, at, p):
+                out.append(("stt_final", at / 1000))
+            self.in_turn, self.turn_start = False, -1
+
+    def speak(self, barge: bool, p: Policy, out: list) -> None:
+        if self.turns >= p.max_turns:
+            return
+        self.queue, ms, last = self.reply(p)
+        self.turns += 1
+        out.append(("user_speech_start", self.clock / 1000))
+        if barge:
             self.barges += 1
-            self.barge_at, self.barge_end, self.run_start = now, now + p.reply_s, now
-            out += [("user_speech_start", now), ("barge_in_detected", now)]
-        if self.turn_start >= 0 and not voiced and quiet >= p.turn_end_s - 1e-9:
-            out.append(("agent_tts_end", round(self.last_voice + FRAME_S, 6)))
-            self.turn_start = -1.0
-            if self.barge_at >= 0:
-                self._settle(out)
-            elif self.caller_end < 0 and self.replies < p.max_turns:
-                self.replies += 1
-                self.caller_end = round(now + p.reply_s, 6)
-                out.append(("user_speech_start", now))
-        return out
-
-    def _settle(self, out: list) -> None:
-        out.append(("user_speech_end", round(self.barge_end, 6)))
-        self.barge_at = self.barge_end = -1.0
-
-    def finish(self) -> list[tuple[str, float]]:
-        """Close what is open when the call stops."""
+            self.barge_at, self.barge_end, self.run_start = self.clock, self.clock + ms, self.clock
+            out.append(("barge_in_detected", self.clock / 1000))
+        self.hangup = self.hangup or last or self.turns >= p.max_turns
+
+    def pump(self, out: list) -> None:
+        if self.queue:
+            self.queue -= 1
+            if not self.queue:
+                out.append(("user_speech_end", (self.clock + FRAME_MS) / 1000))
+
+    def finish(self, p: Policy) -> list[tuple[str, float]]:
+        """Close the agent's turn when the call stops within it."""
         out: list[tuple[str, float]] = []
-        if self.turn_start >= 0:
-            out.append(("agent_tts_end", round(self.last_voice + FRAME_S, 6)))
-        if self.barge_at >= 0:
-            self._settle(out)
-        if self.caller_end >= 0:
-            out.append(("user_speech_end", self.caller_end))
-        self.done, self.turn_start, self.caller_end = True, -1.0, -1.0
+        self.end_turn(self.last_voice, p, out)
+        self.done = True
         return out
 
     def take(self, seqs: list[int], louds: list[float], stops: list[bool], p: Policy) -> list[tuple[str, float]]:
         """Frames in any order; those before them must have come. A stop holds for its own ``seq``."""
-        self.waiting.update({str(s): -1.0 if e else v for s, v, e in zip(seqs, louds, stops, strict=True) if s >= self.frame})
+        at = self.clock // FRAME_MS
+        self.waiting.update({str(s): [None if v is None or v != v else v, bool(e)] for s, v, e in zip(seqs, louds, stops, strict=True) if s >= at})
         out: list[tuple[str, float]] = []
-        while not self.done and (v := self.waiting.pop(str(self.frame), None)) is not None:
-            out += self.finish() if v < 0 else self.step(v, p)
+        while not self.done and (frame := self.waiting.pop(str(self.clock // FRAME_MS), None)) is not None:
+            out += self.finish(p) if frame[1] else self.step(frame[0], p)
         if self.done:
             self.waiting.clear()
         return out
 
 
+def level(pcm: np.ndarray) -> float:
+    """Root mean square of 16-bit samples, full scale being 1."""
+    return float(np.sqrt(np.mean((pcm / 32768.0) ** 2))) if len(pcm) else 0.0
+
+
 def loudness(payload: pd.Series) -> pd.Series:
     """Root mean square of frames in mu-law, full scale being 1."""
-    return payload.map(lambda b: float(np.sqrt(np.mean((mulaw_decode(np.frombuffer(b, np.uint8)) / 32768.0) ** 2))) if b else 0.0)
+    return payload.map(lambda b: level(mulaw_decode(np.frombuffer(b, np.uint8))) if b else 0.0)
 
 
 def parse(messages: DataFrame, col: str = "value") -> DataFrame:
-    """``call_id``, ``seq``, ``track``, ``payload`` and ``stop`` of media-stream messages in JSON; the
-    track is inbound unless said, other events than media and stop go."""
-    m = messages.select(F.from_json(F.col(col).cast("string"), "event string, streamSid string, sequenceNumber string, media struct<track:string,payload:string>").alias("m"))
-    rows = m.where("m.event IN ('media', 'stop')")
-    return rows.select(F.col("m.streamSid").alias("call_id"), F.col("m.sequenceNumber").cast("long").alias("seq"), F.coalesce("m.media.track", F.lit("inbound")).alias("track"), F.unbase64("m.media.payload").alias("payload"), (F.col("m.event") == "stop").alias("stop"))
+    """``call_id``, ``event``, ``seq``, ``track``, ``payload`` and ``stop`` of media-stream messages in
+    JSON. The track is inbound unless said; a start names its stream inside; other events than start,
+    media and stop, and what cannot be read, go."""
+    m = messages.select(F.from_json(F.col(col).cast("string"), "event string, streamSid string, sequenceNumber string, start struct<streamSid:string>, media struct<track:string,payload:string>").alias("m"))
+    rows = m.where("m.event IN ('start', 'media', 'stop')")
+    return rows.select(F.coalesce("m.streamSid", "m.start.streamSid").alias("call_id"), F.col("m.event").alias("event"), F.col("m.sequenceNumber").cast("long").alias("seq"), F.coalesce("m.media.track", F.lit("inbound")).alias("track"), F.unbase64("m.media.payload").alias("payload"), (F.col("m.event") == "stop").alias("stop"))
 
 
 def measured(frames: DataFrame) -> DataFrame:
-    """Frames with their loudness, the only thing that the state machine needs of the audio."""
+    """Frames with their loudness, the only thing that the state machine needs of the audio. It is null
+    for frames of other tracks, which take their time; a start takes none."""
     ship(frames.sparkSession)
-    level = F.pandas_udf(loudness, "double")
-    return frames.where("track = 'inbound'").select("call_id", "seq", level("payload").alias("loud"), "stop")
+    rms = F.pandas_udf(loudness, "double")
+    return frames.where("event <> 'start'").select("call_id", "seq", F.when(F.col("track") == "inbound", rms("payload")).alias("loud"), "stop")
 
 
 def batch(frames: DataFrame, policy: Policy | None = None) -> DataFrame:
@@ -152,7 +195,7 @@ def batch(frames: DataFrame, policy: Policy | None = None) -> DataFrame:
         pdf = pdf.sort_values("seq")
         got = call.take(range(len(pdf)), pdf.loud.tolist(), pdf.stop.tolist(), p)
         if not call.done:
-            got += call.finish()
+            got += call.finish(p)
         got.sort(key=lambda e: e[1])
         return pd.DataFrame({"call_id": pdf.call_id.iloc[0], "kind": [k for k, _ in got], "t_s": [t for _, t in got]}, columns=["call_id", "kind", "t_s"])
 
