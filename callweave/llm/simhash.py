@@ -27,7 +27,7 @@ BITS = SEGMENTS * SEGMENT_BITS
 MAX_BITS = 40
 #: The decoded segment and, for its key, the segment that gives raw bits, by distance around the ring.
 STEPS = (1, 4)
-RAW_BITS = 14
+RAW_BITS = 16
 #: Texts of a key that one task compares, about. A key that has far more in a sample of one in
 #: ``THIN`` is cut into parts, and all pairs of parts are compared.
 PART, THIN = 2048, 64
