@@ -16,10 +16,10 @@ def first_by_path(clips: DataFrame) -> DataFrame:
     return clips.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
 
 
-def flag_duration(clips: DataFrame) -> DataFrame:
+def flag_duration(clips: DataFrame, short_s: float = SHORT_S, long_s: float = LONG_S) -> DataFrame:
     """A warning for clips out of the usual lengths; none is dropped."""
     d = F.col("duration_s")
-    return clips.withColumn("duration_flag", F.when(d < SHORT_S, "too_short").when(d > LONG_S, "too_long").otherwise("ok"))
+    return clips.withColumn("duration_flag", F.when(d < short_s, "too_short").when(d > long_s, "too_long").otherwise("ok"))
 
 
 def work(clips: DataFrame, scorers: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ def flatten(results: DataFrame) -> DataFrame:
 def enrich(results: DataFrame, clips: DataFrame) -> DataFrame:
     """Results with their clip's metadata; of several clips with one id the first by path counts."""
     first = Window.partitionBy("clip_id").orderBy("source_path")
-    one = clips.withColumn("__n", F.row_number().over(first)).where("__n = 1").select("clip_id", *[v for v in VERSIONS if v in clips.columns])
+    one = clips.withColumn("__n", F.row_number().over(first)).where("__n = 1").select("clip_id", *[v for v in (*VERSIONS, "scenario") if v in clips.columns])
     return results.join(one, "clip_id", "left")
 
 

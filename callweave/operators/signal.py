@@ -82,18 +82,39 @@ def mulaw_decode(b: np.ndarray) -> np.ndarray:
     return MULAW[b]
 
 
-def bed(lane: np.ndarray, rate: int, seconds: float, gain_db: float) -> np.ndarray | None:
-    """Background babble at 8 kHz: the lane looped with pauses of 0.4 s, and again 1.5 s later at 0.8
-    with pauses of 0.7 s, at peak level and then at the gain. None without sound."""
-    if not len(lane) or not np.abs(lane).max():
+def bed(parts: list, rate: int = 16000, seconds: float = 30.0, gain_db: float = -15.0) -> np.ndarray | None:
+    """Background babble of 5 s or more at 8 kHz: the parts in turn with pauses of 0.4 s, and from 1.5 s
+    again, from the second on, at 0.8 with pauses of 0.7 s; brought to peak level and then to the
+    gain. None without parts."""
+    parts = [np.asarray(p, np.float32) for p in parts if p is not None and len(p)]
+    if not parts:
         return None
-    n = int(seconds * rate)
-
-    def repeat(pause: float, shift: float) -> np.ndarray:
-        one = np.concatenate([lane, np.zeros(int(pause * rate), lane.dtype)])
-        return np.roll(np.resize(one, n), int(shift * rate))
-
-    x = repeat(0.4, 0.0) + 0.8 * repeat(0.7, 1.5)
-    peak = np.abs(x).max()
-    x = x / peak * 10 ** (gain_db / 20) if peak else x
-    return (np.clip(resample(x, rate, 8000), -1, 1) * 32767).astype(np.int16)
+    x = np.zeros(int(max(5.0, seconds) * rate), np.float32)
+    for k, begin, loud, pause in ((0, 0.0, 1.0, 0.4), (1, 1.5, 0.8, 0.7)):
+        at = int(begin * rate)
+        while at < len(x):
+            p = parts[k % len(parts)][: len(x) - at]
+            x[at : at + len(p)] += np.float32(loud) * p
+            at, k = at + len(p) + int(pause * rate), k + 1
+    peak = float(np.abs(x).max()) or 1.0
+    return (np.clip(resample(x / peak * 10 ** (gain_db / 20), rate, 8000), -1, 1) * 32767).astype(np.int16)
+
+
+def tone(seconds: float, pitch: float = 150.0, seed: int = 0, rate: int = 16000) -> np.ndarray:
+    """A hum of three harmonics that swells three times a second, its pitch shifted a little by the
+    seed: speech for the measures of this package, for calls without a voice."""
+    t = np.arange(int(rate * max(0.2, seconds))) / rate
+    f = pitch * (1 + 0.02 * np.random.default_rng(seed).standard_normal())
+    hum = sum(np.sin(2 * np.pi * f * k * t) / k for k in (1, 2, 3))
+    return (0.12 * hum * (0.5 + 0.5 * np.sin(6 * np.pi * t))).astype(np.float32)
+
+
+#: Samples of a frame of voice activity.
+HOP = 256
+
+
+def voiced(x: np.ndarray, rate: int = 16000, threshold: float = 0.5) -> np.ndarray:
+    """Whether each whole frame of ``HOP`` samples has energy: a root mean square of a fiftieth of the
+    threshold. Stands where a model of voice activity would be plugged in."""
+    frames = np.asarray(x[: len(x) // HOP * HOP], np.float64).reshape(-1, HOP)
+    return np.sqrt((frames * frames).mean(1)) >= 0.02 * threshold

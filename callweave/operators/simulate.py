@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,26 +47,27 @@ def suite(scenarios: DataFrame, k: int) -> DataFrame:
     return scenarios.crossJoin(F.broadcast(runs)).withColumn("call_id", F.format_string("%s-%02d", F.col("scenario_id"), F.col("run")))
 
 
-def script(calls: DataFrame, turns: int = 3) -> DataFrame:
-    """Deterministic moves of a scripted caller and agent: a greeting, then ``turns`` exchanges. The
-    caller hangs up on its last turn, which the agent leaves unanswered. ``calls(call_id, latency_s)``."""
-    n = 2 * turns
-    seq = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("seq")
-    rows = calls.select("call_id", F.coalesce("latency_s", F.lit(0.8)).alias("latency_s"), seq)
-    caller = F.col("seq") % 2 == 1
-    text = F.when(caller, F.format_string("caller line %d", F.col("seq"))).otherwise(F.format_string("agent line %d", F.col("seq")))
-    return rows.select("call_id", "seq", F.when(caller, "caller").otherwise("agent").alias("speaker"), text.alias("text"), (F.lit(1.0) + F.col("seq") % 3 * 0.5).alias("dur_s"), F.when(caller, 0.0).otherwise(F.col("latency_s")).alias("latency_s"), (F.col("seq") == n - 1).alias("hangup"))
+def tags(scenarios: DataFrame) -> DataFrame:
+    """Scenarios with ``tags_json``, what recordings keep of them."""
+    keep = ("scenario_id", "source_call_id", "persona", "adversarial", "background", "tags")
+    return scenarios.withColumn("tags_json", F.to_json(F.struct(*keep), {"ignoreNullFields": "false"}))
 
 
-def tags(scenarios: DataFrame) -> DataFrame:
-    keep = [c for c in ("scenario_id", "persona", "goal", "difficulty") if c in scenarios.columns]
-    return scenarios.withColumn("tags", F.to_json(F.struct(*keep)))
+SCENARIO = "scenario_id string, source_call_id string, domain string, persona string, adversarial boolean, background boolean, goal string, opening string, max_turns int, tags array<string>, body string"
 
 
 def scenario_table(spark: SparkSession, document: list | dict) -> DataFrame:
-    """Scenarios from a parsed manifest: a list, or a mapping with ``scenarios``."""
+    """Scenarios from a parsed manifest: a list, or a mapping with ``scenarios``. ``body`` has all of
+    each as JSON."""
     rows = document.get("scenarios", []) if isinstance(document, dict) else document
     if not isinstance(rows, list):
         raise ValueError("a scenario manifest is a list or a mapping with scenarios")
-    flat = [(str(r["id"]), str(r.get("persona", "")), str(r.get("goal", "")), str(r.get("difficulty", ""))) for r in rows]
-    return spark.createDataFrame(flat, "scenario_id string, persona string, goal string, difficulty string")
+
+    def flat(r: dict) -> tuple:
+        persona, noise = r.get("persona") or {}, r.get("background") or {}
+        who = persona if isinstance(persona, dict) else {"name": persona}
+        noisy = noise.get("enabled", False) if isinstance(noise, dict) else noise
+        text = lambda k: None if r.get(k) is None else str(r[k])
+        return str(r["id"]), text("source_call_id"), text("domain"), str(who.get("name", "caller")), bool(who.get("adversarial", False)), bool(noisy), str(r.get("goal") or ""), text("opening"), int(r.get("max_turns") or 8), [str(t) for t in r.get("tags") or []], json.dumps(r | {"id": str(r["id"])})
+
+    return spark.createDataFrame([flat(r) for r in rows], SCENARIO)

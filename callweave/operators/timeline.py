@@ -83,9 +83,10 @@ def duration() -> Column:
 
 def source_of(clips: DataFrame) -> DataFrame:
     """Where a clip's timeline comes from: its events, its two isolated channels, or its mono track,
-    which is estimated."""
-    src = F.when(F.col("has_events"), "events").when(F.col("agent_only_path").isNotNull() & F.col("caller_only_path").isNotNull(), "channels").otherwise("diarization")
-    return clips.withColumn("timeline_source", src).withColumn("estimated", src == "diarization")
+    which is estimated. ``clips`` has ``has_events``, and ``agent`` and ``caller`` samples."""
+    both = (F.size("agent") > 0) & (F.size("caller") > 0)
+    src = F.when(F.col("has_events"), "events").when(F.coalesce(both, F.lit(False)), "channels").otherwise("diarization")
+    return clips.withColumn("source", src).withColumn("estimated", src == "diarization")
 
 
 def mono_speech(regions: DataFrame) -> DataFrame:

@@ -150,7 +150,9 @@ def _replies(spark, sf):
     i = F.col("doc_id")
     score = lambda k: (F.pmod(i * (k + 3), F.lit(7)) + 1).cast("int")
     dims = [F.struct(F.lit("because").alias("reasoning"), score(k).alias("score")).alias(d) for k, d in enumerate(judge.DIMENSIONS)]
-    obj = F.to_json(F.struct(*dims, (1 + i % 5).cast("int").alias("overall"), (F.col("toxic") == 1).alias("unscoreable"), F.when(i % 2 == 0, "noise").alias("unscoreable_reason")))
+    # unscoreable replies whose id divides by eight leave out the scores
+    given = [F.when(~((F.col("toxic") == 1) & (i % 8 == 0)), d).alias(n) for n, d in zip(judge.DIMENSIONS, dims, strict=True)]
+    obj = F.to_json(F.struct(*given, (1 + i % 5).cast("int").alias("overall"), (F.col("toxic") == 1).alias("unscoreable"), F.when(i % 2 == 0, "noise").alias("unscoreable_reason")))
     text = F.when(i % 4 == 0, F.concat(F.lit("Here:\n```json\n"), obj, F.lit("\n```\nbye"))).when(i % 4 == 1, F.concat(F.lit("Sure. "), obj, F.lit(" Done."))).when(i % 4 == 2, obj).otherwise(F.when(i % 3 == 0, "no object").otherwise(obj))
     return M.read(spark, sf, "labels").select("doc_id", text.alias("text"))
 
@@ -166,14 +168,14 @@ def q_judge_extract(spark, sf):
     return _replies(spark, sf).select("doc_id", (F.coalesce(obj.startswith("{") & obj.endswith("}"), F.lit(False)) & F.get_json_object(obj, "$.overall").isNotNull()).alias("found"))
 
 
-@query(f"SELECT doc_id, overall AS judge_overall, naturalness AS judge_naturalness FROM (SELECT doc_id, toxic, 1e0 + doc_id % 5 AS overall, CAST({SCORES['naturalness']} AS DOUBLE) AS naturalness FROM labels WHERE NOT {LOST} AND {FINE}) WHERE toxic <> 1")
+@query("SELECT doc_id, 1e0 + doc_id % 5 AS judge_overall, " + ", ".join(f"CAST({s} AS DOUBLE) AS judge_{d}" for d, s in SCORES.items()) + f" FROM labels WHERE NOT {LOST} AND {FINE} AND toxic <> 1")
 def q_judge_validate(spark, sf):
     out = judge.parse(_replies(spark, sf)).where("error IS NULL")
-    return out.select("doc_id", F.col("metrics")["judge_overall"].alias("judge_overall"), F.col("metrics")["judge_naturalness"].alias("judge_naturalness"))
+    return out.select("doc_id", *[F.col("metrics")[f"judge_{d}"].alias(f"judge_{d}") for d in ("overall", *judge.DIMENSIONS)])
 
 
-@query(f"""SELECT doc_id, CASE WHEN toxic = 1 AND NOT {LOST} THEN CASE WHEN doc_id % 2 = 0 THEN 'noise' ELSE 'unscoreable audio' END ELSE 'judge_parse_failure: no valid reply' END AS error
-FROM labels WHERE toxic = 1 AND NOT {LOST} OR {LOST} OR NOT ({FINE})""")
+@query(f"""SELECT doc_id, CASE WHEN toxic = 1 AND NOT {LOST} AND (doc_id % 8 = 0 OR {FINE}) THEN CASE WHEN doc_id % 2 = 0 THEN 'noise' ELSE 'the judge marked the clip unscoreable' END ELSE 'judge_parse_failure: no valid reply' END AS error
+FROM labels WHERE toxic = 1 OR {LOST} OR NOT ({FINE})""")
 def q_judge_salvage(spark, sf):
     return judge.parse(_replies(spark, sf)).where("error IS NOT NULL").select("doc_id", "error")
 

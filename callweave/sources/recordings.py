@@ -74,6 +74,20 @@ def identity(mono: np.ndarray, call_id: str | None = None) -> str:
     return hashlib.blake2b(pcm + salt, digest_size=20).hexdigest()
 
 
+def at_peak(x: np.ndarray, dbfs: float | None) -> np.ndarray:
+    """Samples scaled so that their peak is at ``dbfs``; silence stays, and so does all without one."""
+    peak = float(np.abs(x).max()) if len(x) else 0.0
+    return x if dbfs is None or peak <= 1e-9 else np.clip(x * (10 ** (dbfs / 20) / peak), -1, 1).astype(np.float32)
+
+
+def source_key(recordings: DataFrame, rate: int, salted: bool, level_dbfs: float | None) -> DataFrame:
+    """The recordings with ``source_key``: what decides how one is decoded, which is its content, the
+    settings, and of its metadata the channel map and, where it counts, the call's id."""
+    m = F.col("metadata")
+    said = F.to_json(F.struct(F.lit(rate).alias("rate"), F.lit(level_dbfs).cast("double").alias("level"), m["channel_map"].alias("map"), (m["call_id"] if salted else F.lit(None).cast("string")).alias("call")))
+    return recordings.withColumn("source_key", F.sha2(F.concat(F.sha2("content", 256), said), 256))
+
+
 def decode(recordings: DataFrame, rate: int = 16000, salted: bool = False, level_dbfs: float | None = None) -> DataFrame:
     """Each recording decoded once: mono, and the isolated channels where the metadata's map names
     ones that exist and there are two or more. What cannot be decoded gives ``error`` and no samples.
@@ -89,11 +103,9 @@ def decode(recordings: DataFrame, rate: int = 16000, salted: bool = False, level
             x, native = read_wav(content)
             f = x.astype(np.float32) / 32768
             n = f.shape[1]
-            mono = resample(f.mean(1), native, rate)
-            peak = np.abs(mono).max() if len(mono) else 0
-            if level_dbfs is not None and peak > 1e-4:
-                mono = np.clip(mono * (10 ** (level_dbfs / 20) / peak), -1, 1).astype(np.float32)
-            side = [resample(f[:, int(k)], native, rate) if n >= 2 and k is not None and k == k and 0 <= k < n else None for k in (a, c)]
+            # each track is brought to the level by its own peak, and the mix before it is named
+            mono = at_peak(resample(f.mean(1), native, rate), level_dbfs)
+            side = [at_peak(resample(f[:, int(k)], native, rate), level_dbfs) if n >= 2 and k is not None and k == k and 0 <= k < n else None for k in (a, c)]
             return path, identity(mono, call if salted else None), sha, rate, len(x) / native, n, mono, *side, None
         except Exception as e:  # a bad file is a row with an error
             return path, None, sha, None, None, None, None, None, None, f"{type(e).__name__}: {e}"

@@ -40,6 +40,28 @@ def export_csv(df: DataFrame, path: str) -> None:
     df.select(*flat).write.mode("overwrite").option("header", True).csv(path)
 
 
+def append(df: DataFrame, root: str, table: str) -> None:
+    df.write.mode("append").parquet(os.path.join(root, table))
+
+
+def whole(spark: SparkSession, root: str, table: str) -> DataFrame | None:
+    """A table that isn't by run; None where it is not there."""
+    try:
+        return spark.read.parquet(os.path.join(root, table))
+    except AnalysisException:
+        return None
+
+
+def export_results(df: DataFrame, path: str) -> str:
+    """A long table as Parquet, or as CSV where that can't be written; the path that was."""
+    try:
+        df.write.mode("overwrite").parquet(path)
+        return path
+    except Exception:  # any writer's failure
+        export_csv(df, f"{path}.csv")
+        return f"{path}.csv"
+
+
 def cache_put(results: DataFrame, root: str) -> None:
     """Append successes; the commit of the write makes it atomic."""
     results.where("error IS NULL").withColumn("cached", F.lit(False)).write.mode("append").parquet(os.path.join(root, "cache"))
