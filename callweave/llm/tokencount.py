@@ -157,21 +157,24 @@ def build(texts: list[str], c: Codec) -> list[Tree]:
     return [Tree(t, s, k) for t, (s, k) in zip(texts, split_counts(c, texts), strict=True)]
 
 
-STATE = "text string, sizes array<int>, counts array<int>, tokens int"
+STATE = "text string, sizes binary, counts binary, tokens int"
 
 
-def arrays(parts: list, nulls: np.ndarray) -> pa.ListArray:
-    """A list column from numpy parts, null where told."""
-    n = np.array([len(p) for p in parts], np.int64)
-    flat = np.concatenate([*parts, np.zeros(0, np.int64)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat), mask=pa.array(nulls))
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers in a byte each, or in four where one needs more; the first byte tells which."""
+    width = "<u1" if not len(numbers) or numbers.max() < 256 else "<u4"
+    return width[2].encode() + numbers.astype(width).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{chr(data[0])}", offset=1).astype(np.int64)
 
 
 def state(docs: DataFrame, vocab: str = VOCAB, id_col: str = "doc_id", text_col: str = "text", edits_col: str | None = None) -> DataFrame:
-    """The id, ``text``, ``sizes`` and ``counts`` (of its pre-tokens: characters and tokens) and
-    ``tokens`` of each row, and its ``edits`` where a column has them; to be written once and kept.
+    """The id, ``text``, ``sizes`` and ``counts`` (of its pre-tokens: characters and tokens, ``packed``)
+    and ``tokens`` of each row, and its ``edits`` where a column has them; to be written once and kept.
 
-    A null text has nulls, an empty one empty lists and 0. Texts of any length are encoded whole,
+    A null text has nulls, an empty one no pre-tokens and 0. Texts of any length are encoded whole,
     other columns are not read, repeated rows give repeated results, and an empty table gives an
     empty one.
     """
@@ -186,15 +189,16 @@ def state(docs: DataFrame, vocab: str = VOCAB, id_col: str = "doc_id", text_col:
             nulls = np.array([t is None for t in every[a:b]])
             parts = split_counts(c, [t or "" for t in every[a:b]])
             total = np.array([k.sum() for _, k in parts], np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), arrays([s for s, _ in parts], nulls), arrays([k for _, k in parts], nulls), pa.array(total, mask=nulls), *(batch.column(2).slice(a, b - a) for _ in more)], names=[id_col, "text", "sizes", "counts", "tokens", *("edits" for _ in more)])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *(pa.array([None if x else packed(p[k]) for x, p in zip(nulls, parts, strict=True)], pa.binary()) for k in (0, 1)), pa.array(total, mask=nulls), *(batch.column(2).slice(a, b - a) for _ in more)], names=[id_col, "text", "sizes", "counts", "tokens", *("edits" for _ in more)])
 
     kind = lambda c: docs.schema[c].dataType.simpleString()
     return map_arrow(only(docs, id_col, text_col, *more), run, ", ".join([f"`{id_col}` {kind(id_col)}, {STATE}", *(f"edits {kind(c)}" for c in more)]))
 
 
-def apply_edits(kept: DataFrame, vocab: str = VOCAB, id_col: str = "doc_id", edits_col: str = "edits") -> DataFrame:
+def apply_edits(kept: DataFrame, vocab: str = VOCAB, id_col: str = "doc_id", edits_col: str = "edits", whole: bool = True) -> DataFrame:
     """Rows of a ``state`` table brought up to date with their edits: its columns, and
     ``tokens_before``, ``pretokens`` (before) and ``reencoded``, the pre-tokens that were encoded.
+    Unless ``whole`` the id and the numbers alone.
 
     ``edits_col`` holds an array of structs ``start``, ``end``, ``text``: each replaces characters
     of the text as the edits before it left it. Places beyond a text count as its end, a null text
@@ -206,20 +210,21 @@ def apply_edits(kept: DataFrame, vocab: str = VOCAB, id_col: str = "doc_id", edi
     with open(vocab, "rb") as f:
         shared = kept.sparkSession.sparkContext.broadcast(f.read())
 
+    names = ["text", "sizes", "counts", "tokens", "tokens_before", "pretokens", "reencoded"]
+    names = names if whole else names[3:]
+
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         c = codec(shared.value)
         ids, texts, sizes, counts, edits = batch.columns
-        flat = [(x.flatten().to_numpy(), np.concatenate([[0], np.cumsum(x.value_lengths().fill_null(0).to_numpy())])) for x in (sizes, counts)]
-        (size, at), (count, _) = flat
         rows: list = []
 
         def done() -> pa.RecordBatch:
             last = start + len(rows)
             nulls = np.array([r is None for r in rows])
-            trees = [r or (None, np.zeros(0, int), np.zeros(0, int), 0, 0, 0, 0) for r in rows]
+            trees = [r or (None, None, None, 0, 0, 0, 0) for r in rows]
             numbers = [pa.array(np.array([t[k] for t in trees], np.int32), mask=nulls) for k in (3, 4, 5, 6)]
-            cols = [ids.slice(start, last - start), pa.array([t[0] for t in trees], pa.string()), arrays([t[1] for t in trees], nulls), arrays([t[2] for t in trees], nulls), *numbers]
-            return pa.RecordBatch.from_arrays(cols, names=[id_col, "text", "sizes", "counts", "tokens", "tokens_before", "pretokens", "reencoded"])
+            body = [pa.array([t[k] for t in trees], kind) for k, kind in ((0, pa.string()), (1, pa.binary()), (2, pa.binary()))] if whole else []
+            return pa.RecordBatch.from_arrays([ids.slice(start, last - start), *body, *numbers], names=[id_col, *names])
 
         start = held = 0
         for i in range(batch.num_rows):
@@ -227,24 +232,25 @@ def apply_edits(kept: DataFrame, vocab: str = VOCAB, id_col: str = "doc_id", edi
             if text is None:
                 rows.append(None)
             else:
-                s, k = size[at[i] : at[i + 1]].astype(np.int64), count[at[i] : at[i + 1]].astype(np.int64)
+                s, k = unpacked(sizes[i].as_py()), unpacked(counts[i].as_py())
                 before = int(k.sum())
                 some = [e for e in edits[i].as_py() or [] if e is not None]
                 if some:
                     tree = Tree(text, s, k)
                     for e in some:
                         tree.edit(c, e["start"] or 0, e["end"] or 0, e["text"] or "")
-                    rows.append((tree.text, tree.sizes, tree.counts, tree.total, before, len(s), tree.encoded))
+                    body = (tree.text, packed(tree.sizes), packed(tree.counts)) if whole else (None,) * 3
+                    rows.append((*body, tree.total, before, len(s), tree.encoded))
                 else:
-                    rows.append((text, s, k, before, before, len(s), 0))
-                held += len(text)
+                    rows.append((*((text, packed(s), packed(k)) if whole else (None,) * 3), before, before, len(s), 0))
+                held += len(text) if whole else 0
             if held > SLICE_CHARS:
                 yield done()
                 start, held, rows = start + len(rows), 0, []
         if rows:
             yield done()
 
-    schema = f"`{id_col}` {kept.schema[id_col].dataType.simpleString()}, {STATE}, tokens_before int, pretokens int, reencoded int"
+    schema = f"`{id_col}` {kept.schema[id_col].dataType.simpleString()}, {STATE if whole else 'tokens int'}, tokens_before int, pretokens int, reencoded int"
     return map_arrow(only(kept, id_col, "text", "sizes", "counts", edits_col), run, schema)
 
 
@@ -269,7 +275,7 @@ def recount(docs: DataFrame, edits_col: str = "edits", vocab: str = VOCAB, id_co
     table. Nulls, empty and long texts, repeated rows and empty tables as in ``apply_edits``.
     """
     kept = written(state(docs, vocab, id_col, text_col, edits_col), "state")
-    out = apply_edits(kept, vocab, id_col)
+    out = apply_edits(kept, vocab, id_col, whole=False)
     return out.select(id_col, "tokens_before", F.col("tokens").alias("tokens_after"), "pretokens", "reencoded")
 
 

@@ -675,13 +675,18 @@ def test_kept_state_follows_rounds_of_edits(spark, codec, tmp_path):
             for s, e, t in edits[k]:
                 n = len(texts[k])
                 texts[k] = texts[k][: min(s, n)] + t + texts[k][max(min(e, n), min(s, n)) :]
-            assert r.text == texts[k] and r.tokens == len(codec.encode(texts[k])) == sum(r.counts) and r.tokens_before == before
-            assert sum(r.sizes) == len(texts[k])
+            assert r.text == texts[k] and r.tokens == len(codec.encode(texts[k])) == tokencount.unpacked(r.counts).sum() and r.tokens_before == before
+            assert tokencount.unpacked(r.sizes).sum() == len(texts[k])
         kept.join(new.select("doc_id"), "doc_id", "left_anti").unionByName(new.select(*kept.columns)).write.parquet(f"{tmp_path}/{turn + 1}")
         kept = spark.read.parquet(f"{tmp_path}/{turn + 1}")
     assert tokencount.apply_edits(kept.limit(0).withColumn("edits", F.lit(None).cast("array<struct<start:int,end:int,text:string>>"))).count() == 0
 
 
+def test_packed_numbers():
+    for x in ([], [0, 1, 255], [3, 256], [70_000, 2]):
+        assert tokencount.unpacked(tokencount.packed(np.array(x, np.int64))).tolist() == x
+
+
 @needs_vocab
 def test_recount_odd_rows(spark):
     docs = tokencount.with_edits(odd(spark).withColumn("edits", F.lit(1)).withColumn("tokens_before", F.lit("clash")))
