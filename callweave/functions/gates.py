@@ -61,8 +61,8 @@ def scorer_hash(name: str, version: str, config: dict) -> str:
 
 
 def rubric_version(rubric: Column) -> Column:
-    """What follows the first colon of the first line."""
-    line = F.substring_index(rubric, "\n", 1)
+    """What follows the first colon of the first line that isn't blank."""
+    line = F.substring_index(F.regexp_replace(rubric, r"^\s+", ""), "\n", 1)
     return F.when(line.contains(":"), F.trim(F.regexp_extract(line, r"^[^:]*:(.*)$", 1))).otherwise("unknown")
 
 

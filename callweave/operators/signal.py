@@ -59,6 +59,17 @@ def resample(x: np.ndarray, rate: int, to: int) -> np.ndarray:
     return np.interp(np.arange(n) * (len(x) / n), np.arange(len(x)), x).astype(np.float32)
 
 
+def resampled(x: Column, rate: int, to: int) -> Column:
+    """``resample`` of a column of samples."""
+    return F.pandas_udf(lambda s: s.map(lambda v: None if v is None else resample(np.asarray(v), rate, to)), "array<float>")(x)
+
+
+def frame_levels(pcm: Column) -> Column:
+    """Root mean square of 16-bit samples after they went through mu-law, full scale being 1."""
+    level = lambda v: float(np.sqrt(np.mean((mulaw_decode(mulaw_encode(np.asarray(v, np.int32))) / 32768.0) ** 2))) if v is not None and len(v) else 0.0
+    return F.pandas_udf(lambda s: s.map(level), "double")(pcm)
+
+
 def mulaw_encode(x: np.ndarray) -> np.ndarray:
     """G.711 bytes of 16-bit samples."""
     v = np.clip(x.astype(np.int32), -32635, 32635)

@@ -159,3 +159,12 @@ def test_vad_runs_and_smoothing(spark):
     assert near(timeline.smooth(runs)) == [(0.1, 0.5), (0.9, 1.2)]
     assert near(timeline.smooth(runs, gap=0.05, least=0.15)) == [(0.1, 0.3), (0.9, 1.2)]
     assert timeline.pair_events(events(spark, [])).count() == 0 and dynamics.turn_taking(segments(spark, [])).count() == 0
+
+
+def test_false_alarms_at_the_millisecond(spark):
+    """An utterance of 0.09996 s counts as a tenth of a second; starts are found up to half a second away."""
+    ev = [("a", 0, "barge_in_detected", 1.0), ("a", 1, "user_speech_start", 1.0), ("a", 2, "user_speech_end", 1.09996), ("a", 3, "agent_interrupted", 1.2), ("b", 0, "user_speech_start", 4.5), ("b", 1, "barge_in_detected", 5.0), ("b", 2, "user_speech_end", 5.25), ("c", 0, "user_speech_start", 4.4999), ("c", 1, "barge_in_detected", 5.0)]
+    df = spark.createDataFrame(ev, "clip_id string, seq long, kind string, t_s double")
+    got = {r.clip_id: r for r in dynamics.barge_attempts(df).collect()}
+    assert got["a"].utterance_s == 0.1 and got["a"].onset_s == 1.0 and got["b"].onset_s == 4.5 and got["b"].utterance_s == 0.75 and got["c"].onset_s == 5.0 and got["c"].utterance_s is None
+    assert {r.clip_id: r.bargein_false_alarm_rate for r in dynamics.barge_metrics(dynamics.barge_attempts(df)).collect()} == {"a": 0.0, "b": 0.0, "c": 0.0}

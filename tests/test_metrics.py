@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,9 +129,9 @@ def test_baseline_choice(spark):
 
 def test_offenders_and_bins(spark):
     out = spark.createDataFrame([("a", "m", "fail"), ("a", "n", "warn"), ("b", "m", "warn"), ("c", "m", "pass")], "clip_id string, metric string, status string")
-    marks = spark.createDataFrame([("b", "x", 1), ("c", "x", 3), ("d", "x", 5)], "clip_id string, dimension string, score int")
-    assert [tuple(r) for r in report.offenders(out, marks).collect()] == [("a", 2.5), ("b", 2.5)]
-    assert [r.clip_id for r in report.findings(out, marks).collect()] == ["a", "b", "c"]
+    marks = spark.createDataFrame([("b", "x", 1), ("c", "x", 3), ("d", "x", 5), ("d", "overall", 2), ("e", "overall", 3)], "clip_id string, dimension string, score int")
+    assert [tuple(r) for r in report.offenders(out, marks).collect()] == [("a", 2.5), ("b", 2.5), ("c", 0.0)]
+    assert [(r.clip_id, r.severity) for r in report.findings(out, marks).collect()] == [("a", -1.0), ("b", 1.0), ("d", 2.0)]
     df = long(spark, [(str(i), "s", "m", float(v), None, "v") for i, v in enumerate([0, 12, 6])] + [("z", "s", "k", 5.0, None, "v")])
     assert {(r.metric, r.bin, r.n) for r in report.histogram(df).collect()} == {("m", 1, 1), ("m", 7, 1), ("m", 12, 1), ("k", 1, 1)}
 
@@ -141,3 +142,28 @@ def test_scalars(spark):
         G.rubric_version(F.lit("version: v2 \nmore: x")).alias("g"), G.rubric_version(F.lit("none\na: b")).alias("h"), G.stream_address(F.lit("https://x.io/a/")).alias("i"), G.attribute(F.lit('<a & "b">')).alias("j"),
     ).first()
     assert tuple(r) == ("bad", "good", "—", "1.24", True, False, "v2", "unknown", "wss://x.io/a", "&lt;a &amp; &quot;b&quot;&gt;")
+
+
+def test_quantiles_of_any_distribution(spark):
+    """Against numpy: a constant, two values, many ties, a heavy tail, one value, negative and huge ones."""
+    rng = np.random.default_rng(1)
+    groups = {"same": [4.0] * 9, "two": [1.0, 2.0], "ties": rng.integers(0, 5, 500).astype(float).tolist(), "tail": np.exp(9 * rng.random(700)).tolist(), "one": [-3.5], "wide": [-1e300, 0.0, 1e-300, 5.0, 1e300], "even": rng.normal(size=200).tolist()}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs], "g string, v double").repartition(5)
+    probs = [0.0, 0.25, 0.5, 0.95, 1.0]
+    for bins in (1, 7, 1024):
+        got = {r.g: r.q for r in metrics.quantiles(df, ["g"], "v", probs, bins).collect()}
+        for g, vs in groups.items():
+            assert np.allclose(got[g], np.quantile(vs, probs), rtol=1e-12, atol=0), (g, bins)
+
+
+def test_clip_status_is_the_gates_alone(spark):
+    rows = [("a", "s", 1, None, "boom", None), ("a", "t", 2, "m", None, 1.0), ("a", "u", 3, "m", None, 9.0), ("b", "s", 1, "m", None, -1.0)]
+    df = spark.createDataFrame([(c, k, n, m, e, v) for c, k, n, m, e, v in rows], "clip_id string, scorer string, seq long, metric string, error string, value double")
+    got = {r.clip_id: (r.errors, r.fails, r.status, r.metrics) for r in report.clip_detail(metrics.gated(df, metrics.gate_table(spark, {"m": {"min": 0.0}}))).collect()}
+    assert got == {"a": (1, 0, "good", {"m": 9.0}), "b": (0, 1, "bad", {"m": -1.0})}
+
+
+def test_labels_that_no_integer_holds(spark):
+    rows = [("c", "pace", v, k) for k, v in enumerate(["nan", "1e12", "-1e30", "inf", "2.5", "x", ""])]
+    got = agreement.golden(spark.createDataFrame(rows, "clip_id string, dimension string, human_score string, row_no long"), ["pace"]).collect()
+    assert [r.human for r in got] == [2]
