@@ -21,17 +21,12 @@ def medians(long: DataFrame) -> DataFrame:
     return quantiles(rows, keys, "value", [0.5]).select(*keys, F.col("q")[0].alias("median")).join(clips, keys)
 
 
-def _sides(mid: DataFrame, candidate: str, baseline: str) -> tuple[DataFrame, DataFrame]:
-    c = mid.where(F.col("version") == candidate).select("scenario", "metric", F.col("median").alias("candidate"))
-    b = mid.where(F.col("version") == baseline).select("scenario", "metric", F.col("median").alias("baseline"))
-    return c, b
-
-
 def deltas(mid: DataFrame, candidate: str, baseline: str, gates: DataFrame, max_delta: DataFrame, eps: float = EPS) -> DataFrame:
     """``improvement`` and ``verdict`` of every scenario and metric that both versions have; a metric
     with both bounds never changes."""
-    c, b = _sides(mid, candidate, baseline)
-    both = c.join(b, ["scenario", "metric"]).join(F.broadcast(gates.select("metric", "min", "max")), "metric", "left").join(F.broadcast(max_delta), "metric", "left")
+    of = lambda v, n: F.max(F.when(F.col("version") == v, F.col("median"))).alias(n)
+    both = mid.groupBy("scenario", "metric").agg(of(candidate, "candidate"), of(baseline, "baseline")).where("candidate IS NOT NULL AND baseline IS NOT NULL")
+    both = both.join(F.broadcast(gates.select("metric", "min", "max")), "metric", "left").join(F.broadcast(max_delta), "metric", "left")
     change = F.col("candidate") - F.col("baseline")
     better = F.when(G.lower_is_better(F.col("metric"), F.col("min"), F.col("max")), -change).otherwise(change)
     t = F.coalesce("delta", F.lit(eps))
@@ -46,13 +41,12 @@ def ordered(delta: DataFrame) -> DataFrame:
 
 def one_sided(mid: DataFrame, candidate: str, baseline: str) -> DataFrame:
     """Scenarios, and metrics of shared scenarios, that only one version has."""
-    c, b = _sides(mid, candidate, baseline)
-    cs, bs = c.select("scenario").distinct(), b.select("scenario").distinct()
-    side = F.when(F.col("c").isNull(), "baseline").otherwise("candidate").alias("side")
-    lone = cs.withColumn("c", F.lit(1)).join(bs.withColumn("b", F.lit(1)), "scenario", "full_outer").where("c IS NULL OR b IS NULL").select("scenario", F.lit(None).cast("string").alias("metric"), side)
-    shared = cs.intersect(bs)
-    cm, bm = c.select("scenario", "metric").withColumn("c", F.lit(1)), b.select("scenario", "metric").withColumn("b", F.lit(1))
-    odd = cm.join(bm, ["scenario", "metric"], "full_outer").where("c IS NULL OR b IS NULL").join(shared, "scenario", "left_semi").select("scenario", "metric", side)
+    has = [F.bool_or(F.col("version") == v).alias(n) for v, n in ((candidate, "c"), (baseline, "b"))]
+    metric = mid.where(F.col("version").isin(candidate, baseline)).groupBy("scenario", "metric").agg(*has)
+    scenario = metric.groupBy("scenario").agg(F.bool_or("c").alias("sc"), F.bool_or("b").alias("sb"))
+    side = lambda c: F.when(F.col(c), "candidate").otherwise("baseline").alias("side")
+    lone = scenario.where("sc <> sb").select("scenario", F.lit(None).cast("string").alias("metric"), side("sc"))
+    odd = metric.join(scenario.where("sc AND sb").select("scenario"), "scenario").where("c <> b").select("scenario", "metric", side("c"))
     return lone.unionByName(odd)
 
 
