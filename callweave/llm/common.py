@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +47,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     path = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # small row groups: a task holds one while it writes
+    df.write.option("parquet.block.size", 16 << 20).parquet(path)
     return spark.read.parquet(path)
 
 
@@ -75,6 +77,19 @@ def slices(texts: list, limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def text_slices(column: pa.Array, limit: int = SLICE_CHARS) -> Iterator[tuple[int, int, list]]:
+    """As ``slices``, with the texts, of which no more than a slice are in Python at once."""
+    size = pc.utf8_length(column).fill_null(0).to_numpy(zero_copy_only=False).tolist()
+    start = held = 0
+    for i, n in enumerate(size):
+        if i > start and held + n > limit:
+            yield start, i, column.slice(start, i - start).to_pylist()
+            start, held = i, 0
+        held += n
+    if start < len(size):
+        yield start, len(size), column.slice(start).to_pylist()
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``fn`` on each Arrow batch."""
     ship(df.sparkSession)

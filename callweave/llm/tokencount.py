@@ -18,12 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callweave.llm.bpe import VOCAB, Codec, code_points, codec, pretokens
-from callweave.llm.common import SLICE_CHARS, map_arrow, only, slices, without, written
+from callweave.llm.common import map_arrow, only, text_slices, without, written
 
 #: Pre-tokens in a leaf, and children of a node.
 LEAF, FAN = 32, 8
 #: A pre-token is independent of what lies this far behind its end.
 LOOK = 2
+#: Characters that a task holds at once while it makes or edits states, about.
+STATE_CHARS = 500_000
 #: Characters that are split again at once while looking for an old border.
 REACH = 256
 
@@ -184,10 +186,9 @@ def state(docs: DataFrame, vocab: str = VOCAB, id_col: str = "doc_id", text_col:
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         c = codec(shared.value)
-        every = batch.column(1).to_pylist()
-        for a, b in slices(every):
-            nulls = np.array([t is None for t in every[a:b]])
-            parts = split_counts(c, [t or "" for t in every[a:b]])
+        for a, b, texts in text_slices(batch.column(1), STATE_CHARS):
+            nulls = np.array([t is None for t in texts])
+            parts = split_counts(c, [t or "" for t in texts])
             total = np.array([k.sum() for _, k in parts], np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *(pa.array([None if x else packed(p[k]) for x, p in zip(nulls, parts, strict=True)], pa.binary()) for k in (0, 1)), pa.array(total, mask=nulls), *(batch.column(2).slice(a, b - a) for _ in more)], names=[id_col, "text", "sizes", "counts", "tokens", *("edits" for _ in more)])
 
@@ -244,7 +245,7 @@ def apply_edits(kept: DataFrame, vocab: str = VOCAB, id_col: str = "doc_id", edi
                 else:
                     rows.append((*((text, packed(s), packed(k)) if whole else (None,) * 3), before, before, len(s), 0))
                 held += len(text) if whole else 0
-            if held > SLICE_CHARS:
+            if held > STATE_CHARS:
                 yield done()
                 start, held, rows = start + len(rows), 0, []
         if rows:
