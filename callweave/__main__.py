@@ -35,6 +35,7 @@ def arguments() -> argparse.ArgumentParser:
     c.add_argument("--no-cache", action="store_true", help="score all again")
     c.add_argument("--baseline", help="a run, the beginning of one, or previous")
     c.add_argument("--export", help="write the long table there")
+    c.add_argument("--json", help="write the run there as lines of JSON: results, clips and configuration")
     c = command("report", "gates and page of a stored run again, by its own configuration unless one is given", scored=True)
     c.add_argument("run_id")
     c = command("ingest", "decode a corpus and list its clips")
@@ -155,6 +156,10 @@ def main(args: list[str] | None = None) -> int:
         if a.baseline:
             cfg.gates.regression.baseline = a.baseline
         r = engine.evaluate(spark, corpus, out, cfg, cached=not a.no_cache)
+        if a.json:
+            for name in ("results", "clips", "runs"):
+                rows = store.load(spark, out, name, r["run_id"]).drop("mono", "agent", "caller")
+                store.export_json(rows, os.path.join(a.json, name))
         if a.export:
             print(store.export_results(store.load(spark, out, "metrics_long", r["run_id"]), a.export))
     print(r["text"])

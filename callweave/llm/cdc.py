@@ -124,7 +124,7 @@ def later_chunks(src: DataFrame, chunk: int) -> DataFrame:
     """
     kind = src.schema["key"].dataType.simpleString()
     every = chunks(src, chunk)
-    thin = chunks(src.where(F.pmod(F.xxhash64("key", "tag"), F.lit(THIN)) == 0), chunk).groupBy("digest").agg(F.count("*").alias("n"))
+    thin = chunks(src.where(F.pmod(F.xxhash64("key"), F.lit(THIN)) == 0), chunk).groupBy("digest").agg(F.count("*").alias("n"))
     large = durable(thin.where(F.col("n") * THIN >= PLACES).select("digest", F.ceil(F.col("n") * THIN / PLACES).cast("int").alias("parts")))
     many = large.count()
     if many:

@@ -31,6 +31,8 @@ RAW_BITS = 16
 #: Texts of a key that one task compares, about. A key that has far more in a sample of one in
 #: ``THIN`` is cut into parts, and all pairs of parts are compared.
 PART, THIN = 2048, 64
+#: Such keys are sent to all tasks up to this number.
+BROADCAST_ROWS = 1 << 20
 WORDS = re.compile(r"\w+")
 ROWS = 1 << 16
 _TABLES: dict[str, np.ndarray] = {}
@@ -175,14 +177,14 @@ def buckets(keyed: DataFrame, keys_of: Callable[[DataFrame], DataFrame], heads:
     """
     thin = keys_of(heads.where(F.pmod(F.xxhash64("head"), F.lit(THIN)) == 0)).groupBy("key").agg((F.count("*") * THIN).alias("size"))
     large = durable(thin.where(F.col("size") > 4 * PART).select("key", F.expr(f"shiftleft(1, cast(ceil(log2(size / {PART})) as int))").alias("parts")))
-    if not large.isEmpty():
-        # a row for each PART heads of a key at the most
-        keyed = keyed.join(large, "key", "left").withColumn("part", F.pmod(F.xxhash64("head"), F.coalesce("parts", F.lit(1))))
+    many = large.count()
+    if many:
+        keyed = keyed.join(F.broadcast(large) if many <= BROADCAST_ROWS else large, "key", "left").withColumn("part", F.pmod(F.xxhash64("head"), F.coalesce("parts", F.lit(1))))
     else:
         keyed = keyed.withColumns({"parts": F.lit(None).cast("int"), "part": F.lit(0)})
     sets = keyed.groupBy("key", "part").agg(F.array_sort(F.collect_set("head")).alias("heads"), F.first("parts").alias("parts"))
     one = sets.where("parts IS NULL AND size(heads) > 1").select("heads")
-    if large.isEmpty():
+    if not many:
         return one.distinct()
     some = durable(sets.where("parts IS NOT NULL").select("key", F.xxhash64("heads", F.lit(1)).alias("h1"), F.xxhash64(F.lit(2), "heads").alias("h2"), "heads"))
     name = some.select("key", F.struct("h1", "h2").alias("p"))

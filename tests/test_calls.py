@@ -522,12 +522,15 @@ def test_command_line(spark, corpus, tmp_path, capsys):
     out = str(tmp_path / "o")
     (tmp_path / "c.json").write_text('{"gates": {"absolute": {"latency_p95_s": {"max": 0.5}}}}')
     assert main_(["ingest", corpus, "--out", out]) == 0 and "2 clips" in capsys.readouterr().out
-    assert main_(["run", corpus, "--out", out, "--config", str(tmp_path / "c.json"), "--strict", "--export", str(tmp_path / "long")]) == 1
+    assert main_(["run", corpus, "--out", out, "--config", str(tmp_path / "c.json"), "--strict", "--export", str(tmp_path / "long"), "--json", str(tmp_path / "json")]) == 1
+    assert {r.scorer for r in spark.read.json(str(tmp_path / "json" / "results")).collect()} >= {"latency", "level"} and spark.read.json(str(tmp_path / "json" / "clips")).count() == 2
     said = capsys.readouterr().out
     assert "FAIL: 1 fail" in said and spark.read.parquet(str(tmp_path / "long")).count() > 3
     run = store.load(spark, out, "runs").first()["run_id"]
     assert main_(["report", run, "--out", out]) == 0 and "FAIL" in capsys.readouterr().out
-    assert main_(["run", str(tmp_path / "nowhere"), "--out", out] if False else ["list-scorers"]) == 0
+    assert main_(["list-scorers"]) == 0 and "audio_judge" in capsys.readouterr().out
+    with pytest.raises(FileNotFoundError):
+        main_(["run", str(tmp_path / "nowhere"), "--out", out])
     assert main_(["cache-clear", "--out", out, "--scorer", "latency"]) == 0 and capsys.readouterr().out.split()[-1] == "1"
     (tmp_path / "m.json").write_text('[{"id": "s", "max_turns": 2}]')
     assert main_(["simulate", str(tmp_path / "m.json"), "--out", str(tmp_path / "s"), "-k", "1", "--baseline-version", "base", "--candidate-latency", "3", "--recordings", str(tmp_path / "wavs")]) == 1
