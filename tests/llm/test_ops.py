@@ -1177,6 +1177,10 @@ def test_pipeline_on_odd_documents(spark, sf):
         kept = sorted((r.doc_id for r in rows), key=str)
         if name == "quality":
             assert not {1, 2, 3} & set(kept) and set(kept) <= {4, 5, 6, None}, name
+        elif name == "mixture":  # a draw: the quotas of the sources exactly, and no row twice
+            counts = Counter(r.source for r in docs.collect())
+            assert Counter(r.source for r in rows) == mixing.filled(counts, mixing.target_weights(counts)), name
+            assert not Counter(kept) - Counter(r.doc_id for r in docs.collect()), name
         else:
             assert kept == sorted((r.doc_id for r in docs.collect()), key=str), name
         if k < len(p.STAGES) - 1:
