@@ -42,13 +42,13 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """As ``durable``, as a Parquet table of the shared folder: compressed, read by column."""
+    """As ``durable``, as a Parquet table of the shared folder: well compressed, read by column."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     path = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
     # small row groups: a task holds one while it writes
-    df.write.option("parquet.block.size", 16 << 20).parquet(path)
+    df.write.option("parquet.block.size", 16 << 20).option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
 
 
