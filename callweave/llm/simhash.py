@@ -6,6 +6,13 @@ together with its 23 neighbours at one bit, which gives up to 6 codeword indices
 differ in 2 bits or fewer always share one. A search key is one index of a segment with raw bits of
 another. By the pigeonhole principle few differing bits leave segments with so few errors; texts
 that share a key are compared by all their bits.
+
+These keys find most groups, but not all pairs within ``MAX_BITS``. A second pass finds the links
+between groups that they leave out, all of them. It cuts the bits into a few segments with so many
+errors each that near texts stay within them in one segment at least. The bits of a segment with ``d - 1``
+errors are points of the space of ``d`` binary dimensions: some vector but 0 is orthogonal to any
+``d - 1`` points, so near texts agree in all bits that are not orthogonal to one of the 2**d - 1
+vectors. These bits are the keys, by which every two tiles of fingerprints are compared.
 """
 
 from __future__ import annotations
@@ -33,6 +40,14 @@ RAW_BITS = 16
 PART, THIN = 2048, 64
 #: Such keys are sent to all tasks up to this number.
 BROADCAST_ROWS = 1 << 20
+#: Fingerprints of a tile of the second pass, about; fewer are spread over up to ``SPREAD`` tiles of
+#: ``LEAST_TILE`` or more. They change the work, not the result.
+TILE, LEAST_TILE, SPREAD = 1 << 19, 1 << 14, 3
+#: Bits of a key at most (fewer in small tiles), and dimensions of a segment.
+KEY_BITS, DIMENSIONS = 20, 7
+#: Pairs compared at once and pairs of groups held before they are joined; a fingerprint that meets
+#: more than ``MANY`` passes over those of its own group.
+AT_ONCE, HELD, MANY = 1 << 16, 1 << 20, 256
 WORDS = re.compile(r"\w+")
 ROWS = 1 << 16
 _TABLES: dict[str, np.ndarray] = {}
@@ -126,6 +141,174 @@ def links(ids: np.ndarray, packed: np.ndarray, max_bits: int = MAX_BITS) -> tupl
     return (np.concatenate(a), np.concatenate(b)) if a else (ids[:0], ids[:0])
 
 
+def dense(packed: np.ndarray) -> list[np.ndarray]:
+    """The bits of packed fingerprints in five words; unsigned, as of a signed number ``bitwise_count``
+    takes the absolute value."""
+    w = packed.astype(np.uint64).T
+    n = {k: np.uint64(k) for k in (8, 10, 18, 26, 28, 36, 38, 46, 56)}
+    return [w[0] | w[1] << n[46], w[1] >> n[18] | w[2] << n[28], w[2] >> n[36] | w[3] << n[10] | w[4] << n[56], w[4] >> n[8] | w[5] << n[38], w[5] >> n[26]]
+
+
+def points(bits: int, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """A point for each bit of a segment, and for each vector which bits are not orthogonal to it.
+
+    Of many random choices that which leaves the keys the most bits; any choice is right.
+    """
+    if (bits, dim) not in _TABLES:
+        rng = np.random.default_rng(41)
+        vectors = np.arange(1, 1 << dim)
+        best = None
+        for _ in range(50):
+            chosen = np.resize(rng.permutation(vectors), bits)
+            kept = (np.bitwise_count(vectors[:, None] & chosen) & 1).astype(bool)
+            met = (0.5 ** kept.sum(1)).sum()
+            if best is None or met < best[0]:
+                best = met, chosen, kept
+        _TABLES[bits, dim] = best[1:]
+    return _TABLES[bits, dim]
+
+
+def layout(max_bits: int, a: int, b: int, width: int) -> list[tuple[np.ndarray, int]]:
+    """The bits and dimensions of each segment, which are more than ``max_bits`` in all.
+
+    The number of segments is that of least work for tiles of ``a`` and ``b`` fingerprints, about.
+    """
+    best = None
+    least = -(-(max_bits + 1) // DIMENSIONS)
+    for n in range(least, least + 9):
+        dims = [len(x) for x in np.array_split(np.arange(max_bits + 1), n)]
+        segs = [(seg, d) for seg, d in zip(np.array_split(np.arange(BITS), n), dims, strict=True) if d]
+        kept = np.concatenate([points(len(seg), d)[1].sum(1) for seg, d in segs])
+        work = len(kept) * (a + b) * 80 + a * b * (0.51 ** np.minimum(kept, width)).sum() * 70
+        if best is None or work < best[0]:
+            best = work, segs
+    return best[1]
+
+
+def cover_keys(words: list[np.ndarray], segs: list[tuple[np.ndarray, int]], width: int) -> Iterator[np.ndarray]:
+    """Keys of ``width`` bits or fewer, one array each; near fingerprints share one at least."""
+    for seg, dim in segs:
+        kept = points(len(seg), dim)[1]
+        chunks = np.array_split(np.arange(len(seg)), max(1, -(-len(seg) // 13)))
+        values = []
+        for chunk in chunks:
+            value = np.zeros(len(words[0]), np.uint16)
+            for k, b in enumerate(seg[chunk].tolist()):
+                value |= (words[b >> 6] >> np.uint64(b & 63) & np.uint64(1)).astype(np.uint16) << np.uint16(k)
+            values.append(value)
+        for use in kept:
+            key, at = np.zeros(len(words[0]), np.uint32), 0
+            for chunk, value in zip(chunks, values, strict=True):
+                of = np.zeros(1 << len(chunk), np.uint32)
+                each = np.arange(1 << len(chunk), dtype=np.uint32)
+                for k in np.flatnonzero(use[chunk]).tolist():
+                    if at < width:
+                        of |= (each >> np.uint32(k) & np.uint32(1)) << np.uint32(at)
+                        at += 1
+                key |= of[value]
+            yield key
+
+
+def join(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``parent``, which gives each node the least of its group, after the edges ``a``, ``b``."""
+    while True:
+        a, b = parent[a], parent[b]
+        keep = a != b
+        a, b = a[keep], b[keep]
+        if not len(a):
+            return parent
+        parent[np.maximum(a, b)] = np.minimum(a, b)
+        while not np.array_equal(up := parent[parent], parent):
+            parent = up
+
+
+def bridges(names: list[np.ndarray], packed: list[np.ndarray], max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join the groups of two tiles wherever a member of each is within the distance.
+
+    ``names`` has the group of each fingerprint of either tile, which may be the same. A pair of one
+    group is left alone; groups that are found to be linked count as one from then on, so the edges
+    are a forest however many pairs there are.
+    """
+    known, node = np.unique(np.concatenate(names), return_inverse=True)
+    parent = np.arange(len(known))
+    x, y = np.split(node, [len(names[0])])
+    left, right = (dense(p) for p in packed)
+    width = min(KEY_BITS, max(len(x), len(y)).bit_length() + 1)
+    segs = layout(max_bits, len(x), len(y), width)
+    by = np.argsort(y, kind="stable")
+    held, size = [], 0
+    for p, q in zip(cover_keys(left, segs, width), cover_keys(right, segs, width), strict=True):
+        # the right by key and group; numpy's stable sort of 16 bits is in linear time
+        order = by[np.argsort(q[by].astype(np.uint16), kind="stable")]
+        order = order[np.argsort((q[order] >> np.uint32(16)).astype(np.uint16), kind="stable")]
+        start = np.zeros((1 << width) + 1, np.int32)
+        np.cumsum(np.bincount(q, minlength=1 << width), out=start[1:])
+        row = np.arange(len(p))
+        begin, end = start[p], start[p + np.uint32(1)]
+        many = end - begin > MANY
+        if many.any():
+            code = q[order].astype(np.int64) * len(known) + y[order]
+            own = p[many].astype(np.int64) * len(known) + x[many]
+            row = np.concatenate([row, row[many]])
+            begin, end = np.concatenate([begin, np.searchsorted(code, own, "right")]), np.concatenate([end, end[many]])
+            end[: len(p)][many] = np.searchsorted(code, own, "left")
+        some = end > begin
+        row, begin, end = row[some], begin[some], end[some]
+        total = np.concatenate([[0], np.cumsum(end - begin, dtype=np.int64)])
+        s, fresher = 0, False
+        while s < len(row):
+            e = max(s + 1, int(np.searchsorted(total, total[s] + AT_ONCE, "right")) - 1)
+            count = total[s + 1 : e + 1] - total[s:e]
+            i = np.repeat(row[s:e], count)
+            j = order[np.arange(total[s], total[e]) + np.repeat(begin[s:e] - total[s:e], count)]
+            d = np.bitwise_count(left[0][i] ^ right[0][j]).astype(np.uint16)
+            for k in range(1, 5):
+                d += np.bitwise_count(left[k][i] ^ right[k][j])
+                near = np.flatnonzero(d <= max_bits)
+                i, j, d = i[near], j[near], d[near]
+            u, v = parent[x[i]], parent[y[j]]
+            other = u != v
+            if other.any():
+                held.append(np.unique(u[other] * len(known) + v[other]))
+                size += len(held[-1])
+            if held and (size > HELD or e == len(row)):
+                parent = join(parent, *np.divmod(np.concatenate(held), len(known)))
+                held, size, fresher = [], 0, True
+            s = e
+        if fresher:
+            x, y = parent[x], parent[y]
+            by = np.argsort(y, kind="stable")
+    moved = np.flatnonzero(parent != np.arange(len(known)))
+    return known[moved], known[parent[moved]]
+
+
+def missed(known: DataFrame, count: int, max_bits: int = MAX_BITS, tile: int = TILE, least: int = LEAST_TILE) -> DataFrame:
+    """Edges ``a``, ``b`` between the groups ``root`` of ``known`` that have fingerprints ``fp`` within the distance.
+
+    No pair is left out: every two tiles meet. ``count``, the rows, sets the number of tiles.
+    """
+    tiles = max(-(-count // tile), min(SPREAD, -(-count // least)), 1)
+
+    def block(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        packed = batch.column(1).flatten().to_numpy().reshape(-1, SEGMENTS // 2)
+        body = np.column_stack([batch.column(0).to_numpy(), packed]).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.crc32(body) % tiles], pa.int32()), pa.array([body], pa.binary())], names=["tile", "body"])
+
+    def compare(group: pa.Table) -> pa.Table:
+        low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
+        held = {low: [], high: []}
+        for t, body in zip(group.column("tile"), group.column("body"), strict=True):
+            held[t.as_py()].append(body.as_buffer())
+        sides = {t: np.concatenate([np.zeros((0, 1 + SEGMENTS // 2), np.int64), *(np.frombuffer(b, np.int64).reshape(-1, 1 + SEGMENTS // 2) for b in bodies)]) for t, bodies in held.items()}
+        a, b = bridges([sides[t][:, 0] for t in (low, high)], [sides[t][:, 1:] for t in (low, high)], max_bits)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    blocks = map_arrow(known.select("root", "fp"), block, "tile int, body binary")
+    other = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
+    paired = blocks.withColumn("other", other).select(F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "body")
+    return paired.repartition(tiles * (tiles + 1), "low", "high").groupBy("low", "high").applyInArrow(compare, "a long, b long")
+
+
 def components(edges: DataFrame, limit: int = 50) -> DataFrame:
     """``id`` and ``root``, the least id of its component, of each end of the edges ``a``, ``b``.
 
@@ -198,8 +381,8 @@ def buckets(keyed: DataFrame, keys_of: Callable[[DataFrame], DataFrame], heads:
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, steps: tuple = STEPS, raw_bits: int = RAW_BITS) -> DataFrame:
     """``id`` and ``root`` of every document in a group of near-duplicates of two or more.
 
-    A group is a component of the relation "differs in ``max_bits`` bits or fewer"; its root is the
-    least id. The order and number of a text's words play no part. Rows with a null id or text or an
+    A group is a component of the relation "differs in ``max_bits`` bits or fewer", whole whatever
+    the search keys find; its root is the least id. The order and number of a text's words play no part. Rows with a null id or text or an
     empty text are in no group; texts without words count as one word, long texts are read whole.
     Rows of one id are one document; where their texts differ it is in the group of the least root.
     Ids may be of any type that can be ordered. Other columns are not read. An empty table gives an
@@ -210,7 +393,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_
     equal = fp.groupBy("fp").agg(F.min("id").alias("least"), F.max("id").alias("most"))
     heads = durable(equal.withColumn("head", F.monotonically_increasing_id()))
     # a head brings more than a hundred keys: few heads in a task
-    few = heads.repartition(max(1, heads.count() // 8192), "head").select("head", "fp")
+    count = heads.count()
+    few = heads.repartition(max(1, count // 8192), "head").select("head", "fp")
 
     def emit(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids = batch.column(0).to_numpy()
@@ -239,7 +423,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_
 
     near = map_arrow(full.select("members"), verify, "a long, b long").distinct()
     tree = components(near).toDF("head", "root")
-    known = heads.join(tree, "head", "left").withColumn("root", F.coalesce("root", "head"))
+    known = durable(heads.join(tree, "head", "left").withColumn("root", F.coalesce("root", "head")))
+    rest = components(missed(known, count, max_bits)).toDF("root", "base")
+    known = known.join(rest, "root", "left").withColumn("root", F.coalesce("base", "root")).drop("base")
     of = known.groupBy("root").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least <> most").select("root", F.col("least").alias("first"))
     found = fp.join(known.join(of, "root").select("fp", "first"), "fp")
     return found.groupBy("id").agg(F.min("first").alias("root"))

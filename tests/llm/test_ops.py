@@ -128,6 +128,47 @@ def test_large_keys_are_compared_in_parts(spark, monkeypatch):
     assert got == want
 
 
+def test_simhash_finds_pairs_without_a_shared_key(spark):
+    rng = random.Random(12)
+    texts = []
+    for g in range(60):
+        base = prose(rng, 60, f"g{g}").split()
+        texts += [" ".join(base), " ".join([f"edit{g}x{k}" for k in range(3)] + base[3:])]
+    want = brute_groups(texts)
+    assert len(set(want) - set(brute_groups(texts, keyed=True))) > 3
+    docs = table(spark, texts)
+    assert {r.doc_id: r.kept_doc_id for r in simhash.duplicates(docs).collect()} == want
+    # the second pass alone, over several tiles
+    fps = simhash.fingerprints(docs).repartition(12).selectExpr("id AS root", "fp")
+    edges = simhash.missed(fps, len(texts), tile=40, least=8)
+    assert {r.id: r.root for r in simhash.components(edges).collect() if r.id != r.root} == want
+
+
+def test_bridges_join_what_all_pairs_join():
+    rng = np.random.default_rng(9)
+
+    def flipped(of, n):
+        bits = of.copy()
+        bits[rng.choice(276, n, replace=False)] ^= 1
+        return bits
+
+    base = rng.integers(0, 2, (300, 276))
+    bits = np.concatenate([base, [flipped(b, int(rng.integers(30, 50))) for b in base], np.repeat(base[:1], 300, 0)])
+    bits[600:, :9] ^= rng.integers(0, 2, (300, 9))
+    packed = simhash.pack(bits.reshape(-1, 12, 23) @ (1 << np.arange(23)))
+    distance = np.bitwise_count(packed[:, None] ^ packed).sum(2)
+    for most in (0, 5, 40, 41):
+        want = simhash.join(np.arange(900), *np.nonzero(distance <= most))
+        half = np.arange(900) % 2 == 0
+        for sides in ((half, half), (half, ~half), (~half, ~half)):
+            names, rows = [np.flatnonzero(s) for s in sides], [packed[s] for s in sides]
+            u, v = np.nonzero(distance[np.ix_(*sides)] <= most)
+            assert np.array_equal(simhash.join(np.arange(900), *simhash.bridges(names, rows, most)), simhash.join(np.arange(900), names[0][u], names[1][v]))
+        # members of one group need no edge
+        assert not len(simhash.bridges([want, want], [packed, packed], most)[0])
+    assert (distance[np.arange(300), np.arange(300, 600)] == 40).any()
+
+
 def test_links_join_what_all_pairs_join():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 46, (4, 6))
