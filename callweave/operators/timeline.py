@@ -69,10 +69,11 @@ def smooth(regions: DataFrame, gap: float = MERGE_GAP, least: float = MIN_SPEECH
 
 
 def label_speakers(diarized: DataFrame) -> DataFrame:
-    """Segments with ``speaker`` from diarization ``label``: who speaks longest in all is the agent,
-    ties to the lesser label; everyone else is the caller."""
+    """Segments with ``speaker`` from diarization ``label``: who speaks longest in all, to the
+    microsecond, is the agent, ties to the lesser label; everyone else is the caller."""
+    # sums of floats depend on their order, so that equal times would differ in the last bits
     held = diarized.groupBy("clip_id", "label").agg(F.sum(duration()).alias("held"))
-    first = Window.partitionBy("clip_id").orderBy(F.desc("held"), "label")
+    first = Window.partitionBy("clip_id").orderBy(F.round("held", 6).desc(), F.asc_nulls_last("label"))
     agent = held.withColumn("__n", F.row_number().over(first)).where("__n = 1").select("clip_id", F.col("label").alias("__agent"))
     return diarized.join(agent, "clip_id").select("clip_id", F.when(F.col("label") == F.col("__agent"), "agent").otherwise("caller").alias("speaker"), "start_s", "end_s")
 

@@ -168,3 +168,11 @@ def test_false_alarms_at_the_millisecond(spark):
     got = {r.clip_id: r for r in dynamics.barge_attempts(df).collect()}
     assert got["a"].utterance_s == 0.1 and got["a"].onset_s == 1.0 and got["b"].onset_s == 4.5 and got["b"].utterance_s == 0.75 and got["c"].onset_s == 5.0 and got["c"].utterance_s is None
     assert {r.clip_id: r.bargein_false_alarm_rate for r in dynamics.barge_metrics(dynamics.barge_attempts(df)).collect()} == {"a": 0.0, "b": 0.0, "c": 0.0}
+
+
+def test_equal_speaking_times_of_other_sums(spark):
+    """Three tenths are 0.3 of one and 0.1 + 0.2 of the other: a tie, which the lesser label wins."""
+    rows = [("a", "x", 0.0, 0.3), ("a", "y", 0.0, 0.1), ("a", "y", 0.0, 0.2), ("b", "x", 0.0, 0.3), ("b", "y", 0.0, 0.300002)]
+    df = spark.createDataFrame(rows, "clip_id string, label string, start_s double, end_s double")
+    got = {(r.clip_id, r.end_s): r.speaker for r in timeline.label_speakers(df).collect()}
+    assert got == {("a", 0.3): "agent", ("a", 0.1): "caller", ("a", 0.2): "caller", ("b", 0.3): "caller", ("b", 0.300002): "agent"}
