@@ -14,10 +14,10 @@ def histogram(long: DataFrame, bins: int = BINS) -> DataFrame:
     """Equal bins of each metric's real values, numbered from 1; the top edge is in the last bin, a
     constant metric has a range of 1."""
     rows = long.where(real(F.col("value")))
-    # the ranges are a row for each metric
+    # the ranges are a row for each metric; a shuffle by metric would bring each to a single task
     span = rows.groupBy("metric").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).withColumn("hi", F.when(F.col("hi") > F.col("lo"), F.col("hi")).otherwise(F.col("lo") + 1))
     bin_ = F.least(F.lit(bins), F.floor((F.col("value") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / bins)) + 1).cast("int")
-    return rows.join(span, "metric").groupBy("metric", bin_.alias("bin")).agg(F.count("*").alias("n"))
+    return rows.join(F.broadcast(span), "metric").groupBy("metric", bin_.alias("bin")).agg(F.count("*").alias("n"))
 
 
 def worst_status(outcomes: DataFrame) -> DataFrame:

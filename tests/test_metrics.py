@@ -1,6 +1,7 @@
 """Gates, rollups, regression, comparison and agreement, fixture by fixture."""
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -167,3 +168,18 @@ def test_labels_that_no_integer_holds(spark):
     rows = [("c", "pace", v, k) for k, v in enumerate(["nan", "1e12", "-1e30", "inf", "2.5", "x", ""])]
     got = agreement.golden(spark.createDataFrame(rows, "clip_id string, dimension string, human_score string, row_no long"), ["pace"]).collect()
     assert [r.human for r in got] == [2]
+
+
+def exchanged(df):
+    """The columns by which each shuffle of a plan moves its rows, before it is run."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [re.findall(r"(\w+)#\d+", x) for x in re.findall(r"Exchange hashpartitioning\(([^)]*?), \d+\)", plan)]
+
+
+def test_histogram_moves_counts_alone(spark):
+    """Rows are not moved by metric, which would put each metric into a single task."""
+    df = long(spark, [(str(i), "s", "mk"[i % 2], float(i), None, "v") for i in range(40)]).where("value >= 0")
+    got = report.histogram(df)
+    # that of the ranges, which moves a row for each task and metric, is the only one by metric
+    assert exchanged(got).count(["metric"]) == 1
+    assert sum(r.n for r in got.collect()) == 40
