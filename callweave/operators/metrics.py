@@ -64,25 +64,27 @@ def real(value: Column) -> Column:
 def quantiles(rows: DataFrame, keys: list[str], value: str, probabilities: list[float], bins: int = BINS) -> DataFrame:
     """``keys`` and ``q``, the exact quantiles, linearly interpolated, of each group's real values.
 
-    For groups of any size: equal values are counted first, then bins of values between the group's
-    least and greatest, and only the bins that hold a wanted rank are put in order. No task gathers
-    a group. Keys are not null.
+    For groups of any size: bins of values between the group's least and greatest are counted, and
+    only in the bins that hold a wanted rank equal values are counted and put in order. No task
+    gathers a group or counts all its values: what holds a few rows for each group is broadcast.
+    Keys are not null.
     """
-    rows = rows.groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("times"))
-    span = rows.groupBy(*keys).agg(F.sum("times").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    # wanted ranks from 0: below and above each place between two values
-    places = [F.struct(F.lit(k).alias("k"), (F.lit(float(p)) * (F.col("n") - 1)).alias("place")) for k, p in enumerate(probabilities)]
-    at = span.select(*keys, F.explode(F.array(*places)).alias("at")).select(*keys, "at.k", "at.place")
-    wanted = at.select(*keys, "k", "place", F.explode(F.array_distinct(F.array(F.floor("place"), F.ceil("place")))).alias("rank"))
+    rows = rows.select(*keys, F.col(value).cast("double").alias("v"))
+    span = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     share = F.coalesce(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))
-    binned = rows.join(span, keys).withColumn("bin", F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor(share * bins).cast("int"))))
+    binned = rows.join(F.broadcast(span), keys).withColumn("bin", F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor(share * bins).cast("int"))))
     order = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    held = binned.groupBy(*keys, "bin").agg(F.sum("times").alias("m")).withColumn("upto", F.sum("m").over(order))
-    hit = held.join(wanted, keys).where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("m")))
-    few = hit.select(*keys, "bin", (F.col("upto") - F.col("m")).alias("before")).distinct()
+    # n stays a column throughout, so that every use of span has the same plan, which is run once
+    held = binned.groupBy(*keys, "n", "bin").agg(F.count("*").alias("m")).withColumn("upto", F.sum("m").over(order))
+    # wanted ranks from 0: below and above each place between two values
+    places = [F.struct(F.lit(k).alias("k"), (F.lit(float(p)) * (F.col("n") - 1)).alias("place")) for k, p in enumerate(probabilities)]
+    at = held.select("*", F.explode(F.array(*places)).alias("at")).select(*keys, "n", "bin", "m", "upto", "at.k", "at.place")
+    hit = at.withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("place"), F.ceil("place"))))).where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("m")))
+    few = hit.select(*keys, "n", "bin", (F.col("upto") - F.col("m")).alias("before")).distinct()
     inner = Window.partitionBy(*keys, "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    values = binned.join(few, [*keys, "bin"]).withColumn("m", F.col("times")).withColumn("upto", F.col("before") + F.sum("m").over(inner))
-    found = values.select(*keys, "bin", "v", "m", "upto").join(hit.select(*keys, "bin", "k", "place", "rank"), [*keys, "bin"]).where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("m")))
+    counted = binned.join(F.broadcast(few), [*keys, "n", "bin"]).groupBy(*keys, "bin", "before", "v").agg(F.count("*").alias("m"))
+    values = counted.withColumn("upto", F.col("before") + F.sum("m").over(inner))
+    found = values.select(*keys, "bin", "v", "m", "upto").join(F.broadcast(hit.select(*keys, "bin", "k", "place", "rank")), [*keys, "bin"]).where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("m")))
     low, high = F.min("v"), F.max("v")
     part = F.first("place") - F.floor(F.first("place"))
     one = found.groupBy(*keys, "k").agg((low + (high - low) * part).alias("x"))

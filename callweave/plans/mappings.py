@@ -89,13 +89,17 @@ ovl AS (
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scorer results from order lines; a quantity of 1 stands for a failed scorer."""
-    l = read(spark, sf_dir, "lineitem")  # noqa: E741
+    return scored(read(spark, sf_dir, "lineitem"))
+
+
+def scored(l: DataFrame, *more: str) -> DataFrame:  # noqa: E741
+    """Results of order lines with their columns ``more``."""
     bad = F.col("l_quantity") == 1
     m = F.create_map(F.lit("mos_quantity"), F.col("l_quantity").cast("double"), F.lit("latency_discount"), F.col("l_discount").cast("double"), F.lit("tax_gap"), F.col("l_tax").cast("double"), F.lit("price"), F.col("l_extendedprice").cast("double"))
     return l.select(
         F.when(F.col("l_shipdate") < F.lit(SPLIT).cast("timestamp_ntz"), "run_a").otherwise("run_b").alias("run_id"), F.col("l_orderkey").alias("clip_id"), F.col("l_linenumber").alias("scorer"),
         F.lit("acoustic").alias("layer"), (F.col("l_linenumber") % 2 == 0).alias("cached"), F.when(bad, "boom").alias("error"), F.col("l_returnflag").alias("agent_version"), F.col("l_linestatus").alias("prompt_version"), m.alias("metrics"),
-        (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).cast("long").alias("seq"),
+        (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).cast("long").alias("seq"), *more,
     )
 
 
@@ -132,9 +136,9 @@ g AS (
 
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The long table with ``version`` and ``scenario`` of its order."""
-    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("clip_id"), F.col("o_orderstatus").alias("version"), F.col("o_orderpriority").alias("scenario"))
-    # metrics explode after the join, so that it moves one row for each result
-    return metrics.flatten(results(spark, sf_dir).join(o, "clip_id"))
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderstatus").alias("version"), F.col("o_orderpriority").alias("scenario"))
+    # the map of metrics is made after the join, which so moves and sorts a few numbers for each result
+    return metrics.flatten(scored(read(spark, sf_dir, "lineitem").join(o, "l_orderkey"), "version", "scenario"))
 
 
 AB = (

@@ -183,3 +183,21 @@ def test_histogram_moves_counts_alone(spark):
     # that of the ranges, which moves a row for each task and metric, is the only one by metric
     assert exchanged(got).count(["metric"]) == 1
     assert sum(r.n for r in got.collect()) == 40
+
+
+def test_quantiles_move_counts_alone(spark):
+    """Neither the rows of a group nor all its values are moved to be counted: only those of the bins
+    that are looked into go by value."""
+    df = spark.createDataFrame([("ab"[i % 2], float(i % 37)) for i in range(200)], "g string, v double")
+    plan = metrics.quantiles(df, ["g"], "v", [0.5])
+    assert "SortMergeJoin" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert ["g", "v"] not in exchanged(plan) and ["g", "bin", "before", "v"] in exchanged(plan)
+    assert {r.g: r.q[0] for r in plan.collect()} == {g: float(np.quantile([i % 37 for i in range(200) if "ab"[i % 2] == g], 0.5)) for g in "ab"}
+
+
+def test_versions_join_before_the_map(spark, sf):
+    """The join sorts the numbers of a result, not a map of them with their names."""
+    from callweave.plans import mappings
+
+    plan = mappings.versions(spark, sf).groupBy("version", "metric").agg(F.sum("value"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("map(mos_quantity") < plan.index("Join Inner")
