@@ -25,8 +25,12 @@ def delta_table(spark: SparkSession, deltas: dict[str, float]) -> DataFrame:
     return spark.createDataFrame([(m, float(d)) for m, d in deltas.items()], "metric string, delta double")
 
 
-def flatten(results: DataFrame) -> DataFrame:
-    """One row for each metric; a result with an error or without metrics gives one with nulls."""
+def flatten(results: DataFrame, by: str | None = None) -> DataFrame:
+    """One row for each metric; a result with an error or without metrics gives one with nulls. With
+    ``by`` results are moved to the place of that key while they are one row each, so that grouping
+    the long table by it moves nothing more."""
+    if by is not None:
+        results = results.repartition(by)
     shown = F.when(F.col("error").isNull(), F.col("metrics"))
     rest = [c for c in results.columns if c != "metrics"]
     return results.select(*rest, F.explode_outer(shown).alias("metric", "value"))

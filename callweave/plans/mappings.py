@@ -103,8 +103,8 @@ def scored(l: DataFrame, *more: str) -> DataFrame:  # noqa: E741
     )
 
 
-def long_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.flatten(results(spark, sf_dir))
+def long_metrics(spark: SparkSession, sf_dir: str, by: str | None = None) -> DataFrame:
+    return metrics.flatten(results(spark, sf_dir), by)
 
 
 RES = """res AS (

@@ -201,3 +201,12 @@ def test_versions_join_before_the_map(spark, sf):
 
     plan = mappings.versions(spark, sf).groupBy("version", "metric").agg(F.sum("value"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("map(mos_quantity") < plan.index("Join Inner")
+
+
+def test_clip_detail_moves_results_once(spark, sf):
+    """A clip's rows are brought together before its metrics become rows, and not again."""
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()["q_clip_detail"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_COL") == 1
+    assert plan.index("Generate explode") < plan.index("Exchange hashpartitioning")
